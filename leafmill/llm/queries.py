@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.encoding import restore_chunks
+from leafmill.llm.language import fit, label_segments, mislabelled
+from leafmill.llm.quality import classify, statistics
 from leafmill.llm.repetition import repetition
 from leafmill.llm.split import rechunk, split_oversized
 from leafmill.sources.tables import load
@@ -49,3 +52,42 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated share and longest repeat of every document with chunks, catalogued or not."""
     return repetition(load(spark, sf_dir, "chunks"))
+
+
+@_query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with garbled characters, restorable or not."""
+    return restore_chunks(load(spark, sf_dir, "chunks")).select("id")
+
+
+@_query()
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled chunks with their text restored as far as possible."""
+    return restore_chunks(load(spark, sf_dir, "chunks"))
+
+
+@_query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly lists, tables or junk, by the learned rules."""
+    present = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    kinds = classify(statistics(load(spark, sf_dir, "chunks"))).filter("text_kind IN ('list', 'table', 'junk')")
+    return kinds.join(present, "document_id", "left_semi").select("document_id", "text_kind")
+
+
+@_query()
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and kind of every document with chunks."""
+    return classify(statistics(load(spark, sf_dir, "chunks")))
+
+
+@_query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the documents whose label is missing, wrong or too narrow."""
+    return mislabelled(load(spark, sf_dir, "documents")).select("doc_id", "lang_code")
+
+
+@_query()
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of one language in every document, with confidence."""
+    documents = load(spark, sf_dir, "documents")
+    return label_segments(documents, fit(documents)).drop("claimed")
