@@ -114,6 +114,7 @@ class Frequencies:
         size = sum(chars.values()) + 1
         self.char = {c: math.log(n / size) for c, n in chars.items()}
         self.rare_char = math.log(0.01 / size)
+        self.filled: dict[tuple[str, str, str], str] = {}
 
     def of_char(self, c: str, before: str = "") -> float:
         """Log frequency of ``c``, of signs that of the sign after the kind of character ``before``."""
@@ -121,15 +122,57 @@ class Frequencies:
             return self.term.get(kind(before) + c, self.floor)
         return self.char.get(c.lower(), self.rare_char if c not in PLAUSIBLE else math.log(1e-4 if c.isalpha() or c in SIGNS else 1e-7))
 
+    def usual(self, c: str) -> bool:
+        """Chinese characters count as readings only if the corpus has them among its frequent terms."""
+        return not "一" <= c <= "鿿" or c in self.char
+
     def known(self, text: str) -> tuple[float, int]:
         """How many terms of ``text`` are frequent, and how many there are."""
         found = [w for w in terms(text) if w[0] not in SIGNS and w[-1] not in SIGNS]
         return sum(1 for w in found if w in self.term), len(found)
 
 
-def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
+def read_lattice(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
     """The likeliest UTF-8 reading of bytes with gaps, or None if there is none.
 
+    Stretches without a gap have one reading. Around each gap the bytes from the start of its character
+    to the end of the next sound one are searched by :func:`viterbi`, with the text read so far on the left.
+    """
+    out, i, n = "", 0, len(units)
+    while i < n:
+        gap = next((k for k in range(i, n) if units[k] is None), n)
+        sound = bytes(units[i:gap])  # type: ignore[arg-type]
+        try:
+            out += sound.decode()
+            i = gap
+        except UnicodeDecodeError as e:
+            out += sound[: e.start].decode()
+            i += e.start
+        if i >= n:
+            break
+        end = max(i + 1, gap + 1) if gap - i < 4 else i + 1
+        while end < n and (units[end] is None or 0x80 <= units[end] <= 0xBF):  # type: ignore[operator]
+            end += 1
+        context = min(n, end + (3 if end < n and (units[end] or 0) >= 0xE0 else 2))
+        while context < n and units[context] is not None and 0x80 <= units[context] <= 0xBF:  # type: ignore[operator]
+            context += 1
+        if None in units[end:context]:
+            context = end
+        before = (left + out)[-12:]
+        best = viterbi(units[i:context], freq, before, right if context == n else "")
+        if best is None and context > end:
+            context = end
+            best = viterbi(units[i:context], freq, before, right if context == n else "")
+        if best is None:
+            best, context = LOST, end
+        out += best
+        i = context
+    return out
+
+
+def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
+    """The likeliest UTF-8 reading of a few bytes with gaps, or None if there is none.
+
     A state is a byte offset with the text read so far; an edge reads one character whose known bytes
     agree with the lattice, a gap matching any byte. Edges weigh by the character's frequency and, between Chinese characters, by the frequency of the pair; when a
     word ends it weighs by its own frequency in the corpus. A lost byte that fits nowhere is passed over at a price. The best
@@ -177,7 +220,8 @@ def _edges(units: list[int | None], i: int, freq: Frequencies) -> Iterator[tuple
     if b is None:
         yield 1, "", -12.0
         for c in _filling(tuple(units[i : i + 3])):
-            yield len(c.encode()), c, freq.of_char(c) - 4.0
+            if freq.usual(c):
+                yield len(c.encode()), c, freq.of_char(c) - 4.0
         return
     if b < 0x80:
         yield 1, chr(b), 0.0
@@ -192,7 +236,7 @@ def _edges(units: list[int | None], i: int, freq: Frequencies) -> Iterator[tuple
             cut = units[i : i + short]
             if cut[-1] is None or short == width:
                 for c in _filling(tuple([*cut, *[None] * (width - short)])):
-                    if len(c.encode()) == width and c.encode()[0] == b and len(cut) == short:
+                    if freq.usual(c) and len(c.encode()) == width and c.encode()[0] == b and len(cut) == short:
                         yield short, c, freq.of_char(c) - (0.0 if short == width else 3.0)
     elif len(part) == width and all(0x80 <= x <= 0xBF for x in part[1:]):  # type: ignore[operator]
         try:
@@ -285,6 +329,8 @@ _HINT = re.compile(
     "|[РСГВвÐÑ][\x80-¿ЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґё№єјЅѕї]|[а-яё][А-ЯЁ]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї]"
     "|[ĂĹĽÄ][^\x00-\x7f]|[a-z][ΘΦΩδτσαßΓπΣµ∞φε∩≡±≥≤⌠⌡÷≈¢£¥₧ƒÆÅŠŽ][a-z]|[一-鿿]|[가-힣ｦ-ﾟ぀-ヿㄅ-ㄩ]"
 )
+#: The same without what sound Chinese text has too.
+_NOT_HAN_HINT = re.compile(_HINT.pattern.replace("|[一-鿿]|", "|"))
 _GBK_HINT = re.compile(r"[鈥鈧锟脙脗茅眉盲枚脽帽谩贸铆煤猫脿锛銆鐨鏄涓鍏鏂浜鍦閮鐢绗璁犺缁骞勫掳芦禄驴]|[€]")
 
 
@@ -298,6 +344,8 @@ def _undo_utf8(text: str) -> str:
     for _ in range(3):
         best = (0, text)
         for e in SINGLE:
+            if not sequence(e).search(text):
+                continue
             read, n = undo_single(text, e)
             if n >= _LEAST.get(e, 1) and n > best[0]:
                 best = (n, read)
@@ -356,7 +404,8 @@ def _undo_double(line: str, freq: Frequencies | None) -> tuple[str, bool, bool]:
             if freq is None:
                 return whole
             a, b = found.start(), found.end()
-            return viterbi(units, freq, _tail_letters(line[:a]), _head_letters(line[b:])) or whole
+            read = read_lattice(units, freq, _tail_letters(line[:a]), _head_letters(line[b:])) or whole
+            return read
         return span
 
     return _NON.sub(again, line), touched, incomplete
@@ -416,7 +465,7 @@ def _fill_losses(line: str, freq: Frequencies) -> str:
             if LOST not in found.group():
                 return found.group()
             units = lattice(found.group(), e)  # noqa: B023
-            read = units and viterbi(units, freq, _tail_letters(line[: found.start()]), _head_letters(line[found.end() :]))  # noqa: B023
+            read = units and read_lattice(units, freq, _tail_letters(line[: found.start()]), _head_letters(line[found.end() :]))  # noqa: B023
             return read or found.group()
 
         new = pattern.sub(again, line)
@@ -436,6 +485,14 @@ def _fill_letters(line: str, freq: Frequencies) -> str:
     def again(found: re.Match) -> str:
         span = found.group()
         before, after = line[found.start() - 1 : found.start()], line[found.end() : found.end() + 1]
+        key = (kind(before or " "), span, kind(after or " "))
+        if key not in freq.filled:
+            if len(freq.filled) > 50_000:
+                freq.filled.clear()
+            freq.filled[key] = filled(span, before, after)
+        return freq.filled[key]
+
+    def filled(span: str, before: str, after: str) -> str:
         options = {span: 0.0}
         for _ in range(min(span.count(LOST), 6)):
             grown: dict[str, float] = {}
@@ -449,7 +506,7 @@ def _fill_letters(line: str, freq: Frequencies) -> str:
                         signs = freq.term.get(kind(left) + c, freq.floor) + freq.term.get(c + kind(right), freq.floor) - 2 * freq.floor
                     words = sum(freq.term.get(w, freq.floor) - freq.floor for w in re.findall(r"[^\W\d_]{2,}", new.replace(LOST, "-").lower()))
                     grown[new] = max(grown.get(new, -math.inf), 2.5 * words + signs + freq.of_char(c) * 0.1)
-            options = dict(sorted(grown.items(), key=lambda kv: -kv[1])[:BEAM])
+            options = dict(sorted(grown.items(), key=lambda kv: -kv[1])[:8])
         return max(options, key=lambda t: options[t])
 
     return _LETTER_LOSS.sub(again, line)
@@ -489,7 +546,11 @@ def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
         if line.isascii():
             out.append(line)
             continue
-        new = _undo_utf8(line)
+        hint = _NOT_HAN_HINT.search(line)
+        if not hint and _sound(line, freq):
+            out.append(line)
+            continue
+        new = _undo_utf8(line) if hint else line
         if LOST in new:
             new = _fill_losses(new, freq)
             garbled, complete = True, False

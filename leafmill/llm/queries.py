@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import restore_chunks
 from leafmill.llm.language import fit, label_segments, mislabelled
+from leafmill.llm.markup import cleaned
+from leafmill.llm.mix import mix, reached, source_sizes
+from leafmill.llm.pack import fill_report, pack_documents
 from leafmill.llm.quality import classify, statistics
 from leafmill.llm.repetition import repetition
+from leafmill.llm.scan import defects, repaired
 from leafmill.llm.split import rechunk, split_oversized
 from leafmill.sources.tables import load
 
@@ -28,6 +32,18 @@ def _query(sql: str | None = None):
     return add
 
 
+@_query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with noise of scanned pages, by kind."""
+    return defects(load(spark, sf_dir, "chunks"))
+
+
+@_query()
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks as continuous paragraphs."""
+    return repaired(load(spark, sf_dir, "chunks"))
+
+
 @_query("SELECT DISTINCT id FROM chunks WHERE length(content) > 1500")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that must be cut, out of the splitter's pieces."""
@@ -54,6 +70,18 @@ def p4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(load(spark, sf_dir, "chunks"))
 
 
+@_query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold markup, by kind."""
+    return cleaned(load(spark, sf_dir, "chunks")).select("id", F.explode("markup").alias("markup"))
+
+
+@_query()
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that hold markup as clean text."""
+    return cleaned(load(spark, sf_dir, "chunks"))
+
+
 @_query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with garbled characters, restorable or not."""
@@ -80,6 +108,31 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(statistics(load(spark, sf_dir, "chunks")))
 
 
+@_query()
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of 2,048 tokens filled with the texts of all documents."""
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
+@_query()
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(pack_documents(load(spark, sf_dir, "documents")))
+
+
+@_query()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture of the sources at their target shares."""
+    return mix(source_sizes(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets"))
+
+
+@_query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    targets = load(spark, sf_dir, "mix_targets")
+    return reached(mix(source_sizes(load(spark, sf_dir, "documents")), targets), targets)
+
+
 @_query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or too narrow."""
