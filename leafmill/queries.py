@@ -1,4 +1,7 @@
-"""Core queries over the catalogue tables, each with the SQL that must give the same rows."""
+"""Core queries over the catalogue tables, each with the SQL that must give the same rows.
+
+Timestamps come out as microseconds and lists as joined text, so that two engines can be compared value by value.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as T
+from leafmill.operators import catalog as C
+from leafmill.operators import search as S
+from leafmill.operators.chunking import STRATEGIES, Chunking, chunk, word_chunks
 from leafmill.operators.incremental import due
 from leafmill.sources.tables import load
 
@@ -24,6 +31,37 @@ def _query(sql: str | None = None):
     return add
 
 
+_US = ("created_at", "updated_at", "loaded_at")
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Timestamps as microseconds."""
+    return df.select(*[F.unix_micros(c).alias(f"{c}_us") if c in _US else F.col(c) for c in df.columns])
+
+
+#: Current state of each catalogued document.
+_CURRENT = """current_docs AS (
+  SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST, loaded_at DESC NULLS LAST,
+    kb_id DESC NULLS LAST, filename DESC NULLS LAST, original_name DESC NULLS LAST, file_type DESC NULLS LAST, file_size DESC NULLS LAST, file_path DESC NULLS LAST,
+    total_chunks DESC NULLS LAST, status DESC NULLS LAST, error_message DESC NULLS LAST, created_at DESC NULLS LAST, updated_at DESC NULLS LAST) AS r
+  FROM catalog_documents WHERE id IS NOT NULL) WHERE r = 1)"""
+_LINKS = """links AS (SELECT DISTINCT document_id, kb_id FROM document_knowledge_bases),
+named AS (SELECT l.document_id, string_agg(CAST(k.id AS VARCHAR), ',' ORDER BY k.id) AS kb_ids, string_agg(k.name, ', ' ORDER BY k.id) AS kb_names
+  FROM links l JOIN knowledge_bases k ON k.id = l.kb_id GROUP BY l.document_id)"""
+_DOC_COLUMNS = "d.id, d.kb_id, d.original_name, d.file_type, d.file_size, d.total_chunks, d.status, epoch_us(d.created_at) AS created_at_us, n.kb_ids, n.kb_names"
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return C.current_documents(load(spark, d, "catalog_documents"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return _plain(df.select("id", "kb_id", "original_name", "file_type", "file_size", "total_chunks", "status", "created_at", "kb_ids", "kb_names"))
+
+
+# ------------------------------------------------------------------ incremental processing
+
+
 @_query(
     """
     WITH states AS (
@@ -37,3 +75,302 @@ def _query(sql: str | None = None):
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue ids whose current finished state no run has processed."""
     return due(spark, load(spark, sf_dir, "catalog_documents"), load(spark, sf_dir, "index_run_items")).select("id")
+
+
+# ------------------------------------------------------------------ catalogue: lookups, lists, joins
+
+
+@_query(f"WITH {_CURRENT} SELECT * EXCLUDE (created_at, updated_at, loaded_at), epoch_us(created_at) AS created_at_us, epoch_us(updated_at) AS updated_at_us, epoch_us(loaded_at) AS loaded_at_us FROM current_docs")
+def cat_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current state of every document."""
+    return _plain(_documents(spark, sf_dir))
+
+
+@_query(f"WITH {_CURRENT} SELECT id, original_name, status FROM current_docs WHERE id = 100")
+def flt_get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document by id."""
+    return _documents(spark, sf_dir).filter("id = 100").select("id", "original_name", "status")
+
+
+@_query(f"WITH {_CURRENT}, {_LINKS} SELECT {_DOC_COLUMNS} FROM current_docs d LEFT JOIN named n ON n.document_id = d.id")
+def lst_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their collections."""
+    return _shown(C.list_documents(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases")))
+
+
+@_query(f"WITH {_CURRENT}, {_LINKS} SELECT {_DOC_COLUMNS} FROM current_docs d LEFT JOIN named n ON n.document_id = d.id WHERE d.status = 'completed'")
+def lst_documents_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one status with their collections."""
+    return _shown(C.list_documents(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases"), "completed"))
+
+
+@_query(f"WITH {_CURRENT}, {_LINKS} SELECT {_DOC_COLUMNS} FROM current_docs d LEFT JOIN named n ON n.document_id = d.id WHERE d.id IN (SELECT document_id FROM links WHERE kb_id = 4)")
+def lst_documents_by_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked to one collection, with all their collections."""
+    return _shown(C.list_documents_by_knowledge_base(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases"), 4))
+
+
+@_query("SELECT id, name, description, epoch_us(created_at) AS created_at_us FROM knowledge_bases")
+def lst_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All collections, newest first."""
+    return _plain(C.list_knowledge_bases(load(spark, sf_dir, "knowledge_bases")))
+
+
+@_query("SELECT id, document_id, chunk_index, content, token_count FROM chunks WHERE document_id = 7")
+def lst_chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one document in order; document 7 holds a tenth of all."""
+    return load(spark, sf_dir, "chunks").filter("document_id = 7").orderBy("chunk_index").select("id", "document_id", "chunk_index", "content", "token_count")
+
+
+@_query(f"WITH {_CURRENT} SELECT id, original_name FROM current_docs WHERE contains(lower(original_name), 'report')")
+def flt_documents_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose name contains a keyword."""
+    return C.filter_documents(_documents(spark, sf_dir), "Report").select("id", "original_name")
+
+
+@_query(
+    f"""WITH {_CURRENT}, {_LINKS}
+    SELECT d.id, d.original_name, upper(d.file_type) AS file_type, coalesce(n.kb_names, '未关联') AS kb_names, printf('%.2f', coalesce(d.file_size, 0) / 1048576.0) || ' MB' AS size,
+      coalesce(d.total_chunks, 0) AS total_chunks, d.status FROM current_docs d LEFT JOIN named n ON n.document_id = d.id"""
+)
+def fn_display_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document list as it is shown."""
+    return C.display(C.kb_names(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases")))
+
+
+@_query(
+    f"""WITH {_CURRENT}, links AS (SELECT DISTINCT document_id, kb_id FROM document_knowledge_bases),
+    home AS (SELECT d.id AS document_id, d.kb_id FROM current_docs d JOIN knowledge_bases k ON k.id = d.kb_id WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.document_id = d.id AND l.kb_id = d.kb_id)),
+    linked AS (SELECT document_id FROM links UNION SELECT document_id FROM home)
+    SELECT * FROM home UNION SELECT id, CAST(1 AS BIGINT) FROM current_docs WHERE id NOT IN (SELECT document_id FROM linked WHERE document_id IS NOT NULL)"""
+)
+def jn_missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that repair adds."""
+    return C.missing_home_links(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases"))
+
+
+@_query(f"WITH {_CURRENT} SELECT c.id, c.document_id, c.chunk_index, d.original_name, d.file_type, d.file_path FROM chunks c JOIN current_docs d ON d.id = c.document_id")
+def jn_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the name, type and path of their document."""
+    documents = _documents(spark, sf_dir).select(F.col("id").alias("document_id"), "original_name", "file_type", "file_path")
+    return load(spark, sf_dir, "chunks").select("id", "document_id", "chunk_index").join(documents, "document_id")
+
+
+@_query("SELECT document_id, count(DISTINCT chunk_index) AS total_chunks FROM chunks GROUP BY document_id")
+def agg_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of places each document has chunks in."""
+    return C.chunk_counts(load(spark, sf_dir, "chunks"))
+
+
+@_query(
+    """WITH once AS (SELECT document_id, chunk_index, arg_min(content, id) AS content FROM chunks WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL)
+    SELECT document_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM once GROUP BY document_id"""
+)
+def agg_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each document, put together from its chunks."""
+    return C.document_text(load(spark, sf_dir, "chunks"))
+
+
+# ------------------------------------------------------------------ search
+
+_TERMS = ("warranty", "sheet")
+_SNIPPET = """CASE WHEN {p} = 0 THEN left(content, 180) || CASE WHEN length(content) > 180 THEN '...' ELSE '' END
+  ELSE CASE WHEN {p} - 1 > 90 THEN '...' ELSE '' END
+    || regexp_replace(substring(content, greatest({p} - 90, 1), least(length(content), {p} - 1 + 90) - greatest({p} - 91, 0)), '^[\\t-\\r \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\t-\\r \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g')
+    || CASE WHEN {p} - 1 + 90 < length(content) THEN '...' ELSE '' END END"""
+
+
+def _search_sql(match: str, terms: tuple[str, ...], rows: str = "", extra: str = "") -> str:
+    """SQL of a search whose hits satisfy ``match``."""
+    first = "coalesce(list_min(list_filter([" + ", ".join(f"strpos(lower(content), '{t.lower()}')" for t in terms) + "], lambda x: x > 0)), 0)"
+    matched = " || ".join(f"CASE WHEN contains(lower(content), '{t.lower()}') THEN '{t}|' ELSE '' END" for t in terms)
+    return f"""WITH {_CURRENT}, toks AS (
+      SELECT *, regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+') AS t, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS phrase FROM chunks),
+    hits AS (SELECT c.id, c.document_id, c.chunk_index, c.content, d.original_name FROM toks c JOIN current_docs d ON d.id = c.document_id WHERE ({match}) {extra} {rows}),
+    placed AS (SELECT *, {first} AS p FROM hits)
+    SELECT id, document_id, chunk_index, original_name, rtrim({matched}, '|') AS matched_terms, {_SNIPPET.format(p="p")} AS snippet FROM placed"""
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("id", "document_id", "chunk_index", "original_name", F.array_join("matched_terms", "|").alias("matched_terms"), "snippet")
+
+
+def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
+    return _found(S.search(load(spark, d, "chunks"), _documents(spark, d), load(spark, d, "document_knowledge_bases"), query, **options))
+
+
+@_query(_search_sql("list_contains(t, 'warranty') AND list_contains(t, 'sheet')", _TERMS))
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with all terms, through the inverted index."""
+    return _search(spark, sf_dir, "warranty，sheet", limit=None)
+
+
+@_query(_search_sql("list_contains(t, 'warranty') OR list_contains(t, 'pump')", ("Warranty", "PUMP")))
+def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with one of the terms."""
+    return _search(spark, sf_dir, "Warranty; PUMP", match_mode="any", limit=None)
+
+
+@_query(_search_sql("contains(phrase, ' long term ') OR contains(phrase, ' naive ')", ("long-term", "naïve")))
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term of two tokens is a phrase; accents do not count."""
+    return _search(spark, sf_dir, "long-term naïve", match_mode="any", limit=None)
+
+
+@_query(_search_sql("list_contains(t, 'warranty')", ("warranty",), extra="AND d.id IN (SELECT document_id FROM document_knowledge_bases WHERE kb_id = 1)"))
+def search_in_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search within one collection."""
+    return _search(spark, sf_dir, "warranty", kb_id=1, limit=None)
+
+
+@_query(_search_sql("contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '保险证')", ("保险证",)))
+def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of a Chinese run is no token; the substring branch finds it."""
+    return _search(spark, sf_dir, "保险证", limit=None)
+
+
+@_query(_search_sql("list_contains(t, 'warranty')", ("warranty",), rows="ORDER BY d.original_name, c.chunk_index, c.id LIMIT 500"))
+def search_top_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 hits by document name and place, which is the default."""
+    return _search(spark, sf_dir, "warranty")
+
+
+@_query(
+    """WITH w AS (SELECT document_id, id, unnest(regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďđēĕėęěĝğġģĥĩīĭįıĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž', 'aaaaaaceeeeiiiinooooouuuuyyaaaccccddeeeeegggghiiiiijkllllnnnooorrrsssstttuuuuuuwyzzz'), '[\\p{L}\\p{N}\\p{Co}]+')) AS token FROM chunks)
+    SELECT token, count(*) AS n, count(DISTINCT id) AS chunks FROM w GROUP BY token"""
+)
+def fts_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and in how many chunks, each token of the content stands."""
+    return S.postings(load(spark, sf_dir, "chunks")).filter("col = 'content'").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
+
+
+@_query(
+    """WITH hits AS (SELECT DISTINCT id, document_id, chunk_index FROM chunks WHERE contains(content, 'warranty sheet'))
+    SELECT h.id, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.chunk_index, c.id) AS context FROM hits h JOIN (SELECT DISTINCT id, document_id, chunk_index FROM chunks) c
+      ON c.document_id = h.document_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY h.id"""
+)
+def win_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their neighbours in the document."""
+    chunks = load(spark, sf_dir, "chunks").dropDuplicates(["id"])
+    documents = chunks.select(F.col("document_id").alias("id")).distinct().select("id", *[F.lit(None).cast("string").alias(c) for c in ("original_name", "file_type", "file_path", "total_chunks")])
+    hits = chunks.filter(F.contains("content", F.lit("warranty sheet"))).select("id")
+    return S.context(chunks, documents, hits).select("id", F.array_join(F.transform("context", lambda c: c["id"].cast("string")), ",").alias("context"))
+
+
+@_query(
+    """WITH c AS (SELECT DISTINCT id, document_id, chunk_index FROM chunks)
+    SELECT h.id, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.chunk_index, c.id) AS context FROM c h JOIN c ON c.document_id = h.document_id AND c.chunk_index BETWEEN h.chunk_index - 2 AND h.chunk_index + 2 GROUP BY h.id"""
+)
+def win_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with two neighbours on either side, by a window."""
+    once = load(spark, sf_dir, "chunks").dropDuplicates(["id"])
+    return S.context_windows(once, 2).select("id", F.array_join(F.transform("context", lambda c: c["id"].cast("string")), ",").alias("context"))
+
+
+# ------------------------------------------------------------------ text functions
+
+_WS = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_WS_IN_LINE = _WS.replace("\\t-\\r", "\\t\\x{0b}\\x{0c}\\r")
+_STRIP = f"'^[{_WS}]+|[{_WS}]+$', '', 'g'"
+
+
+@_query(
+    f"""SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'),
+      '[\\x{{200b}}-\\x{{200d}}\\x{{feff}}\\x{{2028}}\\x{{2029}}\\x{{ad}}\\x{{202a}}-\\x{{202e}}]', '', 'g'), '[{_WS_IN_LINE}]{{3,}}', ' ', 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), '[{_WS_IN_LINE}]+(\\n|\\z)', '\\1', 'g'), {_STRIP})) AS cleaned FROM chunks"""
+)
+def fn_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned content of every chunk, as a digest."""
+    return load(spark, sf_dir, "chunks").select("id", F.md5(T.clean_text(F.col("content"))).alias("cleaned"))
+
+
+@_query(
+    f"""WITH a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)</(?:p|div|h[1-6]|li|tr|pre|blockquote)\\s*>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM chunks),
+    b AS (SELECT id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM a)
+    SELECT id, md5(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> ''), chr(10))) AS plain FROM b"""
+)
+def fn_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of every chunk with HTML taken off, as a digest."""
+    return load(spark, sf_dir, "chunks").select("id", F.md5(T.html_to_text(F.col("content"))).alias("plain"))
+
+
+@_query(
+    f"""WITH d AS (SELECT id, any_value(lower(trim(file_type))) AS file_type FROM catalog_documents GROUP BY id),
+    m AS (SELECT c.id, coalesce(d.file_type, '') AS k, length(regexp_replace(c.content, {_STRIP})) AS n, CASE WHEN length(c.content) > 0 THEN length(regexp_replace(c.content, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) / length(c.content) ELSE 0 END AS r
+      FROM chunks c LEFT JOIN d ON d.id = c.document_id AND d.file_type IN ('py', 'mp3'))
+    SELECT id, round(r, 6) AS ratio, CASE WHEN n = 0 THEN 'very_low' WHEN k = 'mp3' THEN CASE WHEN n > 100 AND r > 0.3 THEN 'high' WHEN n > 20 THEN 'medium' ELSE 'low' END
+      WHEN k = 'py' THEN CASE WHEN n > 100 THEN 'high' ELSE 'medium' END
+      WHEN n > 1000 AND r > 0.5 THEN 'high' WHEN n > 200 AND r > 0.3 THEN 'medium' WHEN n > 50 THEN 'low' ELSE 'very_low' END AS level FROM m"""
+)
+def fn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of letters and grade of every chunk; code has rules of its own."""
+    kinds = load(spark, sf_dir, "catalog_documents").groupBy(F.col("id").alias("document_id")).agg(F.max(F.lower(F.trim("file_type"))).alias("file_type")).filter("file_type IN ('py', 'mp3')")
+    chunks = load(spark, sf_dir, "chunks").join(kinds, "document_id", "left")
+    return chunks.select("id", F.round(T.meaningful_ratio(F.col("content")), 6).alias("ratio"), T.quality(F.col("content"), F.col("file_type"))["level"].alias("level"))
+
+
+@_query(f"SELECT id, CAST(nullif(regexp_extract(content, '\\[第[{_WS}]*([0-9]+)[{_WS}]*页\\]', 1), '') AS INTEGER) AS page FROM chunks")
+def fn_page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page that a chunk stands on, by its first marker."""
+    return load(spark, sf_dir, "chunks").select("id", T.page_number(F.col("content")).alias("page"))
+
+
+@_query("""SELECT id, md5(replace(replace(regexp_replace(replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
+    '(?i)warranty', '<mark>\\0</mark>', 'g'), chr(10), '<br>'), '<mark>', '<span style="color:#1e1e2e; background-color:#f9e2af; font-weight:700; padding:1px 3px;">')) AS html FROM chunks""".replace("'<mark>\\0</mark>'", "'<mark>\\0</span>'"))
+def fn_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content as HTML with a term marked, as a digest."""
+    return load(spark, sf_dir, "chunks").select("id", F.md5(T.highlight(F.col("content"), ["warranty"])).alias("html"))
+
+
+@_query(
+    f"""WITH {_CURRENT} SELECT id, CASE WHEN file_size < 1024 THEN CAST(file_size AS VARCHAR) || ' B' WHEN file_size < 1048576 THEN printf('%.1f', file_size / 1024.0) || ' KB'
+      WHEN file_size < 1073741824 THEN printf('%.1f', file_size / 1048576.0) || ' MB' ELSE printf('%.2f', file_size / 1073741824.0) || ' GB' END AS size,
+    CASE WHEN file_size // 3600 > 0 THEN file_size // 3600 || '时' || lpad(CAST(file_size % 3600 // 60 AS VARCHAR), 2, '0') || '分' || lpad(CAST(file_size % 60 AS VARCHAR), 2, '0') || '秒'
+      WHEN file_size // 60 > 0 THEN file_size // 60 || '分' || lpad(CAST(file_size % 60 AS VARCHAR), 2, '0') || '秒' ELSE CAST(file_size AS VARCHAR) || '秒' END AS duration,
+    lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) AS extension, list_last(string_split(file_path, '/')) AS base_name,
+    array_to_string(list_filter(regexp_split_to_array(translate(replace(original_name, '_', ' '), '，,；;', '    '), '[{_WS}]+'), lambda t: t <> ''), '|') AS keywords FROM current_docs"""
+)
+def fn_display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, durations, file names and keywords as text."""
+    size, path = F.col("file_size"), F.col("file_path")
+    return _documents(spark, sf_dir).select(
+        "id", T.size_text(size).alias("size"), T.duration_text(size).alias("duration"), T.extension(path).alias("extension"), T.base_name(path).alias("base_name"),
+        F.array_join(T.keywords(F.replace("original_name", F.lit("_"), F.lit(" "))), "|").alias("keywords"),
+    )
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey >= 1 AND o_orderkey < 2958466 THEN CAST(CAST(DATE '1899-12-30' + CAST(o_orderkey + CASE WHEN o_orderkey < 60 THEN 1 ELSE 0 END AS INTEGER) AS DATE) AS VARCHAR) END AS day FROM orders")
+def fn_excel_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read as Excel dates."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.excel_date(F.col("o_orderkey")).alias("day"))
+
+
+@_query("SELECT id, CASE WHEN length(content) > 300 THEN left(content, 300) || chr(10) || chr(10) || '... (文本过长，已截断，共 ' || length(content) || ' 字符)' ELSE content END AS short, md5(regexp_replace(regexp_replace(content, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g')) AS even FROM chunks")
+def fn_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortened content, and the digest of content with even white space."""
+    return load(spark, sf_dir, "chunks").select("id", T.truncate_text(F.col("content"), 300).alias("short"), F.md5(T.normalize_whitespace(F.col("content"))).alias("even"))
+
+
+# ------------------------------------------------------------------ chunking
+
+
+@_query(
+    """WITH w AS (SELECT doc_id AS document_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT document_id, t, unnest(range(CASE WHEN len(t) = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((len(t) - 128) / 112.0) AS BIGINT)) END)) AS i FROM w)
+    SELECT document_id, CAST(i AS INTEGER) AS chunk_index, md5(array_to_string(t[i * 112 + 1 : i * 112 + 128], ' ')) AS content, len(t[i * 112 + 1 : i * 112 + 128]) AS token_count FROM k"""
+)
+def ch_fixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 128 words with an overlap of 16, natively."""
+    cut = word_chunks(load(spark, sf_dir, "documents"), 128, 16, "doc_id")
+    return cut.select("document_id", "chunk_index", F.md5("content").alias("content"), "token_count")
+
+
+def _chunk_query(strategy: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return chunk(load(spark, sf_dir, "documents"), Chunking(512, 64, strategy), "doc_id")
+
+    run.__name__, run.__doc__ = f"ch_{strategy}", f"Chunks of all documents, strategy {strategy}."
+    _query()(run)
+
+
+for _s in STRATEGIES:
+    _chunk_query(_s)
