@@ -355,20 +355,34 @@ def _undo_utf8(text: str) -> str:
     return text
 
 
+#: Characters that text in the seven languages is mostly written with and that no misreading does without others beside them.
+_SOUND_CHARS = frozenset("°") | (PLAUSIBLE -frozenset("ÂÃÅÄÐÑÎÏÌÒÅåìòýÿðâ¡¢£§©®™×±²³½¼¾µ¶ªº‚√≥≤≠\xad​")) | frozenset(map(chr, [9, 10, 13, *range(32, 127)])) | frozenset(
+    # the common characters are the first level of GB 2312
+    bytes((a, b)).decode("gb2312", "ignore") for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF)
+)
+_SWAPPED = re.compile("[а-яё][А-ЯЁ]")
+
+
 def rough_repair(text: str) -> str:
     """``text`` with misread UTF-8 restored where the form alone is proof; no word frequencies are used."""
-    if text.isascii() or not _HINT.search(text):
+    if text.isascii() or _SOUND_CHARS.issuperset(text) and not _SWAPPED.search(text):
         return text
     lines = []
     for line in text.split("\n"):
-        if not line.isascii():
-            line = _undo_utf8(line)
-            line = _undo_double(line, None)[0]
-            line = _undo_crossed(line, None)[0]
+        if not line.isascii() and not (_SOUND_CHARS.issuperset(line) and not _SWAPPED.search(line)):
+            hint = _NOT_HAN_HINT.search(line)
+            if hint:
+                line = _undo_utf8(line)
+            if not _COMMON_HAN.search(line) and _HAN.search(line):
+                line = _undo_double(line, None)[0]
+            if hint:
+                line = _undo_crossed(line, None)[0]
         lines.append(line)
     return "\n".join(lines)
 
 
+#: Sound Chinese text of some length has one of these characters.
+_COMMON_HAN = re.compile("[的了在是和有不这为与]")
 _NON = re.compile(r"[^\x00-\x7f]+(?:[ -~]?[^\x00-\x7f]+)*")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import rough_repair
 from leafmill.llm.quality import with_kind
+from leafmill.session import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh")
 #: Languages that share the Latin script; the other two are told by script alone.
@@ -44,7 +45,7 @@ SEEDS = {
 _CODES = {n: code for code, names in NOTATIONS.items() for n in names.split()}
 
 HAN = r"㐀-䶿一-鿿豈-﫿"
-_WORD = re.compile(rf"[{HAN}]+|(?<![\w-])[^\W\d_{HAN}]+(?![\w]*\d)")
+_WORD = re.compile(rf"[{HAN}]+|(?<![\w-])[^\W\d_{HAN}]+(?!\w*-?\d)")
 _IS_HAN, _IS_CYR = re.compile(f"[{HAN}]"), re.compile("[Ѐ-ӿ]")
 #: Rough weight of a Chinese character against the letters that say the same.
 _HAN_WORDS = 2.0
@@ -172,7 +173,8 @@ def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS
     sample = _sampled(documents, docs).select("code", "text")
     model: Model | None = None
     for _ in range(2):
-        counted = sample.mapInArrow(_counted(model), "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n")).filter("n > 1")
+        # written once, since each language's words are picked from it
+        counted = cut(sample.mapInArrow(_counted(model), "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n")).filter("n > 1"))
         top = [counted.filter(F.col("code") == c).orderBy(F.col("n").desc(), "word").limit(words) for c in LATIN]
         counted = top[0]
         for t in top[1:]:
@@ -335,19 +337,45 @@ def shares(segments: DataFrame) -> DataFrame:
     return total.select("doc_id", "_all", F.explode("_by").alias("b")).select("doc_id", "b.lang_code", "b.chars", "b.claimed", "b.confidence", F.when(F.col("_all") > 0, F.col("b.chars") / F.col("_all")).otherwise(F.lit(0.0)).alias("share"))
 
 
+_CASE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("by", pa.list_(pa.struct([("lang_code", pa.string()), ("confidence", pa.float64()), ("share", pa.float64())])))])
+
+
+def _cases(model: Model, least_share: float):
+    """Documents whose languages are not those that the label names, with their text for a last look at its kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(model)
+        for batch in batches:
+            ids, texts, claimed = (c.to_pylist() for c in batch.columns)
+            for i in range(0, len(ids), 400):
+                rows = []
+                for doc, text, names, segments in zip(ids[i:], texts[i:], claimed[i:], labeller.label([rough_repair(t) for t in texts[i : i + 400]])):
+                    size: Counter = Counter()
+                    sure: Counter = Counter()
+                    for _, _, code, confidence, n in segments:
+                        size[code] += n
+                        sure[code] += confidence * n
+                    whole = sum(size.values())
+                    found = [c for c, n in size.items() if c != "und" and n >= least_share * whole]
+                    if found and set(found) != set(names):
+                        rows.append((doc, text, [{"lang_code": c, "confidence": sure[c] / size[c], "share": size[c] / whole} for c in found]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CASE)], schema=_CASE)
+
+    return run
+
+
 def mislabelled(documents: DataFrame, model: Model | None = None, least_share: float = 0.2, least_chars: int = 60) -> DataFrame:
     """Documents whose label is missing, wrong or does not name all languages: ``doc_id``, ``lang_code``, ``confidence``, ``share``.
 
     One row for each language with ``least_share`` of the characters. Texts under ``least_chars``, program code and
-    unreadable texts are left out. A document stored twice under one id counts once.
+    unreadable texts are left out; the kind of text is asked only for documents that would be cases. Wrongly decoded
+    text is restored before it is labelled. Documents are decided one by one, without a shuffle; one stored twice comes out twice.
     """
     model = model or fit(documents)
-    text = documents.filter(F.length("text") >= least_chars)
-    readable = with_kind(text, "text").filter("text_kind NOT IN ('code', 'junk')")
-    languages = shares(label_segments(readable, model, repair=True)).filter((F.col("share") >= least_share) & (F.col("lang_code") != "und"))
-    found = languages.groupBy("doc_id").agg(F.sort_array(F.collect_set("lang_code")).alias("found"), F.sort_array(F.max("claimed")).alias("named"), F.collect_list(F.struct("lang_code", "confidence", "share")).alias("by"))
-    wrong = found.filter(~F.col("found").eqNullSafe(F.col("named")))
-    return wrong.select("doc_id", F.explode("by").alias("b")).select("doc_id", "b.lang_code", "b.confidence", "b.share")
+    used = documents.filter(F.length("text") >= least_chars).select("doc_id", "text", named(F.col("lang")).alias("claimed"))
+    cases = used.mapInArrow(_cases(model, least_share), "doc_id long, text string, by array<struct<lang_code: string, confidence: double, share: double>>")
+    readable = with_kind(cases, "text").filter("text_kind NOT IN ('code', 'junk')")
+    return readable.select("doc_id", F.inline("by"))
 
 
 def codes(labels: Iterable[str | None]) -> list[str | None]:

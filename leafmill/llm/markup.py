@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,13 +55,13 @@ _WIKI = re.compile(
 _MATH = re.compile(r"\$\$[^$]{1,500}\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,200}?[\\^_=][^$\n]{0,200}?\$(?![\w$])|\\\([^\n]{1,300}?\\\)|\\\[[^\]]{1,500}?\\\]")
 _TEX = re.compile(rf"(?<![\w\\:])\\(?:{'|'.join(sorted(_COMMANDS, key=len, reverse=True))})\*?(?![A-Za-z\\])|(?<![\w\\:])\\[A-Za-z]+\*?\{{")
 #: Lines of program code, in which signs are no markup.
-_CODE = re.compile(r"^\s*(?:def|for|if|elif|while|return|assert|class|import|from|public|private|func|fn|var|let|const|switch|case)\b.*[\[\](){};:=.]|[;{}]\s*$|^\s*[\w.\[\]]+ ?[-+*/|&]?= ?\S|^\s*(?://|#include|/\*)|\w<[A-Z]\w*>")
+_CODE = re.compile(r"^\s*(?:def|for|if|elif|while|return|assert|class|import|from|public|private|func|fn|var|let|const|switch|case)\b.*[\[\](){};:=.]|^[^\\]*[;{}]\s*$|^\s*[\w.\[\]]+ ?[-+*/|&]?= ?\S|^\s*(?://|#include|/\*)|\w<[A-Z]\w*>")
 _CODE_FILE = re.compile(r"^\s*\[代码文件")
 
 
 def _prose(text: str) -> str:
     """``text`` without its lines of program code."""
-    return "\n".join(x for x in text.split("\n") if not _CODE.search(x) or "`" in x or "](" in x)
+    return "\n".join(x for x in text.split("\n") if not _CODE.search(x) or "`" in x or "](" in x or "}}" in x or "]]" in x or "{|" in x or "|}" in x)
 
 
 def kinds(text: str) -> list[str]:
@@ -72,7 +73,7 @@ def kinds(text: str) -> list[str]:
     if _CODE_FILE.match(text):
         return []
     out = []
-    if "<" in text and (_TAG.search(text) or _COMMENT.search(text)) or "&" in text and any(html.unescape(e) != e for e in _ENTITY.findall(text)):
+    if "<" in text and (_TAG.search(text) or _COMMENT.search(text)) or "&" in text and any(e[1] == "#" or e[1:] in html.entities.html5 for e in _ENTITY.findall(text)):
         out.append("html")
     fence = ("```" in text or "~~~" in text) and _FENCE.search(text)
     plain: str | None = None

@@ -73,11 +73,11 @@ def counts(t: Column, words: Column) -> dict[str, Column]:
 COUNTS = ("chars", "bytes", "words", "word_chars", "common", "han", "lines", "ended", "stops", "commas", "mark_chars", "row_chars", "figures", "symbols", "vowels", "code")
 
 
-def _counted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with a struct ``out`` of the counts; text and words are made once a row, in steps of their own."""
+def _counted(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """``df`` with the counts; text and words are made once a row, in steps of their own."""
     df = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _MARKER, ""))
     df = df.withColumn("_w", F.filter(F.split(F.lower("_t"), r"[\s,;|.:!?()“”„«»\"]+"), lambda w: w != ""))
-    return df.withColumn(out, F.struct(*[v.cast("int").alias(k) for k, v in counts(F.col("_t"), F.col("_w")).items()])).drop("_t", "_w")
+    return df.withColumns({prefix + k: v.cast("int") for k, v in counts(F.col("_t"), F.col("_w")).items()}).drop("_t", "_w")
 
 
 def ratios(c=F.col) -> dict[str, Column]:
@@ -114,9 +114,10 @@ def statistics(chunks: DataFrame) -> DataFrame:
     without ``document_id`` are skipped. Counting is done at the scan, in the JVM; only numbers are
     shuffled, and they are added up before the shuffle, so no document is ever in one place.
     """
-    counted = _counted(chunks.filter("document_id IS NOT NULL").select("document_id", "chunk_index", "content"), "content", "c")
-    once = counted.groupBy("document_id", "chunk_index").agg(F.max("c").alias("c"))
-    total = once.groupBy("document_id").agg(*[F.sum(f"c.{k}").alias(k) for k in COUNTS])
+    counted = _counted(chunks.filter("document_id IS NOT NULL").select("document_id", "chunk_index", "content"), "content")
+    # a column for each count, so that those which nobody asks for are never counted
+    once = counted.groupBy("document_id", "chunk_index").agg(*[F.max(k).alias(k) for k in COUNTS])
+    total = once.groupBy("document_id").agg(*[F.sum(k).alias(k) for k in COUNTS])
     return total.select("document_id", *[v.alias(k) for k, v in ratios().items()])
 
 
@@ -132,5 +133,5 @@ def classify(stats: DataFrame) -> DataFrame:
 
 def with_kind(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the ``text_kind`` of its column ``text``, taken as a whole document."""
-    inner = _counted(df, text, "_c").withColumn("_r", F.struct(*[v.alias(k) for k, v in ratios(lambda k: F.col(f"_c.{k}")).items()]))
-    return inner.withColumn("text_kind", F.expr(to_sql(rules(), "prose", "_r."))).drop("_c", "_r")
+    inner = _counted(df, text, "_c_").withColumns({f"_r_{k}": v for k, v in ratios(lambda k: F.col(f"_c_{k}")).items()})
+    return inner.withColumn("text_kind", F.expr(to_sql(rules(), "prose", "_r_"))).select(*df.columns, "text_kind")

@@ -71,8 +71,8 @@ def _worth(x: dict[str, np.ndarray], y: np.ndarray, conditions) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 0, longest: int = 5, least: float = 0.6) -> list[Rule]:
-    """A rule list for ``labels`` over the features ``x``, rarest label first; ``default`` gets no rules.
+def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 0, longest: int = 5, least: float = 0.6, order: tuple[str, ...] = ()) -> list[Rule]:
+    """A rule list for ``labels`` over the features ``x``, labels in ``order``, others rarest first; ``default`` gets no rules.
 
     For each rule the examples left are parted 2:1. The rule is grown on the first part until pure,
     then final conditions are dropped as long as its worth (p - n) / (p + n) on the second part does not
@@ -82,7 +82,7 @@ def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int
     rng = np.random.default_rng(seed)
     left = np.ones(len(labels), bool)
     rules: list[Rule] = []
-    for label in sorted((v for v in set(labels.tolist()) if v != default), key=lambda v: (int((labels == v).sum()), v)):
+    for label in sorted((v for v in set(labels.tolist()) if v != default), key=lambda v: (order.index(v) if v in order else len(order), int((labels == v).sum()), v)):
         for _ in range(20):
             at = np.flatnonzero(left)
             if not (labels[at] == label).any():
