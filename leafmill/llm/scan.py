@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.vocabulary import BOUND, frequent, term_counts
+from leafmill.session import cut
 
 #: A form this many times rarer than another of its skeleton is a misreading of it.
 RARER = 20
@@ -44,6 +45,7 @@ _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 _ODD = re.compile(r"[@+(|!$\d]|[a-z][а-яё]|[а-яё][a-z]")
 _CODE = re.compile(r"^\s*(?:def|for|if|while|return|assert|class|import)\b|^\s*[\w.\[\]]+ ?[-+*/]?= ?\S|[;{}]\s*$|->|==|&&|\|\|")
 _CUT = re.compile(r"([^\W\d_]{1,40})([-‐¬\xad])[ \t\r]*$")
+_HYPHENS = ("-", "‐", "¬", "\xad")
 _HEAD = re.compile(r"[ \t]*([^\W\d_]{1,40})")
 
 _WORDS = r"(?:pages?|pag[.]?|pg[.]?|p[.]|seite|s[.]|página|pagina|pág[.]?|стр[.]?|страница|с[.])"
@@ -98,10 +100,11 @@ class Reader:
                 top = self.counts[forms[0]]
                 self.groups[s] = [f for f in forms if self.counts[f] * RARER > top]
         self.known: dict[str, str | None] = {}
+        self.fine = {f for forms in self.groups.values() for f in forms}
 
     def sound(self, word: str) -> bool:
         """Whether a word in lower case is a frequent form that no far more frequent one explains."""
-        return word in self.counts and word in self.groups.get(skeleton(word), ())
+        return word in self.fine
 
     def rivals(self) -> set[str]:
         """Forms that share their skeleton with another frequent form, so that only context can tell them apart."""
@@ -165,7 +168,7 @@ class Reader:
         kinds = [BLANK if not x.strip() else MARK if _MARKER.match(x) else TEXT for x in lines]
         page = False
         titles: list[tuple[str, int, bool, bool]] = []
-        gaps = sum(1 for x in lines if _GAP.search(x.strip()))
+        gaps = sum(1 for x in lines if "   " in x and _GAP.search(x.strip())) if "   " in text else 0
         for i, x in enumerate(lines):
             if kinds[i] != TEXT or len(x) > 100:
                 continue
@@ -194,7 +197,7 @@ class Reader:
                     titles.append((masked(x), i, sure, top and narrow and bool(follow)))
         hyphen = False
         for i, x in enumerate(lines):
-            if kinds[i] == TEXT and (m := _CUT.search(x)) and not _CODE.search(x):
+            if kinds[i] == TEXT and x.rstrip()[-1:] in _HYPHENS and (m := _CUT.search(x)) and not _CODE.search(x):
                 j = i + 1
                 while j < len(lines) and (kinds[j] in (BLANK, PAGE, BOTH, MARK) or any(t[1] == j for t in titles)):
                     j += 1
@@ -224,21 +227,25 @@ class Reader:
         return True
 
     def _misread(self, lines: list[str], kinds: list[str], repair: bool) -> tuple[bool, list[str]]:
-        counts, glyph, out = self.counts, False, lines
+        fine, known, glyph, out = self.fine, self.known, False, lines
         if repair:
             out = list(lines)
         for i, x in enumerate(lines):
             if kinds[i] in (BLANK, PAGE, MARK):
                 continue
+            low = _TOKEN.findall(x.lower())
+            # most words are sound, and most others have been looked at before
+            open_ = [k for k, w in enumerate(low) if w not in fine and len(w) > 2 and w[0] < "㐀" and known.get(w, w) is not None]
+            if not open_:
+                continue
             words = _TOKEN.findall(x)
-            low = [w.lower() for w in words]
+            if len(words) != len(low):
+                continue
             fixes: list[str | None] | None = None
             code = None
-            for k, w in enumerate(low):
-                if w in counts or len(w) < 3:
-                    if len(w) < 3 or w in self.groups.get(skeleton(w), (w,)):
-                        continue
-                elif w.isdigit() or _HAN.search(w):
+            for k in open_:
+                w = low[k]
+                if w.isdigit() or _HAN.search(w):
                     continue
                 if words[k].isupper() and sum(c.isdigit() for c in w) * 3 > len(w):
                     continue  # a code such as G11E
@@ -345,7 +352,8 @@ def defects(chunks: DataFrame, counts: dict[str, int] | None = None) -> DataFram
     Kinds are ``hyphen``, ``glyph``, ``header`` and ``page_number``. NULL and empty texts have none; a row delivered
     twice counts once, a chunk stored under two ids under each.
     """
-    read = read_chunks(chunks, counts=counts)
+    # flags and title candidates only; written once, since titles are grouped, joined and counted from it
+    read = cut(read_chunks(chunks, counts=counts).drop("lines"))
     titled_ids = running_titles(read).select("id", F.lit("header").alias("defect"))
     kinds = F.array(*[F.when(F.col(k), F.lit(k)) for k in ("hyphen", "glyph", "page_number")])
     other = read.select("id", F.explode(F.array_compact(kinds)).alias("defect"))
@@ -359,7 +367,7 @@ def repaired(chunks: DataFrame, counts: dict[str, int] | None = None) -> DataFra
     reflowed by windows over the lines of a chunk: a line continues the paragraph unless a blank line or marker parts them, it opens a list
     item or row, or the line before ends a sentence clearly short of the chunk's widest line. NULL and empty content comes back empty.
     """
-    read = read_chunks(chunks, repair=True, counts=counts)
+    read = cut(read_chunks(chunks, repair=True, counts=counts))
     lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.no").alias("no"), F.rtrim("l.text").alias("text"), F.col("l.kind").alias("kind")).dropDuplicates(["id", "no"])
     gone = running_titles(read).select("id", F.col("line").alias("no")).distinct()
     kept = lines.filter("kind NOT IN ('page', 'both')").join(gone, ["id", "no"], "left_anti")
