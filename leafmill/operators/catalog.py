@@ -104,6 +104,29 @@ def missing_home_links(documents: DataFrame, links: DataFrame, kbs: DataFrame) -
     return home.select("document_id", "kb_id").unionByName(orphans).distinct()
 
 
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """``rows`` less those whose ``column`` is one of the values in ``gone`` (one column); NULL stays."""
+    return rows.join(gone.select(F.col(gone.columns[0]).alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
+
+
+def with_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``document_id``, ``kb_id`` of ``links`` and ``pairs``, each pair once."""
+    return links.select("document_id", "kb_id").unionByName(pairs.select("document_id", "kb_id")).distinct()
+
+
+def moved(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links after the documents of ``pairs`` have been moved to the collections named there: these are their only ones."""
+    return with_links(without(links, pairs.select("document_id"), "document_id"), pairs)
+
+
+def with_status(documents: DataFrame, changes: DataFrame) -> DataFrame:
+    """``documents`` with ``status`` and ``error_message`` from ``changes`` (``id``, ``status``, ``error_message``) where they have a row."""
+    new = changes.select(F.col("id").alias("_id"), F.col("status").alias("_status"), F.col("error_message").alias("_error"))
+    joined = documents.join(new, F.col("id") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    return joined.withColumns({"status": F.when(hit, F.col("_status")).otherwise(F.col("status")), "error_message": F.when(hit, F.col("_error")).otherwise(F.col("error_message"))}).select(*documents.columns)
+
+
 def with_ids(rows: DataFrame, first: int) -> DataFrame:
     """``rows`` with an ``id`` from ``first`` on, without holes: an offset a partition, plus the place in it."""
     placed = cut(rows.withColumn("_at", F.monotonically_increasing_id()))

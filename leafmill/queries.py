@@ -374,3 +374,82 @@ def _chunk_query(strategy: str) -> None:
 
 for _s in STRATEGIES:
     _chunk_query(_s)
+
+
+# ------------------------------------------------------------------ changes, as set operations
+
+
+@_query(f"WITH {_CURRENT} SELECT c.id, c.chunk_index FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM current_docs d WHERE d.id = c.document_id AND d.status = 'failed')")
+def dml_delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are left when all failed documents are deleted."""
+    failed = _documents(spark, sf_dir).filter("status = 'failed'").select("id")
+    return C.without(load(spark, sf_dir, "chunks").select("id", "document_id", "chunk_index"), failed, "document_id").select("id", "chunk_index")
+
+
+@_query("SELECT document_id, kb_id FROM document_knowledge_bases WHERE kb_id NOT IN (SELECT id FROM knowledge_bases WHERE id % 7 = 4) OR kb_id IS NULL")
+def dml_delete_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are left when some collections are deleted."""
+    gone = load(spark, sf_dir, "knowledge_bases").filter("id % 7 = 4").select("id")
+    return C.without(load(spark, sf_dir, "document_knowledge_bases").select("document_id", "kb_id"), gone, "kb_id")
+
+
+@_query("SELECT document_id, kb_id FROM document_knowledge_bases UNION SELECT document_id, CAST(2 AS BIGINT) FROM document_knowledge_bases WHERE kb_id = 1")
+def dml_copy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after the documents of one collection are copied to another."""
+    links = load(spark, sf_dir, "document_knowledge_bases")
+    return C.with_links(links, links.filter("kb_id = 1").select("document_id", F.lit(2).cast("long").alias("kb_id")))
+
+
+@_query(
+    """WITH m AS (SELECT DISTINCT document_id FROM document_knowledge_bases WHERE kb_id = 1)
+    SELECT document_id, kb_id FROM document_knowledge_bases WHERE document_id NOT IN (SELECT document_id FROM m WHERE document_id IS NOT NULL) UNION SELECT document_id, CAST(2 AS BIGINT) FROM m"""
+)
+def dml_move_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after the documents of one collection are moved to another."""
+    links = load(spark, sf_dir, "document_knowledge_bases")
+    return C.moved(links, links.filter("kb_id = 1").select("document_id", F.lit(2).cast("long").alias("kb_id")).distinct())
+
+
+@_query(
+    f"""WITH {_CURRENT}, c AS (SELECT document_id, count(DISTINCT chunk_index) AS n FROM chunks GROUP BY document_id)
+    SELECT d.id, CASE WHEN c.n > 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN c.n > 0 THEN NULL ELSE 'no chunks' END AS error_message FROM current_docs d LEFT JOIN c ON c.document_id = d.id"""
+)
+def dml_update_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every document after a run, from whether it has chunks."""
+    documents = _documents(spark, sf_dir)
+    counts = C.chunk_counts(load(spark, sf_dir, "chunks")).withColumnRenamed("document_id", "_d")
+    changes = documents.select("id").join(counts, F.col("id") == F.col("_d"), "left")
+    done = F.coalesce(F.col("total_chunks") > 0, F.lit(False))
+    changes = changes.select("id", F.when(done, "completed").otherwise("failed").alias("status"), F.when(~done, "no chunks").alias("error_message"))
+    return C.with_status(documents, changes).select("id", "status", "error_message")
+
+
+@_query(f"WITH {_CURRENT} SELECT d.id, d.kb_id, k.name FROM current_docs d JOIN knowledge_bases k ON k.id = d.kb_id")
+def jn_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the name of their home collection."""
+    return _documents(spark, sf_dir).select("id", "kb_id").join(load(spark, sf_dir, "knowledge_bases").select(F.col("id").alias("kb_id"), "name"), "kb_id")
+
+
+@_query("SELECT c.id FROM chunks c WHERE EXISTS (SELECT 1 FROM document_knowledge_bases l WHERE l.document_id = c.document_id AND l.kb_id = 1)")
+def jn_chunks_in_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the documents of one collection."""
+    members = load(spark, sf_dir, "document_knowledge_bases").filter("kb_id = 1").select("document_id")
+    return load(spark, sf_dir, "chunks").select("id", "document_id").join(members, "document_id", "left_semi").select("id")
+
+
+@_query("SELECT count(*) AS n FROM knowledge_bases WHERE id = 1")
+def agg_default_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the collection that must exist does."""
+    return load(spark, sf_dir, "knowledge_bases").filter("id = 1").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {_CURRENT} SELECT c.id, (c.chunk_index + 1) || '/' || d.total_chunks AS label,
+      d.file_path || CASE WHEN d.file_type = 'pdf' AND regexp_extract(c.content, '\\[第[{_WS}]*([0-9]+)[{_WS}]*页\\]', 1) <> '' THEN '#page=' || CAST(regexp_extract(c.content, '\\[第[{_WS}]*([0-9]+)[{_WS}]*页\\]', 1) AS INTEGER) ELSE '' END AS anchor
+    FROM chunks c JOIN current_docs d ON d.id = c.document_id"""
+)
+def fn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every chunk in its document, and the path to open it at."""
+    documents = _documents(spark, sf_dir).select(F.col("id").alias("document_id"), "total_chunks", "file_type", "file_path")
+    rows = load(spark, sf_dir, "chunks").join(documents, "document_id")
+    return rows.select("id", T.fragment_label(F.col("chunk_index"), F.col("total_chunks")).alias("label"), T.page_anchor(F.col("file_path"), F.col("file_type"), T.page_number(F.col("content"))).alias("anchor"))

@@ -140,6 +140,20 @@ def extract(files: DataFrame, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
     return read.unionByName(large).withColumns({"quality_level": grade["level"], "quality_reason": grade["reason"]})
 
 
+def attach_subtitles(extracted: DataFrame) -> DataFrame:
+    """``extracted`` with the words of sidecar subtitle files in the reports of their films and sounds, shortened to what a report carries.
+
+    Only texts are joined, never the content of the files. Reports without a sidecar stay as they are.
+    """
+    spoken = sidecar_subtitles(extracted).join(extracted.select(F.col("path").alias("subtitle_path"), F.col("text").alias("_spoken")), "subtitle_path").select("path", "_spoken")
+    most = F.when(F.col("file_type").isin(*T.VIDEO), media.FILM_CHARS).otherwise(media.SOUND_CHARS)
+    n = F.length("_spoken")
+    note = F.when(n > most, F.concat(F.lit("\n... (共"), n.cast("string"), F.lit("字符，已截断)"))).otherwise("")
+    words = F.concat(F.regexp_replace("text", r"(?s)\n*--- 提示 ---.*", ""), F.lit("\n\n--- 字幕文本 ---\n"), F.substring(F.col("_spoken"), F.lit(1), most), note)
+    joined = extracted.join(spoken, "path", "left")
+    return joined.withColumn("text", F.when(F.col("_spoken").isNotNull(), words).otherwise(F.col("text"))).select(*extracted.columns)
+
+
 def page_rows(files: DataFrame, most: int = 500) -> DataFrame:
     """Pages of PDF files: ``path``, ``page``, ``text``; broken files have none."""
 
@@ -196,6 +210,15 @@ def metadata(files: DataFrame) -> DataFrame:
     return files.select("path", "file_type", "length", "content").mapInArrow(run, "path string, metadata map<string, string>")
 
 
+def validate_pdfs(files: DataFrame) -> DataFrame:
+    """Whether PDF files can be read: ``path``, ``empty``, ``is_pdf`` (by its first bytes), ``page_count``, ``chars_per_page``, ``likely_scanned``, ``error``."""
+    pdfs = files.filter("file_type = 'pdf'")
+    heads = pdfs.select("path", (F.col("length") == 0).alias("empty"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
+    told = metadata(pdfs).withColumnRenamed("path", "_path")
+    value = lambda k, t: F.try_element_at("metadata", F.lit(k)).cast(t).alias(k)
+    return heads.join(told, F.col("path") == F.col("_path")).select("path", "empty", "is_pdf", value("page_count", "int"), value("chars_per_page", "double"), value("likely_scanned", "boolean"), value("error", "string"))
+
+
 def sidecar_subtitles(files: DataFrame) -> DataFrame:
     """The subtitle file that goes with each film or sound: ``path``, ``subtitle_path``.
 

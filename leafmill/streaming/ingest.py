@@ -12,7 +12,7 @@ from leafmill.functions import text as T
 from leafmill.operators.catalog import Catalog
 from leafmill.operators.chunking import Chunking, chunk
 from leafmill.session import cut
-from leafmill.sources.extract import extract, read_files
+from leafmill.sources.extract import attach_subtitles, extract, read_files
 
 #: Largest file that is taken in.
 MOST_BYTES = 200 * 1024 * 1024
@@ -25,7 +25,7 @@ def ingest(catalog: Catalog, files: DataFrame, kb_id: int | None = None, options
     Files above ``most_bytes`` get no document; they are only in the rejects (``path``, ``error``). Every other file becomes a document, ``completed``
     with its chunks or ``failed`` with the reason. Extraction runs once; chunks are written before the documents that name them.
     """
-    read = cut(extract(files, most_bytes))
+    read = attach_subtitles(cut(extract(files, most_bytes)))
     keyed = _keyed(read.filter(F.col("length") <= most_bytes))
     chunked = cut(chunk(keyed, options, "_row", "text"))
     counts = chunked.groupBy(F.col("document_id").alias("_row")).agg(F.count("*").alias("n"))

@@ -157,6 +157,19 @@ def test_document_text(spark):
     assert C.document_text(df.limit(0)).count() == 0
 
 
+def test_set_changes(spark):
+    links = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (None, 7)], "document_id long, kb_id long")
+    pairs = spark.createDataFrame([(1, 9), (3, 9)], "document_id long, kb_id long")
+    rows = lambda df: sorted(((r.document_id, r.kb_id) for r in df.collect()), key=str)
+    assert rows(C.with_links(links, pairs)) == sorted([(1, 5), (1, 9), (2, 6), (3, 9), (None, 7)], key=str)
+    assert rows(C.moved(links, pairs)) == sorted([(1, 9), (2, 6), (3, 9), (None, 7)], key=str)
+    assert rows(C.without(links, pairs.select("document_id"), "document_id")) == sorted([(2, 6), (None, 7)], key=str)
+    docs = spark.createDataFrame([(1, "a", "e"), (2, "b", None)], "id long, status string, error_message string")
+    changes = spark.createDataFrame([(1, "done", None), (9, "x", "y")], "id long, status string, error_message string")
+    assert sorted(tuple(r) for r in C.with_status(docs, changes).collect()) == [(1, "done", None), (2, "b", None)]
+    assert [r.chunk_index for r in C.numbered(spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "d long, t string"), "d", "t").orderBy("d", "t").collect()] == [0, 1, 0]
+
+
 def test_catalog_changes(spark, tmp_path):
     c = C.Catalog(spark, str(tmp_path / "cat"))
     kb = c.create_knowledge_base("Two", "d")

@@ -238,3 +238,41 @@ def test_extract_dataframe(spark, tmp_path):
     meta = {r.path.rsplit("/", 1)[-1]: r.metadata for r in E.metadata(files).collect()}
     assert meta["a.txt"] == {"file_type": "txt", "file_size": "120"} and "error" in meta["e.pdf"]
     assert E.page_rows(files).count() == 0 and E.member_rows(files).count() == 0
+
+
+def test_sidecars_in_reports(spark, tmp_path):
+    (tmp_path / "f.mp4").write_bytes(b"\0" * 16)
+    (tmp_path / "g.mp4").write_bytes(b"\0" * 16)
+    (tmp_path / "f.srt").write_text("1\n00 --> 01\nSpoken words\n")
+    got = {r.name: r.text for r in E.attach_subtitles(E.extract(E.read_files(spark, str(tmp_path)))).collect()}
+    assert got["f.mp4"].endswith("--- 字幕文本 ---\nSpoken words") and got["g.mp4"].endswith("未找到字幕文件。")
+
+
+def test_toolkit_and_settings(spark, tmp_path):
+    from leafmill import settings, toolkit
+
+    (tmp_path / "a.txt").write_text("hello")
+    assert toolkit.parse_file(spark, str(tmp_path / "a.txt")) == "hello"
+    assert toolkit.get_metadata(spark, str(tmp_path / "a.txt")) == {"file_type": "txt", "file_size": "5"}
+    with pytest.raises(FileNotFoundError):
+        toolkit.parse_file(spark, str(tmp_path / "none.txt"))
+    assert toolkit.is_supported("Dockerfile") and toolkit.is_supported("x.PDF") and not toolkit.is_supported("x.none") and len(toolkit.supported_types()) >= 110
+    path = str(tmp_path / "conf" / "settings.json")
+    assert settings.load(path) == settings.Settings()
+    settings.save(settings.Settings(chunk_size=128, chunk_overlap=8), path)
+    assert settings.load(path).chunking().size == 128 and settings.load(path).max_bytes == 200 << 20
+    (tmp_path / "broken.json").write_text("{")
+    assert settings.load(str(tmp_path / "broken.json")) == settings.Settings()
+
+
+def test_typed_readers(spark, tmp_path):
+    from leafmill.sources import typed
+
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    assert [tuple(r) for r in typed.read_table(spark, str(tmp_path / "t.csv"), schema="a int, b string").collect()] == [(1, "x"), (2, "y")]
+    (tmp_path / "t.json").write_text('{"k": 1, "l": "x"}\n')
+    entries = typed.json_entries(typed.read_json(spark, str(tmp_path / "t.json")))
+    assert sorted((r.key, r.entry.toPython() if hasattr(r.entry, "toPython") else str(r.entry)) for r in entries.collect()) == [("k", 1), ("l", "x")]
+    (tmp_path / "t.xml").write_text("<r><i><n>1</n></i><i><n>2</n></i></r>")
+    assert [r.n for r in typed.read_xml(spark, str(tmp_path / "t.xml"), row_tag="i", schema="n int").collect()] == [1, 2]
+    assert typed.read_lines(spark, str(tmp_path / "t.csv")).count() == 3
