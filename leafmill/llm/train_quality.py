@@ -4,7 +4,8 @@ python -m leafmill.llm.train_quality TABLES
 
 reads ``quality_labels.json`` (document id to kind, for documents of the tables at TABLES) beside this
 module, computes the statistics of those documents, induces the rules by incremental reduced-error pruning
-on two thirds of them, measures them on the last third, and writes ``quality_rules.json``.
+on two thirds of them, measures them on the last third, and writes ``quality_rules.json``. The stored labels come from
+hand-written conditions over the same statistics, so the measure is agreement with those, not independent accuracy.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def main(tables: str) -> None:
     rows = statistics(load(spark, tables, "chunks").join(wanted, "document_id", "left_semi")).toPandas().sort_values("document_id")
     y = rows["document_id"].map(labels).to_numpy(object)
     rules, accuracy = fit({f: rows[f].to_numpy(float) for f in FEATURES}, y)
-    MODEL.write_text(json.dumps({"accuracy_held_out": round(accuracy, 4), "documents": len(y), "rules": dump(rules)}, indent=1) + "\n")
+    MODEL.write_text(json.dumps({"agreement_held_out": round(accuracy, 4), "documents": len(y), "rules": dump(rules)}, indent=1) + "\n")
     print(MODEL.read_text())
 
 
