@@ -191,6 +191,8 @@ def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: s
                 s = score + weight
                 if c in SIGNS and text:
                     s += freq.of_char(c, text[-1]) - freq.of_char(c)
+                if c.isupper() and text and text[-1].islower():
+                    s -= 6.0  # frequencies are counted without case, but words hardly change it inside
                 if c and text and "一" <= c <= "鿿" and "一" <= text[-1] <= "鿿":
                     s += 0.5 * (freq.term.get(text[-1] + c, freq.floor) - freq.floor)
                 if c and not c.isalpha():
