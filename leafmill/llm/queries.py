@@ -61,7 +61,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which 0.3 or more only repeats earlier text."""
     present = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
     chunks = load(spark, sf_dir, "chunks").join(present, "document_id", "left_semi")
-    return repetition(chunks).filter("share >= 0.3").select("document_id")
+    return repetition(chunks, longest=False).filter("share >= 0.3").select("document_id")
 
 
 @_query()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.prefix import block_prefix_sum
+from leafmill.session import cut
 
 RUN_WORDS, RUN_CHARS = 10, 20
 #: Documents up to this many characters are handled in memory by one task; larger ones go the distributed way.
@@ -163,18 +164,19 @@ def _kernel(run_words: int, run_chars: int, pack: int):
     return run
 
 
-def repetition(chunks: DataFrame, run_words: int = RUN_WORDS, run_chars: int = RUN_CHARS, whole_chars: int = WHOLE_CHARS, pack_chars: int = PACK_CHARS) -> DataFrame:
+def repetition(chunks: DataFrame, run_words: int = RUN_WORDS, run_chars: int = RUN_CHARS, whole_chars: int = WHOLE_CHARS, pack_chars: int = PACK_CHARS, longest: bool = True) -> DataFrame:
     """Repeated content of each document: ``document_id``, ``units``, ``repeated``, ``share``, ``longest``.
 
     Units are words, or characters in Chinese text (:func:`tokens`). Repeated are those within any run of
     ``run_words`` words (``run_chars`` characters) that stood earlier in the document; ``longest`` is the length of
-    its longest repeated run, which may overlap itself, NULL for documents above ``whole_chars``. A chunk stored more than once
+    its longest repeated run, which may overlap itself. A chunk stored more than once
     (same place, same content) counts once. Chunks with NULL or empty content are skipped; a document
     with nothing else is absent. NULL ids are skipped.
 
     One shuffle brings a document's chunks together in order; Python reads that stream and sorts the
     suffixes of many documents at once. A document above ``whole_chars`` would make one task too large
-    and is counted from hashed runs instead (:func:`_distributed`), spread by run over all tasks.
+    and is counted from hashed runs instead (:func:`_distributed`), spread by run over all tasks; the values are the same.
+    Callers that do not use ``longest`` can leave that column out.
     """
     used = chunks.filter("document_id IS NOT NULL AND content IS NOT NULL AND content <> ''").select("document_id", "chunk_index", "content")
     big = used.groupBy("document_id").agg(F.sum(F.length("content")).alias("_size")).filter(F.col("_size") > whole_chars).select("document_id")
@@ -182,26 +184,33 @@ def repetition(chunks: DataFrame, run_words: int = RUN_WORDS, run_chars: int = R
     normal = used.join(big, "document_id", "left_anti")
     ordered = normal.repartition("document_id").sortWithinPartitions("document_id", "chunk_index", "content")
     out = ordered.mapInArrow(_kernel(run_words, run_chars, pack_chars), "document_id long, units long, repeated long, longest long")
-    out = out.unionByName(_distributed(used.join(big, "document_id", "left_semi"), run_words, run_chars))
+    if not longest:
+        out = out.drop("longest")
+    # the longest repeat takes a loop of jobs, which is not begun for nothing
+    if not longest or not big.isEmpty():
+        out = out.unionByName(_distributed(used.join(big, "document_id", "left_semi"), run_words, run_chars, longest))
     return out.withColumn("share", F.when(F.col("units") > 0, F.col("repeated") / F.col("units")).otherwise(F.lit(0.0)))
 
 
+def _han_surplus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By how much the Chinese characters of a chunk outnumber its other words."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        surplus = [(0 if t.isascii() else len(_HAN.findall(t))) - sum(1 for w in t.lower().split() if not _HAN.search(w)) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(surplus, pa.int64())], names=["document_id", "han"])
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of a chunk's words, its characters, and whether characters prevail."""
+    """The units of a chunk: hashes of its words, or, if its document is counted by characters, all its characters."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
     for batch in batches:
-        ids, index, text = (c.to_pylist() for c in batch.columns)
-        words, chars, han = [], [], []
-        for t in text:
+        units = []
+        for t, by_char in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             low = t.lower().split()
-            by_word = [h(w) - (1 << 63) for w in (x.strip(_OUTER) for x in low) if w]
-            by_char = [ord(c) for c in "".join(low)]
-            words.append(by_word)
-            chars.append(by_char if _HAN.search(t) else [])
-            han.append(len(_HAN.findall(t)) - sum(1 for w in low if not _HAN.search(w)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int64())), pa.array(han, pa.int64())], names=["document_id", "chunk_index", "words", "chars", "han"])
+            units.append([ord(c) for c in "".join(low)] if by_char else [h(w) - (1 << 63) for w in (x.strip(_OUTER) for x in low) if w])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(units, pa.list_(pa.int64()))], names=["document_id", "chunk_index", "_n", "by_char", "units"])
 
 
 def _runs(run_words: int, run_chars: int, block: int):
@@ -210,7 +219,7 @@ def _runs(run_words: int, run_chars: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << 64) - 1
         for batch in batches:
-            out: list[tuple[list, list, list]] = []
+            out: list[tuple] = []
             for doc, at, by_char, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 parts.sort(key=lambda p: p["from"])
                 units = np.array([u for p in parts for u in p["units"]], np.int64).view(np.uint64)
@@ -223,25 +232,67 @@ def _runs(run_words: int, run_chars: int, block: int):
                 for j in range(k):
                     code = code * np.uint64(0x9E3779B97F4A7C15 & mask) + (units[j : j + n] ^ (units[j : j + n] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     code ^= code >> np.uint64(32)
-                out.append((np.full(n, doc), code.view(np.int64), np.arange(first, first + n)))
-            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["document_id", "code", "at"])
+                out.append((np.full(n, doc), code.view(np.int64), np.arange(first, first + n), np.full(n, k)))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["document_id", "code", "at", "run"])
 
     return run
 
 
-def _distributed(chunks: DataFrame, run_words: int, run_chars: int, block: int = 8192) -> DataFrame:
-    """Repeated units of very large documents, without bringing one together.
+def _longest(repeats: DataFrame) -> DataFrame:
+    """``document_id``, ``longest``: length of the longest repeated run of each document of ``repeats``.
+
+    ``repeats`` has the places ``at`` whose run of ``run`` units stands elsewhere too, with the run's hash ``code``. Two runs of n
+    units are equal if their halves are, so joining places n apart doubles the length as long as a document has any repeat left;
+    two overlapping runs of n cover any length up to 2n, among which a binary search finds the last that is still
+    repeated. A longer repeat starts and goes on at repeated places only, so no other place is kept. Lengths (a number a
+    document) are held by the driver, places never.
+    """
+    spark = repeats.sparkSession
+    key = ["document_id", "code"]
+    level = repeats.select("document_id", "code", "at", F.col("run").cast("long").alias("size"))
+    size = {r.document_id: r.size for r in level.groupBy("document_id").agg(F.max("size").alias("size")).collect()}
+    kept: DataFrame | None = None
+    active = set(size)
+    while active:
+        later = level.select("document_id", (F.col("at") - F.col("size")).alias("at"), F.col("code").alias("_next"))
+        twice = level.join(later, ["document_id", "at"]).select("document_id", F.xxhash64("code", "_next").alias("code"), "at", (F.col("size") * 2).alias("size")).repartition(*key)
+        longer = cut(twice.join(twice.groupBy(*key).count().filter("count > 1").select(*key), key))
+        more = {r.document_id for r in longer.select("document_id").distinct().collect()}
+        if active - more:
+            last = level.filter(F.col("document_id").isin(sorted(active - more)))
+            kept = last if kept is None else kept.unionByName(last)
+        size |= {d: size[d] * 2 for d in more}
+        active, level = more, longer
+    # a repeat of size + low units exists, none of size + high does
+    low, high = dict.fromkeys(size, 0), dict(size)
+    while ask := [(d, (low[d] + high[d]) // 2) for d in size if high[d] - low[d] > 1]:
+        steps = spark.createDataFrame(ask, "document_id long, step long")
+        asked = kept.join(F.broadcast(steps), "document_id")
+        later = kept.select("document_id", F.col("at").alias("_at"), F.col("code").alias("_next"))
+        pairs = asked.withColumn("_at", F.col("at") + F.col("step")).join(later, ["document_id", "_at"]).groupBy(*key, "_next").count()
+        found = {r.document_id for r in pairs.filter("count > 1").select("document_id").distinct().collect()}
+        for d, step in ask:
+            (low if d in found else high)[d] = step
+    return spark.createDataFrame([(d, size[d] + low[d]) for d in size], "document_id long, longest long")
+
+
+def _distributed(chunks: DataFrame, run_words: int, run_chars: int, longest: bool = True, block: int = 8192) -> DataFrame:
+    """Repeated units of very large documents, and with ``longest`` their longest repeat, without bringing one together.
 
     Units get their place by block prefix sums over chunks; blocks of units, with the first units of the
     next block, hash the run at each place (64 bits); the least place of each hash is its first stand, all others repeat
     it; and the union of their spans is counted block by block.
     """
-    once = chunks.groupBy("document_id", "chunk_index", F.xxhash64("content").alias("_h")).agg(F.min("content").alias("content"))
-    units = once.select("document_id", "chunk_index", "content").mapInArrow(_units, "document_id long, chunk_index int, words array<long>, chars array<long>, han long")
-    kind = units.groupBy("document_id").agg((F.sum("han") > 0).alias("by_char"))
-    units = units.join(kind, "document_id").select("document_id", "chunk_index", "by_char", F.when(F.col("by_char"), F.col("chars")).otherwise(F.col("words")).alias("units"))
-    placed = block_prefix_sum(units, ["document_id"], F.floor(F.col("chunk_index") / 1024), ["chunk_index", F.xxhash64("units")], F.size("units"), "from")
+    place = Window.partitionBy("document_id", "chunk_index").orderBy("content")
+    numbered = chunks.withColumns({"_n": F.row_number().over(place), "_before": F.lag("content").over(place)})
+    once = numbered.filter("_before IS NULL OR _before <> content").select("document_id", "chunk_index", "_n", "content")
+    kind = once.select("document_id", "content").mapInArrow(_han_surplus, "document_id long, han long").groupBy("document_id").agg((F.sum("han") > 0).alias("by_char"))
+    known = once.join(kind, "document_id").select("document_id", "chunk_index", "_n", "content", "by_char")
+    units = known.mapInArrow(_units, "document_id long, chunk_index int, _n int, by_char boolean, units array<long>")
+    placed = block_prefix_sum(units, ["document_id"], F.floor(F.col("chunk_index") / 1024), ["chunk_index", "_n"], F.size("units"), "from")
+    if longest:
+        placed = cut(placed)
     total = placed.groupBy("document_id").agg(F.sum(F.size("units")).alias("units"))
     most = max(run_words, run_chars)
     low, high = F.col("from"), F.col("from") + F.size("units")
@@ -249,12 +300,16 @@ def _distributed(chunks: DataFrame, run_words: int, run_chars: int, block: int =
     spread = placed.filter(F.size("units") > 0).withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((low - most) / block)), F.floor((high - 1) / block))))
     left = F.greatest(low, F.col("block") * block)
     right = F.least(high, (F.col("block") + 1) * block + most)
-    cut = spread.withColumn("part", F.struct(left.alias("from"), F.slice("units", (left - low + 1).cast("int"), F.greatest(F.lit(0), (right - left).cast("int"))).alias("units"))).filter(right > left)
-    blocks = cut.groupBy("document_id", "block").agg(F.first("by_char").alias("by_char"), F.collect_list("part").alias("parts")).select("document_id", "block", "by_char", "parts")
-    runs = blocks.mapInArrow(_runs(run_words, run_chars, block), "document_id long, code long, at long")
+    sliced = spread.withColumn("part", F.struct(left.alias("from"), F.slice("units", (left - low + 1).cast("int"), F.greatest(F.lit(0), (right - left).cast("int"))).alias("units"))).filter(right > left)
+    blocks = sliced.groupBy("document_id", "block").agg(F.first("by_char").alias("by_char"), F.collect_list("part").alias("parts")).select("document_id", "block", "by_char", "parts")
+    runs = blocks.mapInArrow(_runs(run_words, run_chars, block), "document_id long, code long, at long, run long")
+    # one shuffle serves the counts and the join with them
+    runs = runs.repartition("document_id", "code")
     first = runs.groupBy("document_id", "code").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = runs.join(first, ["document_id", "code"]).filter("at > first").select("document_id", "at").join(kind, "document_id")
-    run = F.when(F.col("by_char"), run_chars).otherwise(run_words)
+    repeats = runs.join(first, ["document_id", "code"])
+    if longest:
+        repeats = cut(repeats)
+    again = repeats.filter("at > first").select("document_id", "at", "run")
     # within a block, a repeat covers up to the next repeat or its own run, whichever is nearer
     near = Window.partitionBy("document_id", F.floor(F.col("at") / block)).orderBy("at")
     edge = again.withColumn("next", F.lead("at").over(near)).withColumn("block", F.floor(F.col("at") / block))
@@ -262,5 +317,6 @@ def _distributed(chunks: DataFrame, run_words: int, run_chars: int, block: int =
     order = Window.partitionBy("document_id").orderBy("block")
     heads = heads.withColumn("after", F.lead("head").over(order)).drop("head")
     edge = edge.join(heads, ["document_id", "block"]).withColumn("next", F.coalesce("next", "after"))
-    covered = edge.groupBy("document_id").agg(F.sum(F.least(run, F.coalesce(F.col("next") - F.col("at"), run))).alias("repeated"))
-    return total.join(covered, "document_id", "left").select("document_id", F.col("units").cast("long").alias("units"), F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated"), F.lit(None).cast("long").alias("longest"))
+    covered = edge.groupBy("document_id").agg(F.sum(F.least("run", F.coalesce(F.col("next") - F.col("at"), "run"))).alias("repeated"))
+    out = total.join(covered, "document_id", "left").select("document_id", F.col("units").cast("long").alias("units"), F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated"))
+    return out.join(_longest(repeats), "document_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("long"))) if longest else out

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from leafmill.llm.repetition import common_prefixes, measure, repetition, suffix_ranks, tokens
+from leafmill.llm.repetition import _distributed, common_prefixes, measure, repetition, suffix_ranks, tokens
 
 
 def brute(units, run):
@@ -80,3 +80,28 @@ def test_whole_and_distributed_agree(spark):
         assert whole[d][:2] == (len(units), brute(units, 6 if by_char else 4)[0])
     assert whole == spread and whole[80] == (0, 0, 0.0) and {77, 78, None}.isdisjoint(whole)
     assert repetition(df.limit(0)).count() == 0
+
+
+def test_large_documents_get_what_small_ones_get(spark):
+    rng = random.Random(4)
+    docs = {}
+    for d in range(8):
+        parts = [" ".join(f"w{rng.randint(0, 2)}" for _ in range(rng.randint(20, 60))) for _ in range(4)]
+        docs[d] = [*parts, parts[1]] if d % 2 else parts
+    docs[8] = ["a " * 75]
+    docs[9] = ["one two three four five"]
+    # counted by characters, with chunks that hold no Chinese character and repeat each other
+    docs[10] = ["北方分部的维护报告" * 3, "ab12 cd34 ef56", "手册", "ab12 cd34 ef56", "北方分部"]
+    rows = [(d, i, p) for d, parts in docs.items() for i, p in enumerate(parts)]
+    # two contents at one place, stored in either order
+    rows += [(11, 0, "c d e f"), (11, 0, "a b g h"), (11, 1, "a b g h c d e f"), (11, 0, "c d e f")]
+    df = spark.createDataFrame(rows, "document_id long, chunk_index int, content string")
+    whole = {r.document_id: r for r in repetition(df, 4, 6).collect()}
+    spread = {r.document_id: r for r in repetition(df, 4, 6, whole_chars=0).collect()}
+    blocks = {r.document_id: (r.units, r.repeated, r.longest) for r in _distributed(df, 4, 6, block=16).collect()}
+    for d, parts in docs.items():
+        units, by_char = tokens("\n\n".join(parts))
+        repeated, longest = brute(units, 6 if by_char else 4)
+        assert (spread[d].units, spread[d].repeated, spread[d].longest) == (len(units), repeated, longest) == blocks[d]
+    assert whole == spread and spread[8].longest == 74 and spread[9].longest == 0 and spread[11].longest == 8
+    assert {r.document_id: r.share for r in repetition(df, 4, 6, whole_chars=0, longest=False).collect()} == {d: r.share for d, r in whole.items()}
