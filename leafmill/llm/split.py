@@ -70,7 +70,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         out.append((start, end))
         done = end
         k = bisect_left(every, end - overlap)
-        start = every[k] if k < len(every) and every[k] <= end else end - overlap
+        start = every[k] if k < len(every) and every[k] < end else end - overlap
 
 
 _SCHEMA = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int32()), ("content", pa.string())])

@@ -41,3 +41,10 @@ def test_split_and_rechunk(spark):
     assert [r.content for r in five[n:]] == ["short", ""] and five[n].id == 2
     assert [r.chunk_index for r in got if r.document_id is None] == list(range(n + 1))
     assert split_oversized(df.limit(0)).count() == 0 and rechunk(df.limit(0)).count() == 0
+
+
+def test_overlap_without_a_boundary():
+    text = "word " * 20 + "x" * 200 + "\n" + "next words " * 20
+    got = pieces(text, 301, 50)
+    assert got[0] == (0, 301) and got[1][0] == 251
+    assert pieces("x" * 39 + "\n" + "y" * 60, 40, 0)[1][0] == 40
