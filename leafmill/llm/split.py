@@ -101,23 +101,33 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     return once.mapInArrow(_cut(limit, overlap), "id long, piece int, start int, content string")
 
 
+def _pieces(limit: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [[text[a:b] for a, b in pieces(text, limit, overlap)] for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pa.list_(pa.string()))], names=["document_id", "chunk_index", "id", "pieces"])
+
+    return run
+
+
 def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block: int = 4096) -> DataFrame:
     """All chunks with oversized ones cut, numbered anew: ``document_id``, ``chunk_index``, ``total_chunks``, ``id``, ``piece``, ``content``.
 
     A place (``document_id``, ``chunk_index``) stored several times is kept once, under its least ``id``. NULL
     content counts as an empty piece, so no place is lost. The new ``chunk_index`` is the number of pieces
     before it, from block totals of ``block`` old indexes, so that a document with a third of all rows is
-    spread over tasks. Rows without ``document_id`` or ``chunk_index`` are numbered among themselves.
+    spread over tasks. Rows without ``document_id`` or ``chunk_index`` have no place that they could share, so each that differs
+    in anything is kept: those without ``chunk_index`` come first in their document, those without ``document_id`` are numbered among
+    themselves. The pieces of a row stay beside it until they are numbered, so that ``id`` may be NULL or stand at several places.
     """
-    place = F.struct("id", "content")
-    kept = chunks.groupBy("document_id", "chunk_index").agg(F.min(place).alias("c")).select("document_id", "chunk_index", "c.id", F.coalesce("c.content", F.lit("")).alias("content"))
+    used = chunks.select("document_id", "chunk_index", "id", "content")
+    lost = F.col("document_id").isNull() | F.col("chunk_index").isNull()
+    placed = used.filter(~lost).groupBy("document_id", "chunk_index").agg(F.min(F.struct("id", "content")).alias("c")).select("document_id", "chunk_index", "c.id", "c.content")
+    kept = placed.unionByName(used.filter(lost).distinct()).withColumn("content", F.coalesce("content", F.lit("")))
     size = F.length("content")
-    cut = kept.filter(size > limit).select("id", "content").mapInArrow(_cut(limit, overlap), "id long, piece int, start int, content string")
-    counts = cut.groupBy("id").agg(F.count("*").alias("n"))
-    places = kept.select("document_id", "chunk_index", "id", (size > limit).alias("over")).join(counts, "id", "left").withColumn("n", F.when(F.col("over"), F.col("n")).otherwise(1))
-    numbered = block_prefix_sum(places, ["document_id"], F.floor(F.col("chunk_index") / block), ["chunk_index", "id"], F.col("n"), "base")
-    totals = places.groupBy("document_id").agg(F.sum("n").alias("total_chunks")).withColumnRenamed("document_id", "_document_id")
-    numbered = numbered.join(totals, F.col("document_id").eqNullSafe(F.col("_document_id"))).drop("_document_id", "n", "chunk_index")
-    small = numbered.filter("NOT over").join(kept.filter(size <= limit).select("id", "content"), "id").withColumn("piece", F.lit(0))
-    large = numbered.filter("over").join(cut.drop("start"), "id")
-    return small.unionByName(large).select("document_id", (F.col("base") + F.col("piece")).cast("int").alias("chunk_index"), F.col("total_chunks").cast("int").alias("total_chunks"), "id", "piece", "content")
+    small = kept.filter(size <= limit).select("document_id", "chunk_index", "id", F.array("content").alias("pieces"))
+    large = kept.filter(size > limit).mapInArrow(_pieces(limit, overlap), "document_id long, chunk_index int, id long, pieces array<string>")
+    rows = small.unionByName(large)
+    numbered = block_prefix_sum(rows, ["document_id"], F.floor(F.col("chunk_index") / block), ["chunk_index", "id", "pieces"], F.size("pieces"), "base", "total_chunks")
+    each = numbered.select("document_id", "base", "total_chunks", "id", F.posexplode("pieces").alias("piece", "content"))
+    return each.select("document_id", (F.col("base") + F.col("piece")).cast("int").alias("chunk_index"), F.col("total_chunks").cast("int").alias("total_chunks"), "id", "piece", "content")

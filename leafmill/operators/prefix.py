@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_prefix_sum(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the rows before this one within ``keys``.
+def block_prefix_sum(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str | Column], value: Column, out: str, total: str | None = None) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows before this one within ``keys``; with ``total`` also the sum over all rows of the key.
 
     ``block`` must be non-decreasing in ``order`` and split a key into pieces of bounded size. Totals per
     block are added up first (one narrow row a block), then each block is summed on its own, so the
@@ -22,7 +22,7 @@ def block_prefix_sum(df: DataFrame, keys: Sequence[str], block: Column, order: S
         tagged.groupBy(*keys, "_block")
         .agg(F.sum("_value").alias("_total"))
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_k_block"), "_base")
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_k_block"), "_base", *([F.sum("_total").over(Window.partitionBy(*keys)).alias(total)] if total else []))
     )
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_block").eqNullSafe(F.col("_k_block"))]
     condition = match[0]

@@ -48,3 +48,18 @@ def test_overlap_without_a_boundary():
     got = pieces(text, 301, 50)
     assert got[0] == (0, 301) and got[1][0] == 251
     assert pieces("x" * 39 + "\n" + "y" * 60, 40, 0)[1][0] == 40
+
+
+def test_rechunk_keeps_rows_with_nulls(spark):
+    long = "Word after word. " * 20
+    rows = [(1, 5, None, "a"), (2, 5, None, "b"), (2, 5, None, "b"), (3, None, 0, "c"), (4, None, 0, "d"), (None, 5, 0, long), (None, 5, 1, "e"), (None, 5, 2, None), (9, 6, 0, "f"), (9, 7, 0, long), (None, None, None, "g"), (None, None, None, "h")]
+    df = spark.createDataFrame(rows, "id long, document_id long, chunk_index int, content string")
+    got = rechunk(df, 100, 20, block=1).collect()
+    n = len(pieces(long, 100, 20))
+    of = lambda d: sorted((r.chunk_index, r.id, r.content) for r in got if r.document_id == d)
+    five = sorted((r.chunk_index, r.content) for r in got if r.document_id == 5)
+    assert [c for c, _ in five] == list(range(n + 4)) and [t for _, t in five[:2]] == ["a", "b"] and [t for _, t in five[n + 2 :]] == ["e", ""]
+    assert of(6) == [(0, 9, "f")] and [(c, i) for c, i, _ in of(7)] == [(k, 9) for k in range(n)]
+    lone = sorted((r.chunk_index, r.content) for r in got if r.document_id is None)
+    assert [c for c, _ in lone] == [0, 1, 2, 3] and sorted(t for _, t in lone) == ["c", "d", "g", "h"]
+    assert {r.total_chunks for r in got if r.document_id is None} == {4} and {r.total_chunks for r in got if r.document_id == 5} == {n + 4}
