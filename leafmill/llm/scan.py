@@ -168,7 +168,7 @@ class Reader:
         kinds = [BLANK if not x.strip() else MARK if _MARKER.match(x) else TEXT for x in lines]
         page = False
         titles: list[tuple[str, int, bool, bool]] = []
-        gaps = sum(1 for x in lines if "   " in x and _GAP.search(x.strip())) if "   " in text else 0
+        beside = self._with_number(lines) if "   " in text or "\t" in text else {}
         for i, x in enumerate(lines):
             if kinds[i] != TEXT or len(x) > 100:
                 continue
@@ -177,14 +177,10 @@ class Reader:
         for i, x in enumerate(lines):
             if kinds[i] != TEXT or len(x) > 110:
                 continue
-            both = (_BEFORE.match(x) or _AFTER.match(x)) if gaps <= 3 and ("   " in x or "\t" in x) else None
-            if both:
-                a, b = both.groups()
-                title = b if both.re is _BEFORE else a
-                if titled(title):
-                    kinds[i], page = BOTH, True
-                    titles.append((masked(title), i, True, True))
-                    continue
+            if i in beside:
+                kinds[i], page = BOTH, True
+                titles.append((beside[i], i, True, True))
+                continue
             if titled(x) and len(lines) > 1:
                 before, after = self._beside(kinds, i, -1), self._beside(kinds, i, 1)
                 sure = before in (PAGE, BOTH) or after in (PAGE, BOTH) and before == ""
@@ -209,6 +205,33 @@ class Reader:
         glyph, out = self._misread(lines, kinds, repair)
         return hyphen, glyph, page, titles, [(i, out[i], kinds[i]) for i in range(len(lines))] if repair else None
 
+    @staticmethod
+    def _with_number(lines: list[str]) -> dict[int, str]:
+        """Lines that hold a title and a page number, with the masked title.
+
+        Rows of a table look the same. Where more than a few lines have gaps, a line with another such line next to it is a row, unless
+        that one has the same title, or its own title stands alone with a number elsewhere too and the other side is free.
+        """
+        found: dict[int, str] = {}
+        for i, x in enumerate(lines):
+            if len(x) <= 110 and ("   " in x or "\t" in x) and not _MARKER.match(x) and (both := _BEFORE.match(x) or _AFTER.match(x)):
+                a, b = both.groups()
+                title = b if both.re is _BEFORE else a
+                if titled(title):
+                    found[i] = masked(title)
+        if not found or sum(1 for x in lines if "   " in x and _GAP.search(x.strip())) <= 3:
+            return found
+        filled = [i for i, x in enumerate(lines) if x.strip()]
+        at = {i: k for k, i in enumerate(filled)}
+
+        def rows(i: int) -> int:
+            near = (filled[k] for k in (at[i] - 1, at[i] + 1) if 0 <= k < len(filled))
+            return sum(1 for j in near if found.get(j) != found[i] and (_GAP.search(lines[j].strip()) or "\t" in lines[j].strip()))
+
+        touching = {i: rows(i) for i in found}
+        free = {t for i, t in found.items() if not touching[i]}
+        return {i: t for i, t in found.items() if not touching[i] or touching[i] == 1 and t in free}
+
     @staticmethod
     def _beside(kinds: list[str], i: int, step: int) -> str:
         i += step

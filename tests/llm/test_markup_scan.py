@@ -115,3 +115,15 @@ def test_defects_and_repair(spark):
     assert fixed[1] == "The service manual explains the annual budget of the northern office until then, and the report confirms the delivery."
     assert fixed[60] == "The service manual explains the budget." and fixed[70] == "" and fixed[71] == "" and len(fixed) == 68
     assert defects(df.limit(0)).count() == 0 and repaired(df.limit(0)).count() == 0
+
+
+def test_titles_with_numbers_beside_tables_and_over_many_pages():
+    r = Reader(COUNTS)
+    body = "The service manual explains\nthe annual budget.\n"
+    pages = "".join(f"Safety Notes Nord    {n}\n{body}" for n in range(21, 27))
+    assert [t[1] for t in r.read(pages)[3] if t[2]] == [0, 3, 6, 9, 12, 15] and r.read(pages)[2]
+    tabs = "".join(f"Safety Notes Nord\t{n}\n{body}a    b\n" for n in range(21, 27))
+    assert r.read(tabs)[2]
+    table = "".join(f"Pump {x}    {n}\n" for n, x in enumerate(("North", "South", "East", "West", "Total"), 2))
+    assert not r.read(body + table)[2]
+    assert [t[1] for t in r.read("Safety Notes Nord    23\n" + body + table)[3] if t[2]] == [0]
