@@ -38,21 +38,22 @@ _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9a-fA-F
 _FENCE = re.compile(r"(?m)^[ \t]*(```+|~~~+)[ \t]*([\w+#-]*)[ \t]*\r?$")
 _MD = re.compile(
     r"!?\[[^\[\]\n]*\]\((?!\s*\))[^()\s]*(?:\([^()\s]*\))?[^()\n]*\)"
-    r"|(?<![\w*])\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*"
-    r"|\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|(?<=[㐀-鿿])\*\*[^*\n]{1,300}\*\*"
-    r"|(?<![\w_])__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__(?![\w(])|(?<=[㐀-鿿])__[^_\n]{1,300}__"
-    r"|~~(?=[^\s~])[^~\n]{1,300}?(?<=[^\s~])~~"
-    r"|(?<![`\w\\])`[^`\n]{1,200}`(?!`)|(?<=[㐀-鿿])`[^`\n]{1,200}`"
+    r"|(?<![\w*\\])\*\*\*(?=[^\s*])[^*\n]++(?<=[^\s*])\*\*\*(?![\w*])|(?<![\w_\\])___(?=[^\s_])[^_\n]++(?<=[^\s_])___(?![\w_(])"
+    r"|(?<![\w*])\*\*(?=[^\s*])[^*\n]++(?<=[^\s*])\*\*"
+    r"|\*\*(?=[^\s*])[^*\n]++(?<=[^\s*])\*\*(?![\w*])|(?<=[㐀-鿿])\*\*[^*\n]++\*\*"
+    r"|(?<![\w_])__(?=[^\s_])[^_\n]++(?<=[^\s_])__(?![\w(])|(?<=[㐀-鿿])__[^_\n]++__"
+    r"|~~(?=[^\s~])[^~\n]++(?<=[^\s~])~~"
+    r"|(?<![`\w\\])`[^`\n]++`(?!`)|(?<=[㐀-鿿])`[^`\n]++`"
     r"|(?m:^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$)"
-    r"|(?m:^[ ]{0,3}\[[^\]\n]{1,60}\]:[ \t]+\S+)"
+    r"|(?m:^[ ]{0,3}\[[^\]\n]++\]:[ \t]+\S+)"
 )
-_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,120}?(?<=[^\s*,;(=])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]{1,120}?(?<=[^\s_])_(?![\w_(])")
+_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]++(?<=[^\s*,;(=])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]++(?<=[^\s_])_(?![\w_(])")
 _WIKI = re.compile(
-    r"\[\[[^\[\]\n]{1,300}\]\]|\{\{[^{}\n]{1,300}\}\}|(?m:^[ \t]*(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*\r?$)|(?m:^[ \t]*\{\|[^\n]*$)|(?m:^[ \t]*\|\}[ \t]*\r?$)"
-    r"|(?<![\w'])'{2,3}(?=[^\s'])[^'\n]{1,200}?(?:(?<=\w)'(?=\w)[^'\n]{0,200}?)*(?<=[^\s'])'{2,3}(?!['])|(?<=[㐀-鿿])'{2,3}[^'\n]{1,200}?'{2,3}"
+    r"\[\[[^\[\]\n]++\]\]|\{\{[^{}]++\}\}|(?m:^[ \t]*(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*\r?$)|(?m:^[ \t]*\{\|[^\n]*$)|(?m:^[ \t]*\|\}[ \t]*\r?$)"
+    r"|(?<![\w'])(?:'{5}|'{2,3})(?=[^\s'])[^'\n]++(?:(?<=\w)'(?=\w)[^'\n]++)*+(?<=[^\s'])(?:'{5}|'{2,3})(?!['])|(?<=[㐀-鿿])'{2,3}[^'\n]++'{2,3}"
     r"|(?<![\]\[!])\[(?:https?|ftp)://[^\s\]]+(?: [^\]\n]*)?\]|(?i:</?(?:ref|nowiki|references|gallery)\b[^<>]*>)|(?i:^#redirect\b)"
 )
-_MATH = re.compile(r"\$\$[^$]{1,500}\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,200}?[\\^_=][^$\n]{0,200}?\$(?![\w$])|\\\([^\n]{1,300}?\\\)|\\\[[^\]]{1,500}?\\\]")
+_MATH = re.compile(r"\$\$[^$]++\$\$|(?<![\\$\w])\$(?=[^\s$])[^$\n\\^_=]*+[\\^_=][^$\n]*+\$(?![\w$])|\\\((?:(?!\\\)|\\\()[^\n])++\\\)|\\\[[^\]]+?\\\]")
 _TEX = re.compile(rf"(?<![\w\\:])\\(?:{'|'.join(sorted(_COMMANDS, key=len, reverse=True))})\*?(?![A-Za-z\\])|(?<![\w\\:])\\[A-Za-z]+\*?\{{")
 #: Lines of program code, in which signs are no markup.
 _CODE = re.compile(r"^\s*(?:def|for|if|elif|while|return|assert|class|import|from|public|private|func|fn|var|let|const|switch|case)\b.*[\[\](){};:=.]|^[^\\]*[;{}]\s*$|^\s*[\w.\[\]]+ ?[-+*/|&]?= ?\S|^\s*(?://|#include|/\*)|\w<[A-Z]\w*>")
@@ -213,8 +214,9 @@ def _from_latex(text: str, kept: _Kept) -> str:
 def _from_wiki(text: str, kept: _Kept) -> str:
     text = re.sub(r"(?m)^[ \t]*(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*\r?$", lambda m: "#" * (len(m[1]) - 1) + " " + m[2], text)
     text = re.sub(r"(?is)<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?(?:nowiki|references|gallery)\b[^<>]*>", "", text)
-    for _ in range(3):
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    more = 1
+    while more:
+        text, more = re.subn(r"\{\{[^{}]*\}\}", "", text)
     text = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Ficheiro|Файл|文件|Category|Kategorie|Catégorie|Categoría|Categoria|Категория|分类):[^\[\]]*?(?:\|([^\[\]|]*))?\]\]", lambda m: m[1] if m[1] and " " in m[1] else "", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", _L + r"\1" + _R, text)
     text = re.sub(r"\[(?:https?|ftp)://[^\s\]]+(?: ([^\]\n]*))?\]", lambda m: _L + (m[1] or "") + _R, text)
@@ -227,11 +229,11 @@ def _from_wiki(text: str, kept: _Kept) -> str:
 def _from_markdown(text: str, kept: _Kept) -> str:
     text = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1", text)
     text = re.sub(r"\[([^\[\]\n]*)\]\([^()\s]*(?:\([^()\s]*\))?[^()\n]*\)", _L + r"\1" + _R, text)
-    text = re.sub(r"(?m)^[ ]{0,3}\[[^\]\n]{1,60}\]:[ \t]+\S+.*$", "", text)
+    text = re.sub(r"(?m)^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S+.*$", "", text)
     text = re.sub(r"(?m)^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$\n?", "", text)
     text = re.sub(r"(?<![`\\])`([^`\n]+)`(?!`)", lambda m: kept.hold("inline", m[1]), text)
     for mark in (r"\*\*", "__", "~~"):
-        text = re.sub(rf"{mark}(?=\S)([^\n]{{1,300}}?)(?<=\S){mark}", r"\1", text)
+        text = re.sub(rf"{mark}(?=\S)([^\n]+?)(?<=\S){mark}", r"\1", text)
     text = _EM.sub(lambda m: m.group()[1:-1], text)
     text = re.sub(r"(?m)^[ \t]*>[ ]?", "", text)
     return re.sub(r"(?m)^[ \t]*\|([^\n]*)\|[ \t]*\r?$", lambda m: m[1].strip(), text)

@@ -127,3 +127,18 @@ def test_titles_with_numbers_beside_tables_and_over_many_pages():
     table = "".join(f"Pump {x}    {n}\n" for n, x in enumerate(("North", "South", "East", "West", "Total"), 2))
     assert not r.read(body + table)[2]
     assert [t[1] for t in r.read("Safety Notes Nord    23\n" + body + table)[3] if t[2]] == [0]
+
+
+@pytest.mark.parametrize(
+    "text,want,left",
+    [
+        ("{{Infobox place\n| name = Nord\n| area = 12\n}}\nNord is here.", ["wiki"], "Nord is here."), ("{{cite " + "word " * 100 + "}} After.", ["wiki"], "After."), ("'''''both''''' words", ["wiki"], "both words"),
+        ("$$" + "a + b + " * 100 + "c$$", ["latex"], "$$" + "a + b + " * 100 + "c$$"), ("$x = " + "a + " * 100 + "b$", ["latex"], "$x = " + "a + " * 100 + "b$"),
+        ("***bold italic*** text", ["markdown"], "bold italic text"), ("___bold italic___ text", ["markdown"], "bold italic text"), ("**" + "word " * 100 + "end** text", ["markdown"], "word " * 100 + "end text"),
+        ("a ** b ** c *** d", [], None), ("{{ open only\nand more", [], None), ("*** * ***", [], None), ("costs $5 or 6$ more", [], None),
+    ],
+)
+def test_long_markup(text, want, left):
+    assert kinds(text) == want
+    if left is not None:
+        assert clean(text, want)[0] == left
