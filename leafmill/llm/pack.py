@@ -207,7 +207,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, **options: int) -> DataFrame:
     """:func:`pack` for the texts of ``documents``, sized by a public tokenizer."""
-    return pack(token_counts(documents, ["doc_id"], "text", vocabulary, folder), capacity, **options)
+    # written once, since the items, the full and the empty containers are all made from the sizes
+    return pack(cut(token_counts(documents, ["doc_id"], "text", vocabulary, folder)), capacity, **options)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
