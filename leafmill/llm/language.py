@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import rough_repair
 from leafmill.llm.quality import with_kind
-from leafmill.session import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh")
 #: Languages that share the Latin script; the other two are told by script alone.
 LATIN = LANGUAGES[:5]
-#: Documents a label used for fitting (by hash of ``doc_id``, about), and words kept a language.
-SAMPLE_DOCS, SAMPLE_WORDS = 1000, 20_000
+#: Documents a label used for fitting (by hash of ``doc_id``, about).
+SAMPLE_DOCS = 1000
 #: What a change of language costs, in nats; and the most that one word can say for or against one.
 SWITCH, MOST = 9.0, 3.0
 
@@ -164,23 +164,19 @@ def _counted(model: Model | None):
     return run
 
 
-def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Model:
+def fit(documents: DataFrame, docs: int = SAMPLE_DOCS) -> Model:
     """A model from about ``docs`` labelled documents a language, whole texts.
 
-    Labels are noisy, so the first model labels the sample anew and the second is fitted to that. At
-    most ``words`` words a language come to the driver. Without labelled documents the seeds decide.
+    Labels are noisy, so the first model labels the sample anew and the second is fitted to that. What comes to the
+    driver are the words that stand more than once in that sample, which ``docs`` bounds; words seen once are scored by
+    their letters like unknown ones. Without labelled documents the seeds decide.
     """
     sample = _sampled(documents, docs).select("code", "text")
     model: Model | None = None
     for _ in range(2):
-        # written once, since each language's words are picked from it
-        counted = cut(sample.mapInArrow(_counted(model), "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n")).filter("n > 1"))
-        top = [counted.filter(F.col("code") == c).orderBy(F.col("n").desc(), "word").limit(words) for c in LATIN]
-        counted = top[0]
-        for t in top[1:]:
-            counted = counted.unionByName(t)
+        counted = sample.mapInArrow(_counted(model), "code string, word string, n long").groupBy("code", "word").agg(F.sum("n").alias("n")).filter("n > 1")
         found: dict[str, dict[str, int]] = {}
-        for r in counted.collect():  # at most 5 x words rows
+        for r in counted.collect():
             found.setdefault(r.code, {})[r.word] = r.n
         model = Model(found)
     return model
@@ -200,16 +196,17 @@ class _Labeller:
         self.rows = np.zeros((1024, len(LANGUAGES)), np.float32)
 
     def look(self, words: list[str]) -> list[int]:
-        ids, score = self.ids, self.model.score
-        out = []
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                i = ids[w] = len(ids)
-                if i >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[i] = score(w)
-            out.append(i)
+        """Numbers of the words in the table; words not seen before are scored and added."""
+        ids = self.ids
+        out = list(map(ids.get, words))
+        if None in out:
+            for w in words:
+                if w not in ids:
+                    i = ids[w] = len(ids)
+                    if i >= len(self.rows):
+                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                    self.rows[i] = self.model.score(w)
+            out = list(map(ids.__getitem__, words))
         return out
 
     def segments(self, text: str) -> list[tuple[int, int, str, float, int]]:
@@ -227,7 +224,7 @@ class _Labeller:
             out[i].append((0, len(texts[i]), "und", 0.0, 0))
         if not len(full):
             return out
-        scores = self.rows[np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))].astype(np.float64)
+        scores = self.rows[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))].astype(np.float64)
         ends = np.cumsum(sizes[full])
         starts = ends - sizes[full]
         sums = np.add.reduceat(scores, starts)

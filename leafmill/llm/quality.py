@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -73,34 +74,44 @@ def counts(t: Column, words: Column) -> dict[str, Column]:
 COUNTS = ("chars", "bytes", "words", "word_chars", "common", "han", "lines", "ended", "stops", "commas", "mark_chars", "row_chars", "figures", "symbols", "vowels", "code")
 
 
-def _counted(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+def _words(text: str) -> Column:
+    """Words of a column in lower case, split at blanks and common punctuation."""
+    return F.filter(F.split(F.lower(text), r"[\s,;|.:!?()“”„«»\"]+"), lambda w: w != "")
+
+
+def _counted(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the counts; text and words are made once a row, in steps of their own."""
     df = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _MARKER, ""))
-    df = df.withColumn("_w", F.filter(F.split(F.lower("_t"), r"[\s,;|.:!?()“”„«»\"]+"), lambda w: w != ""))
-    return df.withColumns({prefix + k: v.cast("int") for k, v in counts(F.col("_t"), F.col("_w")).items()}).drop("_t", "_w")
+    df = df.withColumn("_w", _words("_t"))
+    return df.withColumns({k: v.cast("int") for k, v in counts(F.col("_t"), F.col("_w")).items()}).drop("_t", "_w")
 
 
-def ratios(c=F.col) -> dict[str, Column]:
-    """The statistics of a document out of its summed counts; 0 where there is nothing to count."""
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    # a Chinese word has two characters or so
-    units = c("words") + c("han") / 2
-    return {
-        "word_count": c("words").cast("long"),
-        "mean_word_length": per(c("word_chars"), c("words")),
-        "symbol_ratio": per(c("symbols"), c("chars")),
-        "ended_ratio": per(c("ended"), c("lines")),
-        "common_ratio": per(c("common"), units),
-        "stop_ratio": per(c("stops"), units),
-        "comma_ratio": per(c("commas"), units),
-        "words_per_line": per(units, c("lines")),
-        "mark_ratio": per(c("mark_chars"), c("chars")),
-        "row_ratio": per(c("row_chars"), c("chars")),
-        "figure_ratio": per(c("figures"), units),
-        "vowel_ratio": per(c("vowels"), c("word_chars")),
-        "wide_ratio": per(c("bytes") - c("chars"), c("chars")),
-        "code_ratio": per(c("code"), c("lines")),
-    }
+def _per(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+#: The statistics of a document out of its summed counts, which ``c`` gives by name; 0 where there is nothing to count.
+RATIOS: dict[str, Callable[[Callable[[str], Column]], Column]] = {
+    "word_count": lambda c: c("words").cast("long"),
+    "mean_word_length": lambda c: _per(c("word_chars"), c("words")),
+    "symbol_ratio": lambda c: _per(c("symbols"), c("chars")),
+    "ended_ratio": lambda c: _per(c("ended"), c("lines")),
+    "common_ratio": lambda c: _per(c("common"), _units(c)),
+    "stop_ratio": lambda c: _per(c("stops"), _units(c)),
+    "comma_ratio": lambda c: _per(c("commas"), _units(c)),
+    "words_per_line": lambda c: _per(_units(c), c("lines")),
+    "mark_ratio": lambda c: _per(c("mark_chars"), c("chars")),
+    "row_ratio": lambda c: _per(c("row_chars"), c("chars")),
+    "figure_ratio": lambda c: _per(c("figures"), _units(c)),
+    "vowel_ratio": lambda c: _per(c("vowels"), c("word_chars")),
+    "wide_ratio": lambda c: _per(c("bytes") - c("chars"), c("chars")),
+    "code_ratio": lambda c: _per(c("code"), c("lines")),
+}
+
+
+def _units(c: Callable[[str], Column]) -> Column:
+    """Words, a Chinese one having two characters or so."""
+    return c("words") + c("han") / 2
 
 
 #: What the rules may use: all statistics but the size of the document.
@@ -108,7 +119,7 @@ FEATURES = ("mean_word_length", "symbol_ratio", "ended_ratio", "common_ratio", "
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
-    """One row a document: ``document_id`` and the statistics of :func:`ratios`.
+    """One row a document: ``document_id`` and the statistics of :data:`RATIOS`.
 
     A place (``chunk_index``) stored several times counts once, by the greatest of its counts. NULL content counts as empty; rows
     without ``document_id`` are skipped. Counting is done at the scan, in the JVM; only numbers are
@@ -118,7 +129,7 @@ def statistics(chunks: DataFrame) -> DataFrame:
     # a column for each count, so that those which nobody asks for are never counted
     once = counted.groupBy("document_id", "chunk_index").agg(*[F.max(k).alias(k) for k in COUNTS])
     total = once.groupBy("document_id").agg(*[F.sum(k).alias(k) for k in COUNTS])
-    return total.select("document_id", *[v.alias(k) for k, v in ratios().items()])
+    return total.select("document_id", *[v(F.col).alias(k) for k, v in RATIOS.items()])
 
 
 def rules() -> list:
@@ -132,6 +143,17 @@ def classify(stats: DataFrame) -> DataFrame:
 
 
 def with_kind(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the ``text_kind`` of its column ``text``, taken as a whole document."""
-    inner = _counted(df, text, "_c_").withColumns({f"_r_{k}": v for k, v in ratios(lambda k: F.col(f"_c_{k}")).items()})
-    return inner.withColumn("text_kind", F.expr(to_sql(rules(), "prose", "_r_"))).select(*df.columns, "text_kind")
+    """``df`` with the ``text_kind`` of its column ``text``, taken as a whole document.
+
+    The counts go through a generator of one row, which no filter on ``text_kind`` can be pushed through; otherwise the
+    optimizer would put the counts in place of each of their uses in the rules and evaluate them many times a row.
+    """
+    learned = rules()
+    asked = sorted({name for r in learned for name, _, _ in r.conditions})
+    needed: set[str] = set()
+    of_count = lambda k: needed.add(k) or F.col(f"_c_{k}")
+    told = [RATIOS[name](of_count).alias(f"_r_{name}") for name in asked]
+    readied = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _MARKER, "")).withColumn("_w", _words("_t"))
+    counted = [v.cast("int").alias(f"_c_{k}") for k, v in counts(F.col("_t"), F.col("_w")).items() if k in needed]
+    once = readied.select(*df.columns, F.inline(F.array(F.struct(*counted))))
+    return once.select(*df.columns, F.inline(F.array(F.struct(*told)))).select(*df.columns, F.expr(to_sql(learned, "prose", "_r_")).alias("text_kind"))
