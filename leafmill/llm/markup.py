@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.quality import COMMON, COMMON_HAN, classify, statistics
+from leafmill.llm.quality import COMMON, COMMON_HAN
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -60,33 +61,6 @@ _CODE = re.compile(r"^\s*(?:def|for|if|elif|while|return|assert|class|import|fro
 _CODE_FILE = re.compile(r"^\s*\[代码文件")
 
 
-def _prose(text: str) -> str:
-    """``text`` without its lines of program code."""
-    return "\n".join(x for x in text.split("\n") if not _CODE.search(x) or "`" in x or "](" in x or "}}" in x or "]]" in x or "{|" in x or "|}" in x)
-
-
-def kinds(text: str) -> list[str]:
-    """The kinds of markup that ``text`` holds any of, in the order of :data:`KINDS`.
-
-    Markers of the parsers, plain bullets, numbers and ``#`` at the start of a line, rows parted by bars and
-    program code are none.
-    """
-    if _CODE_FILE.match(text):
-        return []
-    out = []
-    if "<" in text and (_TAG.search(text) or _COMMENT.search(text)) or "&" in text and any(e[1] == "#" or e[1:] in html.entities.html5 for e in _ENTITY.findall(text)):
-        out.append("html")
-    fence = ("```" in text or "~~~" in text) and _FENCE.search(text)
-    plain: str | None = None
-    if fence or ("**" in text or "__" in text or "~~" in text or "`" in text or "](" in text or "--" in text or "]:" in text) and _MD.search(plain := _prose(text)):
-        out.append("markdown")
-    if ("[[" in text or "{{" in text or "==" in text or "{|" in text or "|}" in text or "''" in text or "://" in text or "<" in text) and _WIKI.search(_prose(text) if plain is None else plain):
-        out.append("wiki")
-    if "\\" in text and (_TEX.search(text) or _MATH.search(text)) or "$" in text and _MATH.search(text):
-        out.append("latex")
-    return out
-
-
 @dataclass
 class Block:
     """A piece of text between structural breaks."""
@@ -99,59 +73,134 @@ class Block:
 
 
 _STOP, _STOP_HAN = frozenset(COMMON), frozenset(COMMON_HAN)
-#: Limits of the block rules: link density, stop-word density (low and high), lengths in characters (short and long).
-LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.5, 0.1, 0.25, 40, 160
+#: Limits of the block rules: link density, stop-word density (low and high), lengths in characters (short and long), share of readable words.
+LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG, READABLE = 0.5, 0.1, 0.25, 40, 160, 0.25
+#: Labels that the first pass gives for good; the second spreads them.
+DECIDED = frozenset(("good", "bad", "junk"))
+_LETTERS = re.compile(r"[^\W\d_]+")
+_VOWEL = re.compile("[aeiouyAEIOUY]")
+#: Names that no chance brings about: a block that has one is not junk by its signs.
+_NAMED = re.compile(rf"\\(?:{'|'.join(c for c in _COMMANDS if len(c) > 2)})(?![A-Za-z])|</?(?:{'|'.join(t for t in _TAGS if len(t) > 1)})\b[^<>]*>", re.I)
+_OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _unreadable(text: str) -> bool:
+    """Whether a block has hardly a stop word and next to none of its words could be read aloud: ciphers, random letters, runs of signs."""
+    if sum(c > "\x7f" for c in text) * 5 > len(text):
+        return False
+    words = text.split()
+    whole = [w for w in (x.strip(_OUTER) for x in words) if w.isalpha()]
+    if sum(len(w) > 1 and w.lower() in _STOP for w in whole) * 10 > len(words):
+        return False
+    sound = sum(len(w) for w in whole if len(w) < 25 and (_VOWEL.search(w) or w > "\x7f"))
+    return sound < READABLE * sum(map(len, words)) and not _NAMED.search(text)
+
+
+def _first_label(b: Block) -> str:
+    n = len(b.text)
+    if b.role in ("code", "formula"):
+        return "good"
+    if b.linked > LINK_DENSITY * max(1, n):
+        return "bad"
+    if n < SHORT:
+        return "short"
+    if _unreadable(b.text):
+        return "junk"
+    if b.role in ("heading", "item", "row"):
+        return "short"
+    words = _LETTERS.findall(b.text.lower())
+    han = sum(c in _STOP_HAN for c in b.text)
+    units = sum(len(w) / 2 if w[0] >= "㐀" else 1 for w in words)
+    density = (sum(w in _STOP for w in words) + han) / max(1.0, units)
+    if density >= STOP_HIGH:
+        return "good" if n > LONG else "near"
+    return "near" if density >= STOP_LOW else "bad" if n < LONG and not re.search(r"[.!?。]", b.text) else "near"
 
 
 def label_blocks(blocks: list[Block]) -> None:
     """Two passes over the blocks of a text: decide each by itself, then let ambiguous short ones follow their neighbours.
 
-    First: a block mostly of links is ``bad``; code and formulas are ``good``; one below :data:`SHORT` characters is ``short``; by
+    First: code and formulas are ``good``; a block mostly of links is ``bad``; one below :data:`SHORT` characters is ``short``; one with hardly
+    a stop word of which next to nothing is readable is ``junk``; by
     the density of stop words a longer one is ``good`` (long enough), ``near`` or ``bad``. Second: a short or near block takes the label on which its nearest decided neighbours
-    agree; if they differ, ``near`` ones become good and short ones follow the closer neighbour, the one before in a tie. Without any decided
+    agree, where ``near`` ones become good whatever those are; if they differ, short ones follow the closer neighbour, the one before in a tie. Without any decided
     neighbour a block is good. Headings, items and rows are never ``bad`` for their words alone.
     """
-    for b in blocks:
-        n = len(b.text)
-        if b.role in ("code", "formula"):
-            b.label = "good"
-            continue
-        if b.linked > LINK_DENSITY * max(1, n):
-            b.label = "bad"
-            continue
-        if n < SHORT or b.role in ("heading", "item", "row"):
-            b.label = "short"
-            continue
-        words = re.findall(r"[^\W\d_]+", b.text.lower())
-        han = sum(c in _STOP_HAN for c in b.text)
-        units = sum(len(w) / 2 if w[0] >= "㐀" else 1 for w in words)
-        density = (sum(w in _STOP for w in words) + han) / max(1.0, units)
-        if density >= STOP_HIGH:
-            b.label = "good" if n > LONG else "near"
-        else:
-            b.label = "near" if density >= STOP_LOW else "bad" if n < LONG and not re.search(r"[.!?。]", b.text) else "near"
-    first = [b.label for b in blocks]
-    decided = [i for i, x in enumerate(first) if x in ("good", "bad")]
+    first = [_first_label(b) for b in blocks]
     before, after = [-1] * len(blocks), [-1] * len(blocks)
     last = -1
     for i in range(len(blocks)):
         before[i] = last
-        last = i if first[i] in ("good", "bad") else last
+        last = i if first[i] in DECIDED else last
     last = -1
     for i in range(len(blocks) - 1, -1, -1):
         after[i] = last
-        last = i if first[i] in ("good", "bad") else last
+        last = i if first[i] in DECIDED else last
     for i, b in enumerate(blocks):
-        if b.label in ("short", "near"):
-            sides = [first[j] for j in (before[i], after[i]) if j >= 0]
-            if not decided or not sides or set(sides) == {"good"}:
-                b.label = "good"
-            elif set(sides) == {"bad"}:
-                b.label = "bad" if b.label == "short" and b.role == "text" else "good"
-            elif b.label == "near" or b.role != "text":
-                b.label = "good"
-            else:
-                b.label = first[before[i]] if i - before[i] <= after[i] - i else first[after[i]]
+        b.label = first[i]
+        if b.label in DECIDED:
+            continue
+        sides = [j for j in (before[i], after[i]) if j >= 0]
+        if b.label == "near" or not sides:
+            b.label = "good"
+            continue
+        b.label = first[min(sides, key=lambda j: abs(i - j))]
+        if b.label == "bad" and b.role != "text":
+            b.label = "good"
+
+
+def _lines(text: str) -> tuple[list[int], list[Block]]:
+    """The lines of a text as blocks, and where each starts. Lines of program code have their role unless a sign of markup that code lacks stands in them."""
+    starts, blocks, at = [], [], 0
+    for x in text.split("\n"):
+        code = _CODE.search(x) and not ("`" in x or "](" in x or "}}" in x or "]]" in x or "{|" in x or "|}" in x)
+        starts.append(at)
+        blocks.append(Block(x.strip(), "code" if code else "text"))
+        at += len(x) + 1
+    return starts, blocks
+
+
+class _Places:
+    """Which lines of one text are code or junk by their role and label, made when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.void: list[bool] | None = None
+
+    def counts(self, at: int) -> bool:
+        """Whether a sign at this offset counts: not in a line of code or one labelled junk."""
+        if self.void is None:
+            self.starts, blocks = _lines(self.text)
+            full = [b for b in blocks if b.text]
+            label_blocks(full)
+            self.void = [b.role == "code" or b.label == "junk" for b in blocks]
+        return not self.void[bisect_right(self.starts, at) - 1]
+
+    def any(self, *patterns: re.Pattern) -> bool:
+        """Whether a match of one of the patterns counts."""
+        return any(self.counts(m.start()) for p in patterns for m in p.finditer(self.text))
+
+
+def kinds(text: str) -> list[str]:
+    """The kinds of markup that ``text`` holds any of, in the order of :data:`KINDS`.
+
+    Signs are looked for by pattern; the lines they stand in are labelled by :func:`label_blocks`, and a sign in a line of code or one labelled
+    junk does not count. Markers of the parsers, plain bullets, numbers and ``#`` at the start of a line, and rows parted by bars are no signs.
+    """
+    if _CODE_FILE.match(text):
+        return []
+    out = []
+    places = _Places(text)
+    if "<" in text and places.any(_TAG, _COMMENT) or "&" in text and any((e[0][1] == "#" or e[0][1:] in html.entities.html5) and places.counts(e.start()) for e in _ENTITY.finditer(text)):
+        out.append("html")
+    fence = ("```" in text or "~~~" in text) and _FENCE.search(text)
+    if fence or ("**" in text or "__" in text or "~~" in text or "`" in text or "](" in text or "--" in text or "]:" in text) and places.any(_MD):
+        out.append("markdown")
+    if ("[[" in text or "{{" in text or "==" in text or "{|" in text or "|}" in text or "''" in text or "://" in text or "<" in text) and places.any(_WIKI):
+        out.append("wiki")
+    if "\\" in text and places.any(_TEX, _MATH) or "$" in text and places.any(_MATH):
+        out.append("latex")
+    return out
 
 
 _BLOCK_TAG = re.compile(r"<(/?)(p|div|h[1-6]|li|tr|td|th|br|hr|ul|ol|table|pre|blockquote|section|article|header|footer|nav|aside|dt|dd|title|caption|body|html|head|form|thead|tbody|figure|figcaption|main)\b[^<>]*>", re.I)
@@ -266,7 +315,7 @@ def clean(text: str, found: list[str]) -> tuple[str, int]:
         role = "heading" if re.match(r"#{1,6} ", line) else "item" if re.match(r"[-*+•·–] |\(?\d{1,3}[.)] ", line) else "row" if " | " in line else "code" if _CODE.search(line) else "text"
         blocks.append(Block(line, role, linked))
     label_blocks(blocks)
-    good = [b for b in blocks if b.label != "bad"]
+    good = [b for b in blocks if b.label not in ("bad", "junk")]
     return "\n".join(b.text for b in good), len(blocks) - len(good)
 
 
@@ -306,10 +355,9 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cleaned(chunks: DataFrame) -> DataFrame:
     """The chunks that hold markup: ``id``, ``document_id``, ``markup`` (kinds), ``content`` (clean), ``dropped`` (blocks).
 
-    Chunks of documents whose text is junk are left out, for signs there are no markup. NULL and empty texts have none. A row delivered twice comes out once. Only rows
-    with a sign that markup needs reach Python; they are handled one by one.
+    Signs in code, and in blocks that the block rules label junk, are no markup (:func:`kinds`). NULL and empty texts have none. A row delivered twice comes out once. Only rows
+    with a sign that markup needs reach Python; they are handled one by one, and only chunks with markup are shuffled.
     """
     signs = F.col("content").rlike(r"[<&`\\$]|\*\*|__|~~|\]\(|\[\[|\{[{|]|\|\}|==|''|://|-\||\]:")
     found = chunks.filter(signs).select("id", "document_id", "content").mapInArrow(_kernel, "id long, document_id long, markup array<string>, content string, dropped int")
-    junk = classify(statistics(chunks)).filter("text_kind = 'junk'").select("document_id")
-    return found.join(junk, "document_id", "left_anti").dropDuplicates(["id"])
+    return found.dropDuplicates(["id"])

@@ -142,3 +142,21 @@ def test_long_markup(text, want, left):
     assert kinds(text) == want
     if left is not None:
         assert clean(text, want)[0] == left
+
+
+def test_block_labels_decide_whether_a_sign_counts(spark):
+    """Two texts with the same sign: it counts in a line of prose or without decided neighbours, not among unreadable lines or in code."""
+    sign = r"\[ a \]"
+    soup = "%|;?|[+>#=;]%~&<>*/{?$+{<@~|%$?[@*}%[<\\/@/<[==;.$|*]::+.!-^~[$|>}^/>/]|@:$*{<*|&}"
+    cipher = r'k$4:a2$ "3q76# ;7;k:1. ;je&$ a72%0$ 4j$ (3 "%$ \2z $#q87. (k0$5e'
+    prose = "The pump is cleaned with a brush and the filter of the engine is then put back where it was before, so that the unit can be used again."
+    assert kinds(f"{prose}\n{sign}\n{prose}") == ["latex"] and kinds(sign) == ["latex"]
+    assert kinds(f"{soup}\n{sign}\n{soup}") == [] and kinds(f"{cipher}\n{sign}\n{cipher}\n{soup}") == []
+    assert kinds(f"{soup}\n{soup}\n{prose}\n{sign}") == ["latex"]
+    code = "def area(x):\n    y = x ** 2 + z ** 3\n    return y;"
+    assert kinds(code) == [] and kinds(code + "\n\n" + prose + " It is **new**.") == ["markdown"]
+    rows = [(1, 1, f"{prose}\n{sign}"), (2, 2, f"{soup}\n{sign}\n{soup}"), (2, 2, f"{soup}\n{sign}\n{soup}"), (3, 3, None), (4, 4, "")]
+    assert [r.id for r in cleaned(spark.createDataFrame(rows, "id long, document_id long, content string")).collect()] == [1]
+    blocks = [Block(soup), Block("a \\ b"), Block(code.split("\n")[1], "code"), Block("x = 1"), Block(prose + prose)]
+    label_blocks(blocks)
+    assert [b.label for b in blocks] == ["junk", "junk", "good", "good", "good"]
