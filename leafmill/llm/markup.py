@@ -97,7 +97,7 @@ def _unreadable(text: str) -> bool:
 
 
 def _first_label(b: Block) -> str:
-    n = len(b.text)
+    n = len(b.text.strip())
     if b.role in ("code", "formula"):
         return "good"
     if b.linked > LINK_DENSITY * max(1, n):
@@ -149,32 +149,37 @@ def label_blocks(blocks: list[Block]) -> None:
             b.label = "good"
 
 
-def _lines(text: str) -> tuple[list[int], list[Block]]:
-    """The lines of a text as blocks, and where each starts. Lines of program code have their role unless a sign of markup that code lacks stands in them."""
-    starts, blocks, at = [], [], 0
+def _paragraphs(text: str) -> tuple[list[int], list[Block]]:
+    """A text as blocks, and where each starts: lines up to a blank one, or of program code. A line with a sign of markup that code lacks is not code."""
+    starts, blocks, at, open_ = [], [], 0, ""
     for x in text.split("\n"):
         code = _CODE.search(x) and not ("`" in x or "](" in x or "}}" in x or "]]" in x or "{|" in x or "|}" in x)
-        starts.append(at)
-        blocks.append(Block(x.strip(), "code" if code else "text"))
+        role = "" if not x or x.isspace() else "code" if code else "text"
+        if role and role == open_:
+            blocks[-1].text += "\n" + x
+        elif role:
+            starts.append(at)
+            blocks.append(Block(x, role))
+        open_ = role
         at += len(x) + 1
     return starts, blocks
 
 
 class _Places:
-    """Which lines of one text are code or junk by their role and label, made when first asked for."""
+    """Which blocks of one text are code or junk by their role and label, made when first asked for."""
 
     def __init__(self, text: str):
         self.text = text
         self.void: list[bool] | None = None
 
     def counts(self, at: int) -> bool:
-        """Whether a sign at this offset counts: not in a line of code or one labelled junk."""
+        """Whether a sign at this offset counts: not in a block of code or one labelled junk."""
         if self.void is None:
-            self.starts, blocks = _lines(self.text)
-            full = [b for b in blocks if b.text]
-            label_blocks(full)
-            self.void = [b.role == "code" or b.label == "junk" for b in blocks]
-        return not self.void[bisect_right(self.starts, at) - 1]
+            # formulas are no words, so they speak neither for nor against their block
+            self.starts, blocks = _paragraphs(_MATH.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), self.text) if "$" in self.text or "\\" in self.text else self.text)
+            label_blocks(blocks)
+            self.void = [b.role == "code" or b.label == "junk" for b in blocks] or [False]
+        return not self.void[max(0, bisect_right(self.starts, at) - 1)]
 
     def any(self, *patterns: re.Pattern) -> bool:
         """Whether a match of one of the patterns counts."""
@@ -184,7 +189,7 @@ class _Places:
 def kinds(text: str) -> list[str]:
     """The kinds of markup that ``text`` holds any of, in the order of :data:`KINDS`.
 
-    Signs are looked for by pattern; the lines they stand in are labelled by :func:`label_blocks`, and a sign in a line of code or one labelled
+    Signs are looked for by pattern; the blocks they stand in are labelled by :func:`label_blocks`, and a sign in a block of code or one labelled
     junk does not count. Markers of the parsers, plain bullets, numbers and ``#`` at the start of a line, and rows parted by bars are no signs.
     """
     if _CODE_FILE.match(text):
