@@ -7,7 +7,7 @@ import html.entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +69,7 @@ class Block:
     role: str = "text"  # text, heading, item, code, formula, row
     linked: int = 0  # characters inside links
     label: str = ""
-    words: int = field(default=0, repr=False)
+    words: str | None = None  # the text without formulas and inline code, if it has any
 
 
 _STOP, _STOP_HAN = frozenset(COMMON), frozenset(COMMON_HAN)
@@ -104,7 +104,7 @@ def _first_label(b: Block) -> str:
         return "bad"
     if n < SHORT:
         return "short"
-    if _unreadable(b.text):
+    if _unreadable(b.text if b.words is None else b.words):
         return "junk"
     if b.role in ("heading", "item", "row"):
         return "short"
@@ -312,13 +312,14 @@ def clean(text: str, found: list[str]) -> tuple[str, int]:
             role, held = kept.items[int(whole[1])]
             blocks.append(Block(f"```\n{held}\n```" if role == "code" else held, role))
             continue
+        words = _HOLD.sub(" ", line) if "\ue002" in line else None
         line = _HOLD.sub(lambda m: kept.items[int(m[1])][1], line)
         linked = sum(len(x) for x in re.findall(f"{_L}([^{_R}]*){_R}", line))
         line = re.sub(r"[ \t]+", " ", line.replace(_L, "").replace(_R, "")).strip()
         if not line or line in ("-", "|"):
             continue
         role = "heading" if re.match(r"#{1,6} ", line) else "item" if re.match(r"[-*+•·–] |\(?\d{1,3}[.)] ", line) else "row" if " | " in line else "code" if _CODE.search(line) else "text"
-        blocks.append(Block(line, role, linked))
+        blocks.append(Block(line, role, linked, words=words))
     label_blocks(blocks)
     good = [b for b in blocks if b.label not in ("bad", "junk")]
     return "\n".join(b.text for b in good), len(blocks) - len(good)
