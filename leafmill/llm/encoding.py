@@ -278,43 +278,55 @@ def _candidates(width: int, first: int | None, second: int | None) -> tuple[str,
 _FAST = {e: byte_of(e) for e in SINGLE}
 
 
-def undo_single(text: str, encoding: str) -> tuple[str, int]:
-    """``text`` with its well-formed and plausible UTF-8 sequences read again, and how many there were.
+@lru_cache(maxsize=200_000)
+def _of_run(span: str, encoding: str) -> tuple[str, int]:
+    """A run of characters beyond ASCII with its well-formed and plausible UTF-8 sequences read again, and how many there were.
 
-    Sequences also come about by chance, so they count only where they make up most of a run of
-    characters beyond ASCII. Letters of sound Cyrillic text are such runs themselves: there the whole run
-    must consist of sequences, two at least or one that gives a Latin letter or sign.
+    Sequences also come about by chance, so they count only where they make up most of the run. Letters of sound Cyrillic
+    text are such runs themselves: there the whole run must consist of sequences, two at least or one that gives a Latin letter or sign.
     """
-    m, pattern, n = _FAST[encoding], sequence(encoding), 0
-
-    def of_run(run: re.Match) -> str:
-        nonlocal n
-        covered = count = 0
+    m, covered, count = _FAST[encoding], 0, 0
 
-        def again(found: re.Match) -> str:
-            nonlocal covered, count
-            s = found.group()
-            if LOST in s:
-                covered += len(s)
-                return s
-            try:
-                c = bytes(m[x] for x in s).decode()
-            except UnicodeDecodeError:
-                return s
-            if plausible(c) or c in _odd():
-                covered += len(s)
-                count += 1
-                return c
+    def again(found: re.Match) -> str:
+        nonlocal covered, count
+        s = found.group()
+        if LOST in s:
+            covered += len(s)
             return s
+        try:
+            c = bytes(m[x] for x in s).decode()
+        except UnicodeDecodeError:
+            return s
+        if plausible(c) or c in _odd():
+            covered += len(s)
+            count += 1
+            return c
+        return s
+
+    new = sequence(encoding).sub(again, span)
+    if encoding in _CYR and (covered < len(span) or count == 1 and not new <= "\u024f") or covered < 0.6 * len(span):
+        return span, 0
+    return new, count
 
-        span = run.group()
-        new = pattern.sub(again, span)
-        if encoding in _CYR and (covered < len(span) or count == 1 and not new <= "\u024f") or covered < 0.6 * len(span):
-            return span
+
+@lru_cache(maxsize=200_000)
+def _run_counts(span: str) -> tuple[int, ...] | None:
+    """What :func:`_of_run` counts in each of :data:`SINGLE`; None if nothing in any."""
+    out = tuple(_of_run(span, e)[1] for e in SINGLE)
+    return out if any(out) else None
+
+
+def undo_single(text: str, encoding: str) -> tuple[str, int]:
+    """``text`` with the runs of characters beyond ASCII read again by :func:`_of_run`, and how many sequences there were."""
+    n = 0
+
+    def run(found: re.Match) -> str:
+        nonlocal n
+        new, count = _of_run(found.group(), encoding)
         n += count
         return new
 
-    return _SPAN.sub(of_run, text), n
+    return _SPAN.sub(run, text), n
 
 
 @lru_cache(maxsize=1)
@@ -342,18 +354,16 @@ def hinted(text: str) -> bool:
 
 
 def _undo_utf8(text: str) -> str:
-    """One-byte misreadings of UTF-8 undone, repeatedly, as far as they are certain from their form alone."""
-    for _ in range(3):
-        best = (0, text)
-        for e in SINGLE:
-            if not sequence(e).search(text):
-                continue
-            read, n = undo_single(text, e)
-            if n >= _LEAST.get(e, 1) and n > best[0]:
-                best = (n, read)
-        if not best[0]:
-            return text
-        text = best[1]
+    """One-byte misreadings of UTF-8 undone, as often as it was misread, as far as they are certain from their form alone."""
+    while found := [c for c in map(_run_counts, _SPAN.findall(text)) if c]:
+        best, encoding = 0, ""
+        for e, n in zip(SINGLE, map(sum, zip(*found))):
+            if n >= _LEAST.get(e, 1) and n > best:
+                best, encoding = n, e
+        if not best:
+            break
+        # every sequence becomes one character, so the text gets shorter each time
+        text = undo_single(text, encoding)[0]
     return text
 
 

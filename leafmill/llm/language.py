@@ -257,22 +257,42 @@ def _confidence(sums: np.ndarray, c: int, n: int) -> float:
     return round(1.0 / (1.0 + math.exp(-min(50.0, max(-50.0, (sums[c] - rest) / max(1.0, n**0.5))))), 4)
 
 
-def _viterbi(text: str, scores: np.ndarray, use: list[int]) -> list[tuple[int, int, str, float, int]]:
-    """The best labelling of words by the languages ``use``, changes costing :data:`SWITCH`, as segments of ``text``."""
-    best = [0.0] * len(use)
-    back: list[list[int]] = []
-    columns = range(len(use))
-    for row in scores[:, use].tolist():
+def _path(scores: np.ndarray) -> list[int]:
+    """The column that the best path takes in each row, changes costing :data:`SWITCH`; of equals the earlier column."""
+    n, k = scores.shape
+    path = [0] * n
+    if k == 2:  # nearly always; then only the lead of the second column counts, and a change pays once it exceeds the price
+        lead, back = 0.0, [0] * n
+        for i, x in enumerate((scores[:, 1] - scores[:, 0]).tolist()):
+            if lead > SWITCH:
+                lead, back[i] = SWITCH, 1
+            elif lead < -SWITCH:
+                lead, back[i] = -SWITCH, -1
+            lead += x
+        j = int(lead > 0)
+        for i in range(n - 1, -1, -1):
+            path[i] = j
+            j = j if not back[i] else int(back[i] > 0)
+        return path
+    best = [0.0] * k
+    came_from: list[list[int]] = []
+    columns = range(k)
+    for row in scores.tolist():
         top = max(columns, key=best.__getitem__)
         limit = best[top] - SWITCH
         came = [j if best[j] >= limit else top for j in columns]
         best = [best[came[j]] - (SWITCH if came[j] != j else 0.0) + row[j] for j in columns]
-        back.append(came)
+        came_from.append(came)
     j = max(columns, key=best.__getitem__)
-    path = [0] * len(back)
-    for i in range(len(back) - 1, -1, -1):
+    for i in range(n - 1, -1, -1):
         path[i] = j
-        j = back[i][j]
+        j = came_from[i][j]
+    return path
+
+
+def _viterbi(text: str, scores: np.ndarray, use: list[int]) -> list[tuple[int, int, str, float, int]]:
+    """The best labelling of words by the languages ``use``, changes costing :data:`SWITCH`, as segments of ``text``."""
+    path = _path(scores[:, use])
     places = [(m.start(), m.end()) for m in _WORD.finditer(prose(text))]
     out: list[tuple[int, int, str, float, int]] = []
     i, n = 0, len(path)
@@ -371,7 +391,7 @@ def mislabelled(documents: DataFrame, model: Model | None = None, least_share: f
     model = model or fit(documents)
     used = documents.filter(F.length("text") >= least_chars).select("doc_id", "text", named(F.col("lang")).alias("claimed"))
     cases = used.mapInArrow(_cases(model, least_share), "doc_id long, text string, by array<struct<lang_code: string, confidence: double, share: double>>")
-    readable = with_kind(cases, "text").filter("text_kind NOT IN ('code', 'junk')")
+    readable = with_kind(cases, "text", ("code", "junk")).filter("text_kind NOT IN ('code', 'junk')")
     return readable.select("doc_id", F.inline("by"))
 
 

@@ -55,7 +55,7 @@ def counts(t: Column, words: Column) -> dict[str, Column]:
         "bytes": F.octet_length(t),
         "words": F.size(words),
         "word_chars": F.length(F.array_join(words, "")),
-        "common": F.size(F.filter(words, lambda w: w.isin(*COMMON))) + n(f"[{COMMON_HAN}]"),
+        "common": F.size(F.filter(words, lambda w: w.isin(*COMMON))) + n(f"(?={_HAN})[{COMMON_HAN}]"),  # a look at the range first, since the set is slow
         "han": n(_HAN),
         "lines": n(r"(?md)^.*\S"),
         "ended": n(r"(?md)[.!?:。！？：…][\"”’»)）]*\s*$"),
@@ -64,7 +64,7 @@ def counts(t: Column, words: Column) -> dict[str, Column]:
         "mark_chars": chars_in(_MARK),
         "row_chars": chars_in(_ROW),
         "figures": n(r"(?<![\w.])-?\d[\d.,:/-]*%?(?!\w)"),
-        "symbols": n(r"[^\p{L}\p{N}\s.,;:!?'’\"“”„«»()\[\]%°€|，。！？：；、（）《》-]"),
+        "symbols": n(r"(?![A-Za-z ])[^\p{L}\p{N}\s.,;:!?'’\"“”„«»()\[\]%°€|，。！？：；、（）《》-]"),
         "vowels": F.length(t) - F.length(F.translate(F.lower(t), _VOWELS, "")),
         "code": n(_CODE),
     }
@@ -142,18 +142,30 @@ def classify(stats: DataFrame) -> DataFrame:
     return stats.withColumn("text_kind", F.expr(to_sql(rules(), "prose")))
 
 
-def with_kind(df: DataFrame, text: str) -> DataFrame:
+def with_kind(df: DataFrame, text: str, asked: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with the ``text_kind`` of its column ``text``, taken as a whole document.
 
-    The counts go through a generator of one row, which no filter on ``text_kind`` can be pushed through; otherwise the
+    If only the kinds ``asked`` are of interest, other texts may come out as prose, and what those kinds' own rules do not use is counted only
+    for texts that one of these rules would take. Counts go through generators of one row, which no filter on ``text_kind`` can be pushed through; otherwise the
     optimizer would put the counts in place of each of their uses in the rules and evaluate them many times a row.
     """
     learned = rules()
-    asked = sorted({name for r in learned for name, _, _ in r.conditions})
-    needed: set[str] = set()
-    of_count = lambda k: needed.add(k) or F.col(f"_c_{k}")
-    told = [RATIOS[name](of_count).alias(f"_r_{name}") for name in asked]
-    readied = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _MARKER, "")).withColumn("_w", _words("_t"))
-    counted = [v.cast("int").alias(f"_c_{k}") for k, v in counts(F.col("_t"), F.col("_w")).items() if k in needed]
-    once = readied.select(*df.columns, F.inline(F.array(F.struct(*counted))))
-    return once.select(*df.columns, F.inline(F.array(F.struct(*told)))).select(*df.columns, F.expr(to_sql(learned, "prose", "_r_")).alias("text_kind"))
+    if asked is not None:
+        learned = learned[: max((k + 1 for k, r in enumerate(learned) if r.label in asked), default=0)]
+    own = [r for r in learned if asked is None or r.label in asked]
+    first = {name for r in own for name, _, _ in r.conditions}
+    rest = {name for r in learned for name, _, _ in r.conditions} - first
+    if not first:
+        return df.withColumn("text_kind", F.lit("prose"))
+    out = df.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _MARKER, "")).withColumn("_w", _words("_t"))
+    made: set[str] = set()
+    maybe = F.lit(True)
+    for names in (first, rest) if rest else (first,):
+        needed: set[str] = set()
+        told = [RATIOS[name](lambda k: needed.add(k) or F.col(f"_c_{k}")).alias(f"_r_{name}") for name in sorted(names)]  # noqa: B023
+        counted = [F.when(maybe, v.cast("int")).alias(f"_c_{k}") for k, v in counts(F.col("_t"), F.col("_w")).items() if k in needed - made]
+        out = out.select("*", F.inline(F.array(F.struct(*counted)))) if counted else out
+        out = out.select("*", F.inline(F.array(F.struct(*told))))
+        made |= needed
+        maybe = F.expr(" OR ".join("(" + " AND ".join(f"_r_{n} {op} {t!r}D" for n, op, t in r.conditions) + ")" for r in own))
+    return out.select(*df.columns, F.expr(to_sql(learned, "prose", "_r_")).alias("text_kind"))
