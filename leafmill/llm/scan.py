@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.vocabulary import BOUND, frequent, term_counts
 from leafmill.session import cut
 
-#: A form this many times rarer than another of its skeleton is a misreading of it.
+#: A form this many times rarer than another of its skeleton is a misreading of it; so a word must stand this often to be meant by any.
 RARER = 20
+#: Bits of the table that tells which words may be among rival forms.
+BITS = 1 << 20
+#: Letters that a word must have to be meant if it is not frequent: shorter ones are too often met by chance.
+RARE_LETTERS = 5
 
 # Strokes that characters are made of, as far as recognisers confuse them. A character stands for
 # its strokes, so that "m" and "rn", "d" and "cl", "u" and "ii" come out alike.
@@ -86,9 +91,17 @@ class Reader:
 
     ``counts`` has the frequent terms; ``contexts`` how often a word that shares its skeleton with another frequent one stands
     after or before a neighbour (``"left word"``, ``"word right"``).
+
+    With ``shared``, the skeletons that frequent words share with established rarer ones, the frequent terms are taken for a part of the corpus only: what they do
+    not decide is left in :attr:`open` (words with neighbours and place) and :attr:`cuts` (words that line ends may cut), to be looked up in the
+    counts of all words (:func:`resolve`).
     """
 
-    def __init__(self, counts: dict[str, int], contexts: dict[str, int] | None = None):
+    def __init__(self, counts: dict[str, int], contexts: dict[str, int] | None = None, shared: frozenset[str] | None = None):
+        self.shared = shared
+        #: Of the text read last: word, left and right neighbour, line, offset and length in the line, how it is written.
+        self.open: list[tuple[str, str, str, int, int, int, str]] = []
+        self.cuts: list[str] = []
         self.counts = {w: n for w, n in counts.items() if len(w) > 1 and w.isalpha() and not _HAN.search(w)}
         self.contexts = contexts or {}
         self.groups: dict[str, list[str]] = {}
@@ -119,14 +132,14 @@ class Reader:
         return out
 
     def correct(self, word: str, left: str, right: str) -> str | None:
-        """The form meant by a misread ``word`` (lower case), or None if it is sound or nothing explains it.
+        """The form meant by a misread ``word`` (lower case), None if it is sound or nothing explains it, empty if the frequent terms do not decide.
 
         Candidates share the skeleton. Words of letters alone need four letters and, if the corpus has them, to be far rarer
         than the form meant. Several candidates are ordered by how often they stand between these neighbours.
         """
         got = self.known.get(word, word)
         if got is not word:
-            if got is None or len(self.groups.get(skeleton(got), ())) < 2:
+            if not got or len(self.groups.get(skeleton(got), ())) < 2:
                 return got
         letters = len(_LETTERS.findall(word))
         odd = _ODD.search(word)
@@ -134,6 +147,9 @@ class Reader:
         if letters >= (2 if odd else 4) and letters * 2 >= len(word) and not self.sound(word) and (not word.isdigit()):
             own = self.counts.get(word, 0)
             forms = [f for f in self.forms(word) if f != word and own * RARER <= self.counts[f]]
+            if self.shared is not None and (len(forms) != 1 or skeleton(word) in self.shared):
+                self._keep(word, "")
+                return ""
         if not forms:
             self._keep(word, None)
             return None
@@ -155,7 +171,10 @@ class Reader:
         a, b = a.lower(), b.lower()
         if self.sound(a + b) or self.forms(a + b):
             return True
-        return not (len(a) > 2 and len(b) > 2 and self.sound(a) and self.sound(b))
+        two = len(a) > 2 and len(b) > 2 and self.sound(a) and self.sound(b)
+        if two and self.shared is not None:
+            self.cuts.append(a + b)
+        return not two
 
     def read(self, text: str, repair: bool = False):
         """``(hyphen, glyph, page_number, titles, lines)`` of a text.
@@ -164,6 +183,7 @@ class Reader:
         or in it, whether it opens the page. ``lines`` (with ``repair``) has number, text and kind of each line, misread
         words put right; hyphens are left to the reflow.
         """
+        self.open, self.cuts = [], []
         lines = text.split("\n")
         kinds = [BLANK if not x.strip() else MARK if _MARKER.match(x) else TEXT for x in lines]
         page = False
@@ -265,6 +285,7 @@ class Reader:
             if len(words) != len(low):
                 continue
             fixes: list[str | None] | None = None
+            left_open: list[int] = []
             code = None
             for k in open_:
                 w = low[k]
@@ -279,76 +300,193 @@ class Reader:
                     code = bool(_CODE.search(x))
                 if code:
                     break
-                if not (bare(form) == bare(w) or k + 1 == len(low) and _CUT.search(x)):
+                half = k + 1 == len(low) and _CUT.search(x)
+                if not form:
+                    if not half:
+                        left_open.append(k)
+                    continue
+                if not (bare(form) == bare(w) or half):
                     glyph = True
                     if not repair:
+                        self.open = []
                         return True, out
                 if repair:
                     fixes = fixes or [None] * len(words)
-                    fixes[k] = form
+                    fixes[k] = _cased(form, words[k])
+            if left_open:
+                places = _places(x, fixes) if repair else None
+                for k in left_open:
+                    at, size = places[k] if places else (0, 0)
+                    self.open.append((low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "", i, at, size, _case(words[k])))
             if fixes:
                 it = iter(fixes)
-                out[i] = _TOKEN.sub(lambda m: _cased(f, m.group()) if (f := next(it)) else m.group(), x)  # noqa: B023
+                out[i] = _TOKEN.sub(lambda m: f if (f := next(it)) else m.group(), x)  # noqa: B023
         return glyph, out
 
 
-def _cased(form: str, like: str) -> str:
+def _places(line: str, fixes: list[str | None] | None) -> list[tuple[int, int]]:
+    """Offset and length of each word of a line once ``fixes`` are put in."""
+    out, moved = [], 0
+    for k, m in enumerate(_TOKEN.finditer(line)):
+        new = fixes[k] if fixes else None
+        size = len(new or m.group())
+        out.append((m.start() + moved, size))
+        moved += size - (m.end() - m.start())
+    return out
+
+
+def _case(like: str) -> str:
+    """``U`` for a word mostly in capitals, ``T`` for one that starts with one, else empty."""
     letters = [c for c in like if c.isalpha()]
     if len(letters) > 1 and sum(c.isupper() for c in letters) * 2 > len(letters):
-        return form.upper()
-    return form[0].upper() + form[1:] if letters and letters[0].isupper() and like[0].isalpha() else form
+        return "U"
+    return "T" if letters and letters[0].isupper() and like[0].isalpha() else ""
+
+
+def _cased(form: str, like: str) -> str:
+    case = _case(like)
+    return form.upper() if case == "U" else form[0].upper() + form[1:] if case else form
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(skeleton, words)), pa.string()), *batch.columns, pa.array(list(map(bare, words)), pa.string())], names=["skeleton", "word", "n", "bare"])
+
+
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The skeletons that a word may have been read from, best first: its own, and where it has a six those with a round letter."""
+    for batch in batches:
+        rows = []
+        for w in batch.column(0).to_pylist():
+            own = [skeleton(w)] + [skeleton(w.replace("6", c)) for c in _SIX if "6" in w]
+            rows += [(w, k, x, bare(w)) for k, x in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["word", "place", "skeleton", "bare"])
 
 
-def corpus_words(chunks: DataFrame, bound: int = BOUND) -> dict[str, int]:
-    """Counts of the terms that make up 1 / ``bound`` of the corpus or more, at most ``bound`` of them."""
-    return {r.word: r.n for r in frequent(term_counts(chunks, "content"), bound).collect()}
+def established(counts: DataFrame) -> DataFrame:
+    """The forms that misreadings may stand for, by skeleton: ``skeleton``, ``forms`` (``n``, ``word``, ``bare``).
+
+    These are all words of the corpus that stand :data:`RARER` times or more and are not themselves as many times rarer than another of their skeleton.
+    """
+    words = counts.filter((F.col("n") >= RARER) & F.col("word").rlike(r"^[\p{L}&&[^\x{3400}-\x{9fff}]]{2,}$")).select("word", "n")
+    groups = words.mapInArrow(_skeletons, "skeleton string, word string, n long, bare string").groupBy("skeleton").agg(F.max("n").alias("top"), F.collect_list(F.struct("n", "word", "bare")).alias("forms"))
+    return groups.select("skeleton", F.filter("forms", lambda f: f["n"] * RARER > F.col("top")).alias("forms"))
 
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 
 
-def rival_contexts(chunks: DataFrame, rivals: set[str], bound: int = BOUND) -> dict[str, int]:
-    """How often rivals stand beside each neighbour, over all chunks; pairs under 1 / ``bound`` of all such pairs are left out."""
-    if not rivals:
-        return {}
+def rival_contexts(chunks: DataFrame, rivals: DataFrame) -> DataFrame:
+    """How often the words of ``rivals`` (``word``) stand beside each neighbour, over all chunks: ``word`` ("left right"), ``n``.
+
+    The tasks get a table of :data:`BITS` bits in which the rivals' places are set, whatever their number; pairs of words that only share a place are counted in vain.
+    """
+    bits = bytearray(BITS // 8)
+    for r in rivals.select(F.pmod(F.crc32("word"), F.lit(BITS)).alias("b")).distinct().collect():  # at most BITS rows
+        bits[r.b >> 3] |= 1 << (r.b & 7)
+    table = bytes(bits)
+    seen: set[str] = set()
+    marked: set[str] = set()
 
     def pairs(text: str) -> list[str]:
         words = _PLAIN.findall(text.lower())
-        return [f"{a} {b}" for a, b in zip(words, words[1:]) if a in rivals or b in rivals]
+        for w in set(words) - seen:
+            place = zlib.crc32(w.encode()) % BITS
+            if table[place >> 3] >> (place & 7) & 1:
+                marked.add(w)
+        seen.update(words)
+        if len(seen) > 300_000:
+            seen.clear()
+        return [f"{a} {b}" for a, b in zip(words, words[1:]) if a in marked or b in marked]
+
+    return term_counts(chunks, "content", pairs)
+
 
-    return {r.word: r.n for r in frequent(term_counts(chunks, "content", pairs), bound).collect()}
+def resolve(asked: DataFrame, counts: DataFrame, forms: DataFrame, chunks: DataFrame, often: int = RARER) -> DataFrame:
+    """The form meant by each misread word of ``asked`` (``word``, ``left``, ``right``): those columns, ``form``, ``changed`` (accents aside).
+
+    Candidates are the established forms of the word's skeleton (``forms``) that it is :data:`RARER` times rarer than, those of fewer than
+    :data:`RARE_LETTERS` letters only if they stand ``often`` times. Where there are several, the one that
+    stands most often between these neighbours is meant, then the one that differs least, then the most frequent. Words are joined by their
+    skeleton; only if any has rivals the neighbours are counted.
+    """
+    asked = asked.distinct()
+    words = asked.select("word").distinct().mapInArrow(_readings, "word string, place int, skeleton string, bare string")
+    own = counts.select("word", F.col("n").alias("own"))
+    fits = words.join(forms, "skeleton").join(own, "word", "left").withColumn("forms", F.filter("forms", lambda f: (f["word"] != F.col("word")) & (F.coalesce("own", F.lit(0)) * RARER <= f["n"]) & ((f["n"] >= often) | (F.length(f["word"]) >= RARE_LETTERS))))
+    best = cut(fits.filter(F.size("forms") > 0).groupBy("word").agg(F.min_by(F.struct("bare", "forms"), "place").alias("b")).select("word", "b.*"))
+    form = lambda f: [f["word"].alias("form"), (f["bare"] != F.col("bare")).alias("changed")]
+    one = asked.join(best.filter(F.size("forms") == 1), "word").select("word", "left", "right", *form(F.get("forms", F.lit(0))))
+    rival = best.filter(F.size("forms") > 1)
+    if rival.isEmpty():
+        return one
+    each = asked.join(rival, "word").select("word", "left", "right", "bare", F.explode("forms").alias("f"))
+    pairs = rival_contexts(chunks, rival.select(F.explode("forms.word").alias("word")))
+    for side, key in (("_l", F.concat_ws(" ", "left", "f.word")), ("_r", F.concat_ws(" ", "f.word", "right"))):
+        each = each.withColumn("_key", key).join(pairs.select(F.col("word").alias("_key"), F.col("n").alias(side)), "_key", "left").drop("_key")
+    rank = F.struct(F.coalesce("_l", F.lit(0)) + F.coalesce("_r", F.lit(0)), -F.levenshtein("f.word", "word"), F.col("f.n"), F.col("f.word"))
+    chosen = each.groupBy("word", "left", "right").agg(F.max_by(F.struct("f", "bare"), rank).alias("c")).select("word", "left", "right", "c.*")
+    return one.unionByName(chosen.select("word", "left", "right", *form(F.col("f"))))
 
 
 _TITLE = pa.struct([("masked", pa.string()), ("line", pa.int32()), ("sure", pa.bool_()), ("top", pa.bool_())])
 _LINE = pa.struct([("no", pa.int32()), ("text", pa.string()), ("kind", pa.string())])
-_SCHEMA = [("id", pa.int64()), ("document_id", pa.int64()), ("chunk_index", pa.int32()), ("hyphen", pa.bool_()), ("glyph", pa.bool_()), ("page_number", pa.bool_()), ("titles", pa.list_(_TITLE)), ("lines", pa.list_(_LINE))]
+_OPEN = pa.struct([("word", pa.string()), ("left", pa.string()), ("right", pa.string()), ("line", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("case", pa.string())])
+_SCHEMA = [
+    ("id", pa.int64()), ("document_id", pa.int64()), ("chunk_index", pa.int32()), ("hyphen", pa.bool_()), ("glyph", pa.bool_()), ("page_number", pa.bool_()),
+    ("titles", pa.list_(_TITLE)), ("lines", pa.list_(_LINE)), ("open", pa.list_(_OPEN)), ("cuts", pa.list_(pa.string())),
+]
 _DDL = (
     "id long, document_id long, chunk_index int, hyphen boolean, glyph boolean, page_number boolean, "
-    "titles array<struct<masked: string, line: int, sure: boolean, top: boolean>>, lines array<struct<no: int, text: string, kind: string>>"
+    "titles array<struct<masked: string, line: int, sure: boolean, top: boolean>>, lines array<struct<no: int, text: string, kind: string>>, "
+    "open array<struct<word: string, left: string, right: string, line: int, at: int, size: int, case: string>>, cuts array<string>"
 )
 
 
-def _kernel(counts: dict[str, int], contexts: dict[str, int], repair: bool):
+def _records(rows: list[tuple], names: tuple[str, ...]) -> list[dict]:
+    return [dict(zip(names, r)) for r in rows]
+
+
+def _kernel(counts: dict[str, int], shared: frozenset[str], repair: bool):
     schema = pa.schema(_SCHEMA)
+    names = [tuple(f.name for f in kind) for kind in (_TITLE, _LINE, _OPEN)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(counts, contexts)
+        reader = Reader(counts, shared=shared)
         for batch in batches:
             rows = []
             for i, doc, index, text in zip(*(c.to_pylist() for c in batch.columns)):
                 hyphen, glyph, page, titles, lines = reader.read(text, repair)
-                rows.append((i, doc, index, hyphen, glyph, page, [dict(zip(("masked", "line", "sure", "top"), t)) for t in titles], lines and [dict(zip(("no", "text", "kind"), x)) for x in lines]))
+                open_ = reader.open if repair else [(*o, 0, 0, 0, "") for o in {o[:3] for o in reader.open}]
+                rows.append((i, doc, index, hyphen, glyph, page, _records(titles, names[0]), lines and _records(lines, names[1]), _records(open_, names[2]), [] if hyphen else reader.cuts))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-def read_chunks(chunks: DataFrame, repair: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
-    """What :meth:`Reader.read` finds in every chunk, with word and context counts of the whole corpus."""
+def read_chunks(chunks: DataFrame, repair: bool = False, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+    """What :meth:`Reader.read` finds in every chunk, and the form meant by each misread word of ``open`` (:func:`resolve`).
+
+    Words are counted over all chunks. The frequent ones (1 / ``bound`` of all words or more, hence at most ``bound``) are sent to the tasks, which so decide most words on the spot;
+    all others are looked up among all words of the corpus by joins. ``bound`` sets what is decided where, not the result.
+    """
     used = chunks.filter("content IS NOT NULL AND content <> ''").select("id", "document_id", "chunk_index", "content")
-    counts = corpus_words(chunks) if counts is None else counts
-    contexts = rival_contexts(chunks, Reader(counts).rivals())
-    return used.mapInArrow(_kernel(counts, contexts, repair), _DDL)
+    counts = cut(term_counts(chunks, "content"))
+    common = {r.word: r.n for r in frequent(counts, bound).collect()}
+    forms = cut(established(counts))
+    least = min(common.values(), default=0)
+    # skeletons of frequent words, so there are at most as many
+    mixed = forms.filter(F.exists("forms", lambda f: f["n"] >= least) & F.exists("forms", lambda f: f["n"] < least)).select("skeleton").collect()
+    read = cut(used.mapInArrow(_kernel(common, frozenset(r.skeleton for r in mixed), repair), _DDL))
+    asked = read.select(F.explode("open").alias("o")).select("o.word", "o.left", "o.right")
+    meant = cut(resolve(asked, counts, forms, chunks, least))
+    changed = read.select("id", F.explode("open").alias("o")).select("id", "o.word", "o.left", "o.right").join(meant.filter("changed").select("word", "left", "right"), ["word", "left", "right"], "left_semi").select("id", F.lit("g").alias("kind"))
+    whole = forms.select(F.explode("forms.word").alias("word"))
+    joined = read.select("id", F.explode("cuts").alias("word")).join(whole, "word", "left_semi").select("id", F.lit("h").alias("kind"))
+    more = changed.unionByName(joined).groupBy(F.col("id").alias("_id")).agg(F.bool_or(F.col("kind") == "g").alias("_g"), F.bool_or(F.col("kind") == "h").alias("_h"))
+    flagged = read.join(more, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return flagged.withColumns({"glyph": F.col("glyph") | F.coalesce("_g", F.lit(False)), "hyphen": F.col("hyphen") | F.coalesce("_h", F.lit(False))}).drop("_id", "_g", "_h", "cuts"), meant
 
 
 def running_titles(read: DataFrame, least_share: float = 0.3) -> DataFrame:
@@ -369,29 +507,35 @@ def running_titles(read: DataFrame, least_share: float = 0.3) -> DataFrame:
     return joined.filter(running).select("id", "line")
 
 
-def defects(chunks: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
+def defects(chunks: DataFrame, bound: int = BOUND) -> DataFrame:
     """One row for each chunk and each kind of noise it holds: ``id``, ``defect``.
 
     Kinds are ``hyphen``, ``glyph``, ``header`` and ``page_number``. NULL and empty texts have none; a row delivered
     twice counts once, a chunk stored under two ids under each.
     """
     # flags and title candidates only; written once, since titles are grouped, joined and counted from it
-    read = cut(read_chunks(chunks, counts=counts).drop("lines"))
+    read = cut(read_chunks(chunks, bound=bound)[0].drop("lines", "open"))
     titled_ids = running_titles(read).select("id", F.lit("header").alias("defect"))
     kinds = F.array(*[F.when(F.col(k), F.lit(k)) for k in ("hyphen", "glyph", "page_number")])
     other = read.select("id", F.explode(F.array_compact(kinds)).alias("defect"))
     return other.unionByName(titled_ids).distinct()
 
 
-def repaired(chunks: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
+def repaired(chunks: DataFrame, bound: int = BOUND) -> DataFrame:
     """Continuous readable paragraphs of every chunk: ``id``, ``content``.
 
     Running titles and page numbers are taken out, misread words put right, cut words joined, and lines
     reflowed by windows over the lines of a chunk: a line continues the paragraph unless a blank line or marker parts them, it opens a list
     item or row, or the line before ends a sentence clearly short of the chunk's widest line. NULL and empty content comes back empty.
     """
-    read = cut(read_chunks(chunks, repair=True, counts=counts))
-    lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.no").alias("no"), F.rtrim("l.text").alias("text"), F.col("l.kind").alias("kind")).dropDuplicates(["id", "no"])
+    read, meant = read_chunks(chunks, repair=True, bound=bound)
+    read = cut(read)
+    lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.no").alias("no"), F.col("l.text").alias("text"), F.col("l.kind").alias("kind")).dropDuplicates(["id", "no"])
+    written = F.when(F.col("case") == "U", F.upper("form")).when(F.col("case") == "T", F.concat(F.upper(F.substring("form", 1, 1)), F.expr("substring(form, 2)"))).otherwise(F.col("form"))
+    fixes = read.select("id", F.explode("open").alias("o")).select("id", "o.*").join(meant.filter("changed").select("word", "left", "right", "form"), ["word", "left", "right"]).groupBy("id", F.col("line").alias("no")).agg(F.array_sort(F.collect_set(F.struct((-F.col("at")).alias("back"), "size", written.alias("form")))).alias("fixes"))
+    # from the end of the line, so that offsets before it stay right
+    put = F.aggregate("fixes", F.col("text"), lambda t, f: F.overlay(t, f["form"], 1 - f["back"], f["size"]))
+    lines = lines.join(fixes, ["id", "no"], "left").select("id", "no", F.rtrim(F.when(F.col("fixes").isNull(), F.col("text")).otherwise(put)).alias("text"), "kind")
     gone = running_titles(read).select("id", F.col("line").alias("no")).distinct()
     kept = lines.filter("kind NOT IN ('page', 'both')").join(gone, ["id", "no"], "left_anti")
     by = Window.partitionBy("id").orderBy("no")

@@ -160,3 +160,16 @@ def test_block_labels_decide_whether_a_sign_counts(spark):
     blocks = [Block(soup), Block("a \\ b"), Block(code.split("\n")[1], "code"), Block("x = 1"), Block(prose + prose)]
     label_blocks(blocks)
     assert [b.label for b in blocks] == ["junk", "junk", "good", "good", "good"]
+
+
+def test_rare_words_are_meant_too(spark):
+    """A word far below 1 / 60,000 of the corpus is found by the join, with the same result as if it were frequent; of rare rivals the neighbours decide."""
+    filler = [(1000 + i, 50 + i % 7, i, f"alpha{chr(97 + i % 26)} " * 3 + "the service manual explains the annual budget", "x") for i in range(200)]
+    known = [(i, 3, i, "near Velbosk the modem line and the modern folders of Velbosk servicemanual", "x") for i in range(25)]
+    read = [(500, 4, 0, "near Ve1bosk the VELB0SK", "x"), (501, 4, 1, "the m0dern folders", "x"), (502, 4, 2, "the m0dem line", "x"), (503, 4, 3, "the service-\nmanual is new", "x"), (504, 4, 4, "the annual-\nbudget is new", "x"), (None, 4, 4, "near Velb0sk", "x")]
+    df = spark.createDataFrame(filler + known + read, "id long, document_id long, chunk_index int, content string, defect string")
+    frequent_too, rare = ({(r.id, r.defect) for r in defects(df, bound=b).collect()} for b in (60_000, 12))
+    assert frequent_too == rare == {(500, "glyph"), (501, "glyph"), (502, "glyph"), (None, "glyph"), (503, "hyphen")}
+    for b in (60_000, 12):
+        fixed = {r.id: r.content for r in repaired(df, bound=b).collect()}
+        assert [fixed[i] for i in (500, 501, 502)] == ["near Velbosk the VELBOSK", "the modern folders", "the modem line"]
