@@ -12,13 +12,33 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str = VOCABULARY, folder: str = TOKENIZERS):
-    """A byte-level BPE encoder from a file of ranks, with the pre-splitting pattern that comes with it; loaded once a process."""
+def _encoding(pattern: str, ranks: bytes):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_tokenizer_files", Path(folder) / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(Path(folder) / vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+
+
+class Tokenizer:
+    """A byte-level BPE vocabulary with the pattern that splits text before the merges.
+
+    Both are read where the object is made, that is by the driver, and travel with it: executors need not have the files. The
+    encoder is built once a process. A vocabulary has a fixed size of a megabyte or so.
+    """
+
+    def __init__(self, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS):
+        spec = importlib.util.spec_from_file_location("_tokenizer_files", Path(folder) / "__init__.py")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        self.pattern, self.ranks = module.PATTERN, (Path(folder) / vocabulary).read_bytes()
+
+    @property
+    def encoding(self):
+        """The encoder, with ``encode_ordinary`` and ``decode``."""
+        return _encoding(self.pattern, self.ranks)
+
+
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str = VOCABULARY, folder: str = TOKENIZERS):
+    """The encoder of a vocabulary file, for use in this process."""
+    return Tokenizer(vocabulary, folder).encoding

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import megabytes
+from leafmill.operators.search import StoredIndex, search
 from leafmill.operators.versioned import ADDRESS, VersionedTable, addressed
 from leafmill.session import cut
 
@@ -76,15 +77,21 @@ def display(listed: DataFrame) -> DataFrame:
     )
 
 
-def document_text(chunks: DataFrame) -> DataFrame:
-    """Text of each document: its chunks in order, joined by a blank line; ``document_id``, ``text``.
+#: Places of a document whose text is put together in one row.
+TEXT_PLACES = 4096
 
-    A place stored several times counts once, NULL content not at all. Each document's chunks meet in one
-    row; a document is taken to fit there.
+
+def document_text(chunks: DataFrame, places: int = TEXT_PLACES) -> DataFrame:
+    """Text of each document: its chunks in order, joined by a blank line; ``document_id``, ``part``, ``text``.
+
+    A place stored several times counts once, NULL content not at all. A part holds ``places`` places, so a document with a third of all
+    chunks comes out in several rows, put together by several tasks; nearly all others have part 0 alone. The whole text is the parts in order, joined by
+    a blank line. Chunks without ``chunk_index`` come first, in part 0.
     """
+    part = F.coalesce(F.floor(F.col("chunk_index") / places), F.lit(0)).cast("int")
     once = chunks.filter("document_id IS NOT NULL AND content IS NOT NULL").groupBy("document_id", "chunk_index").agg(F.min(F.struct("id", "content")).alias("c"))
-    parts = once.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("c.content").alias("content")))).alias("p"))
-    return parts.select("document_id", F.array_join(F.transform("p", lambda p: p["content"]), "\n\n").alias("text"))
+    parts = once.groupBy("document_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("c.content").alias("content")))).alias("p"))
+    return parts.select("document_id", "part", F.array_join(F.transform("p", lambda p: p["content"]), "\n\n").alias("text"))
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def with_ids(rows: DataFrame, first: int) -> DataFrame:
 
 
 class Catalog:
-    """The four tables, each kept as immutable versions under ``root``.
+    """The four tables, each kept as immutable versions under ``root``, and the inverted index of the chunks.
 
     Every change is one commit of one table; where several tables change, links and chunks go before documents, so that a failure
     in between leaves rows that no document names and :meth:`repair_links` or a second call puts right.
@@ -150,6 +157,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.tables = {name: VersionedTable(spark, f"{root.rstrip('/')}/{name}") for name in SCHEMAS}
+        self.index = StoredIndex(spark, f"{root.rstrip('/')}/postings")
         for name, table in self.tables.items():
             if table.latest() == 0:
                 table.commit(append=spark.createDataFrame([], SCHEMAS[name]))
@@ -204,19 +212,22 @@ class Catalog:
         self._update("documents", F.col("id") == document_id, total_chunks=F.lit(total), updated_at=F.current_timestamp())
 
     def delete_document_chunks(self, document_id: int) -> None:
+        """Remove the chunks of a document, and their part of the index first, so that a search never names a chunk that is gone."""
+        self.index.remove(self.spark.createDataFrame([(document_id,)], "document_id long"))
         self._delete("chunks", F.col("document_id") == document_id)
 
     def delete_document(self, document_id: int) -> None:
         """Remove a document with its links and chunks."""
         self._delete("document_knowledge_bases", F.col("document_id") == document_id)
-        self._delete("chunks", F.col("document_id") == document_id)
+        self.delete_document_chunks(document_id)
         self._delete("documents", F.col("id") == document_id)
 
     def create_chunks(self, chunks: DataFrame) -> DataFrame:
-        """Store chunks (``document_id``, ``chunk_index``, ``content``, ``token_count``); a missing count is 0. Returns them with ids."""
+        """Store chunks (``document_id``, ``chunk_index``, ``content``, ``token_count``) and index them; a missing count is 0. Returns them with ids."""
         rows = with_ids(chunks, self._next("chunks")).withColumns({"token_count": F.coalesce("token_count", F.lit(0)), "created_at": F.current_timestamp()})
         rows = cut(self._shaped("chunks", rows))
         self._append("chunks", rows)
+        self.index.add(rows)
         return rows
 
     def create_knowledge_base(self, name: str, description: str = "") -> int:
@@ -251,6 +262,24 @@ class Catalog:
     def list_documents(self, status: str | None = None) -> DataFrame:
         return list_documents(self.table("documents"), self.table("document_knowledge_bases"), self.table("knowledge_bases"), status)
 
+    def search(self, query: str, kb_id: int | None = None, match_mode: str = "all", limit: int | None = 500) -> DataFrame:
+        """:func:`leafmill.operators.search.search` over the catalogue and its index."""
+        return search(self.table("chunks"), self.table("documents"), self.table("document_knowledge_bases"), query, kb_id, match_mode, limit, self.index)
+
+    def list_documents_by_knowledge_base(self, kb_id: int) -> DataFrame:
+        return list_documents_by_knowledge_base(self.table("documents"), self.table("document_knowledge_bases"), self.table("knowledge_bases"), kb_id)
+
+    def list_knowledge_bases(self) -> DataFrame:
+        """All collections, newest first, with the number of documents linked to each in ``documents``."""
+        linked = self.table("document_knowledge_bases").select("document_id", F.col("kb_id").alias("id")).distinct().join(self.table("documents").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        counts = linked.groupBy("id").agg(F.count("*").alias("documents"))
+        return list_knowledge_bases(self.table("knowledge_bases").join(counts, "id", "left").fillna(0, ["documents"]))
+
+    def compact(self) -> None:
+        """Rewrite the tables whose changes have piled up."""
+        for table in self.tables.values():
+            table.compact()
+
     def get_document(self, document_id: int) -> DataFrame:
         return self.table("documents").filter(F.col("id") == document_id)
 

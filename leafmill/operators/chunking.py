@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.tokens import TOKENIZERS, VOCABULARY, encoder
+from leafmill.functions.tokens import TOKENIZERS, VOCABULARY, Tokenizer
 
 # Names of the strategies, as they are shown.
 STRATEGIES = {"fixed": "固定大小分块", "paragraph": "段落感知分块", "semantic": "语义边界分块", "recursive": "递归分块", "sentence": "句子级分块"}
 # Separators of the recursive strategy, coarsest first.
 SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", "；", ";", " ")
+# What opens a section, and what ends a sentence.
 _SECTION = re.compile(r"\n(?=#{1,6}\s|\[第?\d+页\]|\[表格\]|\[工作表)")
 _SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
 
@@ -136,8 +137,10 @@ class Cutter:
 def _kernel(options: Chunking):
     schema = pa.schema([("document_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("token_count", pa.int32())])
 
+    tokenizer = Tokenizer(options.vocabulary, options.folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(options.vocabulary, options.folder)
+        e = tokenizer.encoding
         cutter = Cutter(options.size, options.overlap, e.encode_ordinary, e.decode)
         for batch in batches:
             rows = [(i, k, *c) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, c in enumerate(cutter.run(options.strategy, text))]
@@ -167,5 +170,7 @@ def token_windows(tokens: Column, size: int, overlap: int) -> Column:
 def word_chunks(documents: DataFrame, size: int, overlap: int, key: str = "id", text: str = "text") -> DataFrame:
     """The fixed strategy with blank-separated words as tokens; all in the JVM."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    cut = documents.select(F.col(key).alias("document_id"), F.posexplode(token_windows(words, size, overlap)).alias("chunk_index", "_w"))
+    # a column of its own: inside the windows' lambda the text would be split anew for each window
+    split = documents.select(F.col(key).alias("document_id"), words.alias("_words"))
+    cut = split.select("document_id", F.posexplode(token_windows(F.col("_words"), size, overlap)).alias("chunk_index", "_w"))
     return cut.select("document_id", "chunk_index", F.array_join("_w", " ").alias("content"), F.size("_w").alias("token_count"))

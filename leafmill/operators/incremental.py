@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.versioned import ADDRESS, Version, VersionedTable, addressed, diff, same_path
+from leafmill.operators.versioned import ADDRESS, Version, VersionedTable, addressed, changes, diff, same_path
 
 
 def pending(spark: SparkSession, catalog_files: list[str], items: DataFrame, finished: str = "completed") -> DataFrame:
@@ -63,14 +63,23 @@ def run_incremental(source: VersionedTable, output: VersionedTable, step: Callab
     """
     seen = output.version()
     start, end = int(seen.meta.get("processed", 0)) if seen else 0, source.latest()
-    if start == end:
+    parts = changes(source, start, end)
+    if not parts:
         return None
-    delta = diff(source.spark, source.version(start), source.version(end))
+    delta = parts[0]
+    for p in parts[1:]:
+        delta = delta.unionByName(p, allowMissingColumns=True)
+    keys = delta.select(key).distinct()
+    added = delta.filter("_change = 'added'")
+    if len(parts) > 1:
+        # addresses do not outlive a compaction, so what became of a record is read from the newest version
+        now = source.read(end)
+        added = delta.limit(0) if now is None else now.join(keys, key, "left_semi").withColumns({"_file": F.lit(""), "_pos": F.lit(0).cast("long"), "_change": F.lit("added")})
     newest = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), F.col("_file").desc(), F.col("_pos").desc())
-    added = delta.filter("_change = 'added'").withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_change", *ADDRESS)
+    added = added.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_change", *ADDRESS)
     gone = None
     if seen and seen.files:
         stored = addressed(source.spark, seen.files)
         stored = stored if seen.deleted is None else stored.join(seen.deleted, list(ADDRESS), "left_anti")
-        gone = stored.join(delta.select(key).distinct(), key, "left_semi").select(*ADDRESS)
+        gone = stored.join(keys, key, "left_semi").select(*ADDRESS)
     return output.commit(append=step(added), delete=gone, meta={"processed": end}, base=seen.number if seen else 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ class Version:
     ``files`` are the paths of its Parquet files. ``deleted`` holds the deletion vector: one
     (``_file``, ``_pos``) row for each record of those files that is not part of the version, or None.
     ``deleted_id`` names the vector; two versions with the same name share it. ``meta`` is what the
-    writer stored with the commit.
+    writer stored with the commit. ``rewrites`` is the version whose records this one holds in new files, if it was made by :meth:`VersionedTable.compact`.
     """
 
     number: int
@@ -28,6 +29,7 @@ class Version:
     deleted: DataFrame | None = None
     deleted_id: str | None = None
     meta: dict = field(default_factory=dict)
+    rewrites: int | None = None
 
 
 def addressed(spark: SparkSession, files: tuple[str, ...] | list[str]) -> DataFrame:
@@ -79,9 +81,9 @@ def diff(spark: SparkSession, old: Version | None, new: Version) -> DataFrame:
 class VersionedTable:
     """A table kept as Parquet files under ``root`` with one JSON manifest a version.
 
-    A version becomes visible when its manifest is created; creation fails if the number is taken, so of
-    two writers one loses and nothing half-written is ever read. Files are never changed in place. Works
-    on any file system that Hadoop can reach.
+    A manifest is written in full under a name that no reader looks at and then given its own, which fails if that is taken: so of
+    two writers one loses, and a writer that dies at any point leaves nothing but files that no manifest names. Files are never changed in place. Works
+    on any file system that Hadoop can reach and that renames atomically.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -115,7 +117,7 @@ class VersionedTable:
             return None
         m = self._stored(number)
         deleted = self.spark.read.parquet(*m["vectors"]) if m["vectors"] else None
-        return Version(number, tuple(m["files"]), deleted, ",".join(m["vectors"]) or None, m["meta"])
+        return Version(number, tuple(m["files"]), deleted, ",".join(m["vectors"]) or None, m["meta"], m.get("rewrites"))
 
     def read(self, number: int | None = None) -> DataFrame | None:
         """The records of a version, or None if there is no version."""
@@ -125,26 +127,76 @@ class VersionedTable:
         rows = addressed(self.spark, v.files)
         return (rows if v.deleted is None else rows.join(v.deleted, list(ADDRESS), "left_anti")).drop(*ADDRESS)
 
-    def _written(self, df: DataFrame, kind: str) -> list[str]:
+    def _written(self, df: DataFrame, kind: str, by: str | None = None) -> list[str]:
         folder = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        (df.write.partitionBy(by) if by else df.write).parquet(folder)
         return sorted(same_path(p) for p in self.spark.read.parquet(folder).inputFiles()) if kind == "data" else [folder]
 
-    def commit(self, append: DataFrame | None = None, delete: DataFrame | None = None, meta: dict | None = None, base: int | None = None) -> int:
+    def _publish(self, number: int, body: dict) -> int:
+        """Make ``body`` the manifest of version ``number``; FileExistsError if there is one."""
+        draft, final = self._path(f"{self.root}/_versions/_draft-{uuid.uuid4().hex}"), self._path(self._manifest(number))
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(json.dumps(body).encode())
+        finally:
+            stream.close()
+        try:
+            self._named(draft, final)
+        except Exception as e:
+            if self._fs.exists(final):
+                raise FileExistsError(f"version {number} of {self.root} exists") from e
+            raise
+        finally:
+            self._fs.delete(draft, False)
+        return number
+
+    def _named(self, draft, final) -> None:
+        """Give a file its final name unless that is taken."""
+        if self._fs.getScheme() == "file":
+            # a rename would replace the other writer's file here, a link does not
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+            return
+        sc = self.spark.sparkContext
+        rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = sc._gateway.new_array(rename, 1)
+        options[0] = rename.valueOf("NONE")
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(draft, final, options)
+
+    def commit(self, append: DataFrame | None = None, delete: DataFrame | None = None, meta: dict | None = None, base: int | None = None, by: str | None = None) -> int:
         """A new version: the newest one plus the rows of ``append``, less the records addressed by ``delete``.
 
         ``meta`` is stored in the same manifest, hence takes effect with the data or not at all. ``base``
-        is the version the caller has seen; FileExistsError is raised if another writer came first.
+        is the version the caller has seen; FileExistsError is raised if another writer came first. With ``by`` the new files are
+        parted by that column, which is then in their paths only.
         """
         base = self.latest() if base is None else base
         old = self._stored(base) if base else {"files": [], "vectors": [], "meta": {}}
-        files = old["files"] + (self._written(append, "data") if append is not None else [])
+        files = old["files"] + (self._written(append, "data", by) if append is not None else [])
         vectors = old["vectors"] + (self._written(delete.select(*ADDRESS), "deleted") if delete is not None else [])
-        body = json.dumps({"files": files, "vectors": vectors, "meta": meta or {}})
-        try:
-            stream = self._fs.create(self._path(self._manifest(base + 1)), False)
-        except Exception as e:
-            raise FileExistsError(f"version {base + 1} of {self.root} exists") from e
-        stream.write(body.encode())
-        stream.close()
-        return base + 1
+        return self._publish(base + 1, {"files": files, "vectors": vectors, "meta": meta or {}})
+
+    def compact(self) -> int | None:
+        """A new version with the records of the newest in new files, without deletion vectors, so that manifests and scans do not grow with every commit.
+
+        :func:`changes` sees no change in it. Returns its number, or None if there is nothing to gain. Tables parted by a column are not for it.
+        """
+        base = self.latest()
+        old = self._stored(base) if base else {"files": [], "vectors": []}
+        if not old["vectors"] and len(old["files"]) < 2:
+            return None
+        rows = self.read(base)
+        files = self._written(rows, "data") if rows is not None else []
+        return self._publish(base + 1, {"files": files, "vectors": [], "meta": old["meta"], "rewrites": base})
+
+
+def changes(table: VersionedTable, start: int, end: int) -> list[DataFrame]:
+    """The deltas that lead from version ``start`` to ``end``, one for each stretch between compactions (:func:`diff`); mostly one."""
+    if start >= end:
+        return []
+    parts, low = [], start
+    for number in range(start + 1, end + 1):
+        if table.version(number).rewrites is not None:
+            if number - 1 > low:
+                parts.append(diff(table.spark, table.version(low), table.version(number - 1)))
+            low = number
+    return parts + ([diff(table.spark, table.version(low), table.version(end))] if end > low else [])

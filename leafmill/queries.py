@@ -164,7 +164,7 @@ def agg_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH once AS (SELECT document_id, chunk_index, arg_min(content, id) AS content FROM chunks WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL)
-    SELECT document_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM once GROUP BY document_id"""
+    SELECT document_id, coalesce(chunk_index // 4096, 0) AS part, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM once GROUP BY ALL"""
 )
 def agg_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of each document, put together from its chunks."""
@@ -196,7 +196,8 @@ def _found(df: DataFrame) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
-    return _found(S.search(load(spark, d, "chunks"), _documents(spark, d), load(spark, d, "document_knowledge_bases"), query, **options))
+    chunks = load(spark, d, "chunks")
+    return _found(S.search(chunks, _documents(spark, d), load(spark, d, "document_knowledge_bases"), query, index=S.stored_index(chunks, d), **options))
 
 
 @_query(_search_sql("list_contains(t, 'warranty') AND list_contains(t, 'sheet')", _TERMS))
@@ -240,8 +241,8 @@ def search_top_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT token, count(*) AS n, count(DISTINCT id) AS chunks FROM w GROUP BY token"""
 )
 def fts_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often, and in how many chunks, each token of the content stands."""
-    return S.postings(load(spark, sf_dir, "chunks")).filter("col = 'content'").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
+    """How often, and in how many chunks, each token of the content stands, out of the stored index."""
+    return S.stored_index(load(spark, sf_dir, "chunks"), sf_dir).rows().filter("col = 'content'").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"))
 
 
 @_query(

@@ -16,16 +16,21 @@ def build(app: str = "leafmill", master: str | None = None, **conf: str) -> Spar
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoints that no plan refers to any more are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app).config(map=settings)
     return (builder.master(master) if master else builder).getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, local mode) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; on a cluster RuntimeError, since executors would write where no other reads."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-"))
     return context.getCheckpointDir()
 
 

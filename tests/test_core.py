@@ -236,3 +236,59 @@ def test_chunk_dataframe(spark):
     native = word_chunks(df, 100, 10).collect()
     assert sorted((r.document_id, r.chunk_index, r.token_count) for r in native) == [(1, 0, 100), (1, 1, 100), (1, 2, 100), (1, 3, 30), (4, 0, 1)]
     assert chunk(df.limit(0)).count() == 0
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from leafmill.session import checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_index_is_kept_with_the_chunks(spark, tmp_path):
+    c = C.Catalog(spark, str(tmp_path / "cat"))
+    files = spark.createDataFrame([("a.txt", "a.txt", "txt", 1, "/a.txt"), ("b.txt", "b.txt", "txt", 1, "/b.txt")], "filename string, original_name string, file_type string, file_size long, file_path string")
+    first, second = (r.id for r in c.create_documents(files).orderBy("filename").collect())
+    hits = lambda q, **k: sorted(r.document_id for r in c.search(q, **k).collect())
+    assert hits("pump") == []
+    c.create_chunks(spark.createDataFrame([(first, 0, "the pump", 2)], "document_id long, chunk_index int, content string, token_count int"))
+    c.create_chunks(spark.createDataFrame([(second, 0, "a Pump and a valve", 5), (second, 1, None, 0)], "document_id long, chunk_index int, content string, token_count int"))
+    assert hits("pump") == [first, second] and hits("pump valve") == [second] and hits("valv") == [second]
+    assert hits("pump", limit=1) == [first]
+    c.delete_document_chunks(second)
+    assert hits("pump") == [first] and c.index.rows(["valve"]).count() == 0
+    c.delete_document(first)
+    assert hits("pump") == [] and c.index.rows().count() == 0
+    assert [(r.name, r.documents) for r in c.list_knowledge_bases().collect()] == [(C.DEFAULT_KB_NAME, 1)]
+    assert [r.id for r in c.list_documents_by_knowledge_base(C.DEFAULT_KB).collect()] == [second]
+
+
+def test_search_reads_one_part_of_the_index_and_no_other_content(spark, corpus, tmp_path):
+    from leafmill.plans.inspect import columns_read, formatted, pushed_filters
+
+    chunks, documents, links = corpus
+    for name, df in (("chunks", chunks), ("documents", documents)):
+        df.write.parquet(str(tmp_path / name))
+    chunks, documents = (spark.read.parquet(str(tmp_path / n)) for n in ("chunks", "documents"))
+    index = S.stored_index(chunks, "test")
+    assert S.stored_index(chunks, "test").table.latest() == 1
+    read = index.rows(["cafe"])
+    assert {f.rsplit("bucket=", 1)[1].split("/")[0] for f in read.inputFiles()} == {str(__import__("zlib").crc32(b"cafe") % 64)}
+    assert any("In(token" in f or "EqualTo(token,cafe)" in f for f in pushed_filters(read))
+    assert found((chunks, documents, links), "foo bar", index=index) == [1, 3] and found((chunks, documents, links), "保险", index=index) == [4]
+    plan = S.search(chunks, documents, links, "cafe", index=index)
+    assert "LIKE" not in formatted(plan) and any("In(id, [1,2])" in f for f in pushed_filters(plan))
+    assert sum("content" in c for c in columns_read(plan)) == 1
+
+
+def test_large_documents_are_spread(spark):
+    rows = [(i, 7, i, f"c{i}", 1, "") for i in range(40)] + [(50, 8, None, "n", 1, "")]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    for places in (4, 1000):
+        got = {r.id: [c.id for c in r.context] for r in S.context_windows(chunks, 2, places).collect()}
+        assert got[50] == [50] and all(got[i] == list(range(max(0, i - 2), min(39, i + 2) + 1)) for i in range(40))
+    parts = sorted((r.part, r.text) for r in C.document_text(chunks, 16).filter("document_id = 7").collect())
+    assert [p for p, _ in parts] == [0, 1, 2] and "\n\n".join(t for _, t in parts) == "\n\n".join(f"c{i}" for i in range(40))

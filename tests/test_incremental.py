@@ -99,3 +99,64 @@ def test_block_prefix_sum(spark):
     got = block_prefix_sum(spark.createDataFrame(rows, "k long, i long, v long"), ["k"], F.floor(F.col("i") / 8), ["i"], F.col("v"), "before")
     assert all(r.before == sum(j % 7 for j in range(r.i)) for r in got.collect())
     assert got.count() == 100
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_written", "_publish", "_named"])
+def test_a_writer_that_dies_leaves_the_table_usable(spark, tmp_path, step):
+    """Ends at every step of a commit; before the manifest has its name nothing is seen of it, and the next commit takes the number."""
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda i: spark.createDataFrame([(i,)], "id long")
+    t.commit(append=rows(1))
+
+    def dies(*a, **k):
+        raise Crash
+
+    real = getattr(t, step)
+    setattr(t, step, dies)
+    with pytest.raises(Crash):
+        t.commit(append=rows(2))
+    setattr(t, step, real)
+    again = VersionedTable(spark, str(tmp_path / "t"))
+    assert again.latest() == 1 and [r.id for r in again.read().collect()] == [1]
+    (tmp_path / "t" / "_versions" / "_draft-left-by-a-crash").write_text("")
+    assert again.commit(append=rows(3)) == 2 and sorted(r.id for r in again.read().collect()) == [1, 3]
+    assert not [f for f in (tmp_path / "t" / "_versions").iterdir() if f.name.startswith("_draft") and "crash" not in f.name]
+
+
+def test_manifests_on_other_file_systems_are_renamed_without_overwriting(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    real = t._fs
+
+    class Other:
+        def __getattr__(self, name):
+            return (lambda: "other") if name == "getScheme" else getattr(real, name)
+
+    t._fs = Other()
+    assert t.commit(append=spark.createDataFrame([(1,)], "id long")) == 1 and t.read().count() == 1
+    with pytest.raises(FileExistsError):
+        t.commit(append=spark.createDataFrame([(2,)], "id long"), base=0)
+    assert t.latest() == 1 and t.read().count() == 1
+
+
+def test_compaction_changes_no_record(spark, tmp_path):
+    from leafmill.operators.versioned import addressed, changes
+
+    source, out = VersionedTable(spark, str(tmp_path / "s")), VersionedTable(spark, str(tmp_path / "o"))
+    rows = lambda *r: spark.createDataFrame([(i, v, day(u)) for i, v, u in r], "id long, v string, updated_at timestamp")
+    source.commit(append=rows((1, "a", 1), (2, "b", 1)))
+    assert source.compact() is None or source.version().rewrites == 1
+    assert run_incremental(source, out, lambda d: d) == 1
+    source.commit(append=rows((3, "c", 2), (4, "d", 2)))
+    source.commit(delete=addressed(spark, source.version().files).filter("id IN (2, 4)"))
+    at = source.latest()
+    assert source.compact() == at + 1 and source.version().deleted is None and source.compact() in (None, at + 2)
+    assert changes(source, at, source.latest()) == []
+    source.commit(append=rows((5, "e", 3)))
+    source.commit(delete=addressed(spark, source.version().files).filter("id = 3"))
+    assert run_incremental(source, out, lambda d: d) == 2
+    assert sorted(r.id for r in out.read().collect()) == [1, 5]
+    assert out.compact() == 3 and run_incremental(source, out, lambda d: d) is None
