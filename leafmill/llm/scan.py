@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.vocabulary import BOUND, frequent, term_counts
+from leafmill.llm.vocabulary import BOUND, frequent, term_counts, words
 from leafmill.session import cut
 
 #: A form this many times rarer than another of its skeleton is a misreading of it; so a word must stand this often to be meant by any.
@@ -281,8 +281,9 @@ class Reader:
             open_ = [k for k, w in enumerate(low) if w not in fine and len(w) > 2 and w[0] < "㐀" and known.get(w, w) is not None]
             if not open_:
                 continue
-            words = _TOKEN.findall(x)
-            if len(words) != len(low):
+            # as they are written, where that is asked for
+            as_is = _TOKEN.findall(x) if repair or any(not low[k].isalpha() for k in open_) else low
+            if len(as_is) != len(low):
                 continue
             fixes: list[str | None] | None = None
             left_open: list[int] = []
@@ -291,7 +292,7 @@ class Reader:
                 w = low[k]
                 if w.isdigit() or _HAN.search(w):
                     continue
-                if words[k].isupper() and sum(c.isdigit() for c in w) * 3 > len(w):
+                if as_is[k].isupper() and sum(c.isdigit() for c in w) * 3 > len(w):
                     continue  # a code such as G11E
                 form = self.correct(w, low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "")
                 if form is None:
@@ -311,13 +312,13 @@ class Reader:
                         self.open = []
                         return True, out
                 if repair:
-                    fixes = fixes or [None] * len(words)
-                    fixes[k] = _cased(form, words[k])
+                    fixes = fixes or [None] * len(low)
+                    fixes[k] = _cased(form, as_is[k])
             if left_open:
                 places = _places(x, fixes) if repair else None
                 for k in left_open:
                     at, size = places[k] if places else (0, 0)
-                    self.open.append((low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "", i, at, size, _case(words[k])))
+                    self.open.append((low[k], low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "", i, at, size, _case(as_is[k]) if repair else ""))
             if fixes:
                 it = iter(fixes)
                 out[i] = _TOKEN.sub(lambda m: f if (f := next(it)) else m.group(), x)  # noqa: B023
@@ -390,15 +391,18 @@ def rival_contexts(chunks: DataFrame, rivals: DataFrame) -> DataFrame:
     marked: set[str] = set()
 
     def pairs(text: str) -> list[str]:
-        words = _PLAIN.findall(text.lower())
-        for w in set(words) - seen:
+        found = _PLAIN.findall(text.lower())
+        distinct = set(found)
+        for w in distinct - seen:
             place = zlib.crc32(w.encode()) % BITS
             if table[place >> 3] >> (place & 7) & 1:
                 marked.add(w)
-        seen.update(words)
+        seen.update(distinct)
         if len(seen) > 300_000:
             seen.clear()
-        return [f"{a} {b}" for a, b in zip(words, words[1:]) if a in marked or b in marked]
+        if marked.isdisjoint(distinct):
+            return []
+        return [f"{a} {b}" for a, b in zip(found, found[1:]) if a in marked or b in marked]
 
     return term_counts(chunks, "content", pairs)
 
@@ -472,7 +476,7 @@ def read_chunks(chunks: DataFrame, repair: bool = False, bound: int = BOUND) ->
     all others are looked up among all words of the corpus by joins. ``bound`` sets what is decided where, not the result.
     """
     used = chunks.filter("content IS NOT NULL AND content <> ''").select("id", "document_id", "chunk_index", "content")
-    counts = cut(term_counts(chunks, "content"))
+    counts = cut(term_counts(chunks, "content", words))
     common = {r.word: r.n for r in frequent(counts, bound).collect()}
     forms = cut(established(counts))
     least = min(common.values(), default=0)

@@ -25,6 +25,11 @@ def kind(c: str) -> str:
     return "L" if c.isalnum() else "S" if not c.strip() else "P"
 
 
+def words(text: str) -> list[str]:
+    """Words of two letters or more in lower case; Chinese and Japanese characters are none."""
+    return _WORD.findall(text.lower())
+
+
 def terms(text: str) -> list[str]:
     """Words in lower case, the overlapping pairs of characters of Chinese runs, and signs with the kinds of their neighbours."""
     low = text.lower()
