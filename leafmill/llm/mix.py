@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +33,45 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     return plan.withColumn("budget", F.when(usable, F.least(want, F.col("available") * F.col("max_repeats"))).otherwise(0).cast("long"))
 
 
+def _fitting(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the rows of one source next after the cut, in order, those that still fit into what is left of its budget."""
+    rows = rows.sort_values(["_key", "doc_id", "tokens"], na_position="first")
+    left, keep = int(rows["_left"].iloc[0]), []
+    for n in rows["tokens"]:
+        keep.append(n <= left)
+        left -= n if n <= left else 0
+    return rows[keep]
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of the mixture: ``source``, ``doc_id``, ``epoch`` (0 for the first use), ``tokens``.
 
     ``sizes`` has ``source``, ``doc_id`` and ``tokens``. Every row draws a random key by hash; a source is ordered by it, and
-    the running sum of its tokens tells where its budget ends: a row is used as often as its middle, shifted by whole
-    passes over the source, lies within the budget, but at most ``max_repeats`` times. So a source misses its budget by half a row at most, unless the repeats run out. Rows without tokens, and of
+    the running sum of its tokens tells where its budget ends: after as many whole passes over the source as go into the budget, rows are
+    used up to the last that ends within it. The row across the cut is passed over, and of the next ones, about ``block_rows``, those are
+    used that still fit. So a source never exceeds its budget and misses it by less than the smallest row passed over. No row is used more than ``max_repeats`` times. Rows without tokens, and of
     sources that have no target, are not used. Ties of the key are broken by ``doc_id`` and size, repeated rows count each.
 
-    Running sums are made per block of keys, so a source that has a third of all rows is spread over many tasks. Texts are not
+    Running sums are made per block of keys, so a source that has a third of all rows is spread over many tasks; only the rows next after the cut meet in one. Texts are not
     moved; only ids and sizes are.
     """
     plan = budgets(sizes, targets, total)
     most = plan.agg(F.max("rows")).first()[0] or 0
     bits = max(0, min(30, (max(1, most) // block_rows).bit_length()))
-    keyed = sizes.filter("tokens > 0").join(plan.filter("budget > 0").select("source", "available", "max_repeats", "budget"), "source")
+    keyed = sizes.filter("tokens > 0").join(plan.filter("budget > 0").select("source", "available", "rows", "budget"), "source")
     # repeated rows are told apart by a number that has no meaning but makes the order total
     keyed = keyed.withColumn("_key", F.xxhash64("doc_id", "tokens", F.lit(seed)))
     summed = block_prefix_sum(keyed, ["source"], F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0), [F.col("_key") < 0, "_key", "doc_id", "tokens"], F.col("tokens"), "_before")
-    times = F.floor((F.col("budget") - F.col("_before") - F.col("tokens") / 2) / F.col("available")) + 1
-    used = summed.withColumn("_times", F.least(F.col("max_repeats").cast("long"), times)).filter("_times > 0")
-    return used.select("source", "doc_id", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))).alias("epoch"), "tokens")
+    # 64-bit keys are ordered as unsigned ones; a number that sorts alike goes to Python
+    summed = summed.withColumns({"_passes": F.floor(F.col("budget") / F.col("available")), "_rest": F.pmod("budget", "available"), "_key": F.col("_key").bitwiseXOR(F.lit(-(1 << 63)))})
+    summed = cut(summed.select("source", "doc_id", "tokens", "_key", "_before", "_passes", "_rest", "available", "rows"))
+    inside = F.col("_before") + F.col("tokens") <= F.col("_rest")
+    left = summed.groupBy("source").agg((F.first("_rest") - F.coalesce(F.sum(F.when(inside, F.col("tokens"))), F.lit(0))).alias("_left"))
+    after = summed.filter(~inside & (F.col("_before") <= F.col("_rest") + block_rows * F.col("available") / F.col("rows"))).join(left.filter("_left > 0"), "source").filter("tokens <= _left")
+    fitting = after.select("source", "doc_id", "tokens", "_key", "_passes", "_left").groupBy("source").applyInPandas(_fitting, "source string, doc_id long, tokens long, _key long, _passes long, _left long")
+    whole = summed.filter("_passes > 0").select("source", "doc_id", F.explode(F.sequence(F.lit(0), (F.col("_passes") - 1).cast("int"))).alias("epoch"), "tokens")
+    last = lambda df: df.select("source", "doc_id", F.col("_passes").cast("int").alias("epoch"), "tokens")
+    return whole.unionByName(last(summed.filter(inside))).unionByName(last(fitting))
 
 
 def reached(mixture: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.functions.tokens import TOKENIZERS, VOCABULARY, encoder
+from leafmill.functions.tokens import TOKENIZERS, VOCABULARY, Tokenizer, encoder  # noqa: F401
 
 
-def _kernel(vocabulary: str, folder: str, extra: int):
+def _kernel(tokenizer: Tokenizer, extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, folder).encode_ordinary
+        encode = tokenizer.encoding.encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(extra).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:extra], pa.array(counts, pa.int64())], names=[*batch.schema.names[:extra], "tokens"])
@@ -27,4 +27,4 @@ def token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str = VO
     """
     used = df.select(*keep, text)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema.fields[: len(keep)])
-    return used.mapInArrow(_kernel(vocabulary, folder, len(keep)), f"{ddl}, tokens long")
+    return used.mapInArrow(_kernel(Tokenizer(vocabulary, folder), len(keep)), f"{ddl}, tokens long")

@@ -100,3 +100,17 @@ def test_mix_empty(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     assert mix(df.limit(0), targets).count() == 0 and mix(df, targets.limit(0)).count() == 0
     assert reached(mix(df.limit(0), targets), targets).count() == 4
+
+
+def test_mix_is_cut_at_the_budget(spark):
+    """A row across the cut is passed over however large it is, and later rows that fit are used."""
+    rng = random.Random(5)
+    rows = [("a", i, rng.choice((1, 2, 3, 40, 500))) for i in range(300)] + [("b", i, 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    for total in (50, 333, 700, 1000):
+        for block in (20_000, 8):
+            got = {r.source: r.t for r in mix(df, targets, total=total, block_rows=block).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+            want = {"a": round(total * 0.6), "b": min(600, round(total * 0.4))}
+            assert all(got.get(s, 0) <= want[s] for s in want), (total, got)
+            assert want["b"] - got["b"] < 5 and (block == 8 or got["a"] == want["a"])
