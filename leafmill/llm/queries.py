@@ -56,7 +56,26 @@ def p2_rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rechunk(load(spark, sf_dir, "chunks"))
 
 
-@_query()
+# What repetition is counted in: words split at blanks without outer punctuation, or characters where Chinese ones outnumber other words.
+_BLANK = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_CHINESE = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{3040}-\\x{30ff}]"
+_PUNCT = "\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e“”„‘’«»‹›¿¡…–—·•、，。！？；：（）《》「」『』【】"
+_REPEATED = f"""
+    WITH once AS (SELECT DISTINCT document_id, chunk_index, content FROM chunks WHERE document_id IS NOT NULL AND content <> ''),
+    t AS (SELECT document_id, lower(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, content)) AS x FROM once GROUP BY document_id),
+    w AS (SELECT document_id, list_filter(regexp_split_to_array(x, '[{_BLANK}]+'), lambda s: s <> '') AS words, length(regexp_replace(x, '[^' || '{_CHINESE[1:-1]}' || ']', '', 'g')) AS han FROM t),
+    u AS (SELECT document_id, han > len(list_filter(words, lambda s: NOT regexp_matches(s, '{_CHINESE}'))) AS by_char, words FROM w),
+    units AS (SELECT document_id, CASE WHEN by_char THEN 20 ELSE 10 END AS k,
+      CASE WHEN by_char THEN regexp_extract_all(array_to_string(words, ''), '(?s).') ELSE list_filter(list_transform(words, lambda s: regexp_replace(s, '^[{_PUNCT}]+|[{_PUNCT}]+$', '', 'g')), lambda s: s <> '') END AS u FROM u),
+    each AS (SELECT document_id, k, len(u) AS n, unnest(u) AS w, generate_subscripts(u, 1) AS i FROM units),
+    runs AS (SELECT document_id, k, i, CASE k WHEN 10 THEN string_agg(w, ' ') OVER ten ELSE string_agg(w, ' ') OVER twenty END AS code, n FROM each
+      WINDOW ten AS (PARTITION BY document_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), twenty AS (PARTITION BY document_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    again AS (SELECT document_id, k, i FROM (SELECT *, min(i) OVER (PARTITION BY document_id, code) AS head FROM runs WHERE i <= n - k + 1) WHERE i > head),
+    covered AS (SELECT document_id, sum(least(k, coalesce(next - i, k))) AS repeated FROM (SELECT *, lead(i) OVER (PARTITION BY document_id ORDER BY i) AS next FROM again) GROUP BY document_id),
+    shares AS (SELECT n.document_id, len(n.u) AS units, CAST(coalesce(c.repeated, 0) AS BIGINT) AS repeated, CASE WHEN len(n.u) > 0 THEN coalesce(c.repeated, 0) / len(n.u) ELSE 0.0 END AS share FROM units n LEFT JOIN covered c ON c.document_id = n.document_id)"""
+
+
+@_query(f"{_REPEATED} SELECT document_id FROM shares WHERE share >= 0.3 AND document_id IN (SELECT doc_id FROM documents)")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which 0.3 or more only repeats earlier text."""
     present = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
@@ -64,6 +83,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(chunks, longest=False).filter("share >= 0.3").select("document_id")
 
 
+@_query(f"{_REPEATED} SELECT document_id, units, repeated, round(share, 9) AS share FROM shares")
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated units of every document with chunks, catalogued or not."""
+    return repetition(load(spark, sf_dir, "chunks"), longest=False).withColumn("share", F.round("share", 9))
+
+
 @_query()
 def p4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated share and longest repeat of every document with chunks, catalogued or not."""

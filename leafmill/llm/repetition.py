@@ -179,15 +179,15 @@ def repetition(chunks: DataFrame, run_words: int = RUN_WORDS, run_chars: int = R
     Callers that do not use ``longest`` can leave that column out.
     """
     used = chunks.filter("document_id IS NOT NULL AND content IS NOT NULL AND content <> ''").select("document_id", "chunk_index", "content")
-    big = used.groupBy("document_id").agg(F.sum(F.length("content")).alias("_size")).filter(F.col("_size") > whole_chars).select("document_id")
-    # an anti-join with a handful of ids; AQE broadcasts it once its size is known
-    normal = used.join(big, "document_id", "left_anti")
+    # written once, a handful of ids at most; where there are none, neither the join nor the other way is planned
+    big = cut(used.groupBy("document_id").agg(F.sum(F.length("content")).alias("_size")).filter(F.col("_size") > whole_chars).select("document_id"))
+    none = big.isEmpty()
+    normal = used if none else used.join(big, "document_id", "left_anti")
     ordered = normal.repartition("document_id").sortWithinPartitions("document_id", "chunk_index", "content")
     out = ordered.mapInArrow(_kernel(run_words, run_chars, pack_chars), "document_id long, units long, repeated long, longest long")
     if not longest:
         out = out.drop("longest")
-    # the longest repeat takes a loop of jobs, which is not begun for nothing
-    if not longest or not big.isEmpty():
+    if not none:
         out = out.unionByName(_distributed(used.join(big, "document_id", "left_semi"), run_words, run_chars, longest))
     return out.withColumn("share", F.when(F.col("units") > 0, F.col("repeated") / F.col("units")).otherwise(F.lit(0.0)))
 
@@ -291,8 +291,7 @@ def _distributed(chunks: DataFrame, run_words: int, run_chars: int, longest: boo
     known = once.join(kind, "document_id").select("document_id", "chunk_index", "_n", "content", "by_char")
     units = known.mapInArrow(_units, "document_id long, chunk_index int, _n int, by_char boolean, units array<long>")
     placed = block_prefix_sum(units, ["document_id"], F.floor(F.col("chunk_index") / 1024), ["chunk_index", "_n"], F.size("units"), "from")
-    if longest:
-        placed = cut(placed)
+    placed = cut(placed)
     total = placed.groupBy("document_id").agg(F.sum(F.size("units")).alias("units"))
     most = max(run_words, run_chars)
     low, high = F.col("from"), F.col("from") + F.size("units")
@@ -306,9 +305,7 @@ def _distributed(chunks: DataFrame, run_words: int, run_chars: int, longest: boo
     # one shuffle serves the counts and the join with them
     runs = runs.repartition("document_id", "code")
     first = runs.groupBy("document_id", "code").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    repeats = runs.join(first, ["document_id", "code"])
-    if longest:
-        repeats = cut(repeats)
+    repeats = cut(runs.join(first, ["document_id", "code"]))
     again = repeats.filter("at > first").select("document_id", "at", "run")
     # within a block, a repeat covers up to the next repeat or its own run, whichever is nearer
     near = Window.partitionBy("document_id", F.floor(F.col("at") / block)).orderBy("at")
