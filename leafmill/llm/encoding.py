@@ -26,7 +26,6 @@ DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr")
 _CYR = ("cp1251", "koi8_r", "cp866")
 #: Stands for a lost byte.
 LOST = "�"
-BEAM = 48
 
 # What text in the seven languages is written with, beyond ASCII.
 _LATIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŒÆ"
@@ -36,6 +35,7 @@ PLAUSIBLE = frozenset(_LATIN + _SIGNS + _CYRILLIC + "　、。〈〉《》「」
 
 _HAN = re.compile(r"[一-鿿]")
 _SPAN = re.compile(r"[^\x00-\x7f]+")
+_LETTERS = re.compile(r"[^\W\d_一-鿿]{2,}")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 
 
@@ -115,6 +115,23 @@ class Frequencies:
         self.char = {c: math.log(n / size) for c, n in chars.items()}
         self.rare_char = math.log(0.01 / size)
         self.filled: dict[tuple[str, str, str], str] = {}
+        self._starts: set[str] | None = None
+
+    @property
+    def starts(self) -> set[str]:
+        """All beginnings of frequent words; a word that has another beginning has no frequency, whatever follows."""
+        if self._starts is None:
+            self._starts = {w[:k] for w in self.term if w.isalpha() and not _HAN.match(w) for k in range(1, len(w) + 1)}
+        return self._starts
+
+    def of_word(self, word: str) -> float:
+        """By how much a finished word in lower case is likelier than an unknown one."""
+        return self.term.get(word, self.floor) - self.floor if len(word) > 1 else 0.0
+
+    def likelihood(self, text: str) -> float:
+        """Log likelihood of the characters beyond ASCII of a text and of its words."""
+        chars = sum(self.of_char(c) for c in text if c > "\x7f" and c != LOST)
+        return chars - 12.0 * text.count(LOST) + sum(self.of_word(w) for w in _LETTERS.findall(text.lower()))
 
     def of_char(self, c: str, before: str = "") -> float:
         """Log frequency of ``c``, of signs that of the sign after the kind of character ``before``."""
@@ -132,89 +149,112 @@ class Frequencies:
         return sum(1 for w in found if w in self.term), len(found)
 
 
+#: What a search keeps of the text read so far: the word it is in (lower case; None if no frequent word begins so), and its last character or that one's kind.
+State = tuple[str | None, str]
+
+
+def _after(state: State, c: str, freq: Frequencies) -> State:
+    """The state once ``c`` has been read. Characters that later weights do not tell apart lead to the same state."""
+    word = state[0]
+    if "一" <= c <= "鿿":
+        return "", c
+    if not c.isalpha():
+        return "", c if c in SIGNS else kind(c)
+    longer = None if word is None else word + c.lower()
+    return longer if longer in freq.starts else None, "l" if c.islower() else "L"
+
+
+def _weight(state: State, c: str, freq: Frequencies) -> float:
+    """What reading ``c`` adds: how usual it is after the last character, and the frequency of the word that it ends."""
+    word, last = state
+    s = 0.0
+    if c in SIGNS and last:
+        s += freq.of_char(c, _like(last)) - freq.of_char(c)
+    if last == "l" and c.isupper():
+        s -= 6.0  # frequencies are counted without case, but words hardly change it inside
+    han = "一" <= c <= "鿿"
+    if han and "一" <= last <= "鿿":
+        s += 0.5 * (freq.term.get(last + c, freq.floor) - freq.floor)
+    if han or not c.isalpha():
+        s += 3.0 * freq.of_word(word or "")
+    return s
+
+
+def _like(last: str) -> str:
+    """A character of the kind that a state keeps."""
+    return {"l": "a", "L": "A", "S": " ", "P": "."}.get(last, last)
+
+
+def _start(left: str, freq: Frequencies) -> State:
+    state: State = ("", "")
+    for c in left:
+        state = _after(state, c, freq)
+    return state
+
+
 def read_lattice(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
     """The likeliest UTF-8 reading of bytes with gaps, or None if there is none.
 
-    Stretches without a gap have one reading. Around each gap the bytes from the start of its character
-    to the end of the next sound one are searched by :func:`viterbi`, with the text read so far on the left.
+    Viterbi search over the whole span: bytes without a gap have one reading, and wherever a word ends all readings
+    come together again, so gaps of one word are decided jointly and others alone, and no state is ever given up. Where no character fits, the
+    likeliest reading so far is kept, a mark put for the byte, and the search goes on behind it. ``left`` and ``right`` are the letters around the span.
     """
-    out, i, n = "", 0, len(units)
-    while i < n:
-        gap = next((k for k in range(i, n) if units[k] is None), n)
-        sound = bytes(units[i:gap])  # type: ignore[arg-type]
-        try:
-            out += sound.decode()
-            i = gap
-        except UnicodeDecodeError as e:
-            out += sound[: e.start].decode()
-            i += e.start
-        if i >= n:
-            break
-        end = max(i + 1, gap + 1) if gap - i < 4 else i + 1
-        while end < n and (units[end] is None or 0x80 <= units[end] <= 0xBF):  # type: ignore[operator]
-            end += 1
-        context = min(n, end + (3 if end < n and (units[end] or 0) >= 0xE0 else 2))
-        while context < n and units[context] is not None and 0x80 <= units[context] <= 0xBF:  # type: ignore[operator]
-            context += 1
-        if None in units[end:context]:
-            context = end
-        before = (left + out)[-12:]
-        best = viterbi(units[i:context], freq, before, right if context == n else "")
-        if best is None and context > end:
-            context = end
-            best = viterbi(units[i:context], freq, before, right if context == n else "")
-        if best is None:
-            best, context = LOST, end
-        out += best
-        i = context
+    out, i = "", 0
+    while i < len(units):
+        read, end = viterbi(units[i:], freq, (left + out)[-40:], right)
+        out += read
+        i += end
+        if i < len(units):
+            out, i = out + LOST, i + 1
     return out
 
 
-def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
-    """The likeliest UTF-8 reading of a few bytes with gaps, or None if there is none.
+def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> tuple[str, int]:
+    """The likeliest UTF-8 reading of bytes with gaps, and how many of them it reads (all, unless nothing fits).
 
-    A state is a byte offset with the text read so far; an edge reads one character whose known bytes
+    A node is a byte offset with what later weights depend on (:data:`State`); an edge reads one character whose known bytes
     agree with the lattice, a gap matching any byte. Edges weigh by the character's frequency and, between Chinese characters, by the frequency of the pair; when a
-    word ends it weighs by its own frequency in the corpus. A lost byte that fits nowhere is passed over at a price. The best
-    :data:`BEAM` states of each offset are kept. ``left`` and ``right`` are the letters around the span.
+    word ends it weighs by its own frequency in the corpus. A lost byte that fits nowhere is passed over at a price.
     """
     n = len(units)
-    states: list[dict[str, float]] = [{} for _ in range(n + 1)]
-    states[0][left] = 0.0
+    nodes: list[dict[State, tuple[float, str]]] = [{} for _ in range(n + 1)]
+    nodes[0][_start(left, freq)] = (0.0, "")
+    far = 0
+    gaps = [k for k, u in enumerate(units) if u is None] + [n]
+    g = 0
     for i in range(n):
-        if not states[i]:
+        if not nodes[i]:
             continue
-        top = sorted(states[i].items(), key=lambda kv: -kv[1])[:BEAM]
+        far = i
+        while gaps[g] < i:
+            g += 1
+        if len(nodes[i]) == 1 and gaps[g] - i > 8:
+            # one reading up to the character before the gap
+            (state, (score, text)), = nodes[i].items()
+            sound = bytes(units[i : gaps[g] - 4]).decode("utf-8", "ignore")  # type: ignore[arg-type]
+            whole = bytes(units[i : gaps[g] - 4])  # type: ignore[arg-type]
+            if whole.startswith(sound.encode()) and all(map(plausible, sound)) and sound:
+                for c in sound:
+                    state = _after(state, c, freq)
+                nodes[i + len(sound.encode())][state] = (score, text + sound)
+                continue
         edges = list(_edges(units, i, freq))
-        for text, score in top:
+        for state, (score, text) in nodes[i].items():
             for width, c, weight in edges:
-                s = score + weight
-                if c in SIGNS and text:
-                    s += freq.of_char(c, text[-1]) - freq.of_char(c)
-                if c.isupper() and text and text[-1].islower():
-                    s -= 6.0  # frequencies are counted without case, but words hardly change it inside
-                if c and text and "一" <= c <= "鿿" and "一" <= text[-1] <= "鿿":
-                    s += 0.5 * (freq.term.get(text[-1] + c, freq.floor) - freq.floor)
-                if c and not c.isalpha():
-                    s += _word(text, freq)
-                to = states[i + width]
-                key = text + c
-                if s > to.get(key, -math.inf):
-                    to[key] = s
-    if not states[n]:
-        return None
-    after = kind(right or " ")
-    ends = lambda t: freq.term.get(t[-1] + after, freq.floor) if t and t[-1] in SIGNS else 0.0
-    best = max(states[n], key=lambda t: states[n][t] + _word(t + right, freq, right) + ends(t))
-    return best[len(left) :]
-
-
-_TAIL = re.compile(r"[^\W\d_一-鿿]{2,}$")
-
-
-def _word(text: str, freq: Frequencies, right: str = "") -> float:
-    m = _TAIL.search(text)
-    return 3.0 * (freq.term.get(m.group().lower(), freq.floor) - freq.floor) if m else 0.0
+                s = score + weight + (_weight(state, c, freq) if c else 0.0)
+                to, at = nodes[i + width], _after(state, c, freq) if c else state
+                if at not in to or s > to[at][0]:
+                    to[at] = (s, text + c)
+    if not nodes[n]:
+        return max(nodes[far].values())[1], far
+
+    def ended(state: State) -> float:
+        tail = re.match(r"[^\W\d_一-鿿]*", right).group().lower()
+        sign = freq.term.get(state[1] + kind(right or " "), freq.floor) if state[1] in SIGNS and state[1] else 0.0
+        return 3.0 * freq.of_word((state[0] or "") + tail if state[0] is not None else "") + sign
+
+    best = max(nodes[n], key=lambda t: nodes[n][t][0] + ended(t))
+    return nodes[n][best][1], n
 
 
 def _edges(units: list[int | None], i: int, freq: Frequencies) -> Iterator[tuple[int, str, float]]:
@@ -505,6 +545,17 @@ _LOWER = tuple(c for c in _LATIN if c.islower())
 _ONE_SIGN = tuple(c for c in SIGNS)
 
 
+def _letter(state: State, c: str, freq: Frequencies) -> float:
+    """What a letter or sign adds after ``state``: the frequency of the word that it ends, and of signs that of their neighbours' kinds."""
+    word, last = state
+    s = 0.0
+    if last in SIGNS and last:
+        s += freq.term.get(last + kind(c), freq.floor) - freq.floor
+    if c in SIGNS:
+        s += freq.term.get(kind(_like(last) if last else " ") + c, freq.floor) - freq.floor
+    return s if c.isalpha() and not "一" <= c <= "鿿" else s + 2.5 * freq.of_word(word or "")
+
+
 def _fill_letters(line: str, freq: Frequencies) -> str:
     """Lost one-byte letters and signs, each filled so that its word is as frequent as can be."""
 
@@ -519,21 +570,20 @@ def _fill_letters(line: str, freq: Frequencies) -> str:
         return freq.filled[key]
 
     def filled(span: str, before: str, after: str) -> str:
-        options = {span: 0.0}
-        for _ in range(min(span.count(LOST), 6)):
-            grown: dict[str, float] = {}
-            for text, _score in options.items():
-                i = text.index(LOST)
-                for c in (*_LOWER, *_ONE_SIGN):
-                    new = text[:i] + c + text[i + 1 :]
-                    signs = 0.0
-                    if c in SIGNS:
-                        left, right = (text[i - 1] if i else before) or " ", (text[i + 1 : i + 2] or after) or " "
-                        signs = freq.term.get(kind(left) + c, freq.floor) + freq.term.get(c + kind(right), freq.floor) - 2 * freq.floor
-                    words = sum(freq.term.get(w, freq.floor) - freq.floor for w in re.findall(r"[^\W\d_]{2,}", new.replace(LOST, "-").lower()))
-                    grown[new] = max(grown.get(new, -math.inf), 2.5 * words + signs + freq.of_char(c) * 0.1)
-            options = dict(sorted(grown.items(), key=lambda kv: -kv[1])[:8])
-        return max(options, key=lambda t: options[t])
+        # Viterbi over the places of the span; a node is what later weights depend on, as in viterbi()
+        nodes: dict[State, tuple[float, str]] = {_start(before, freq): (0.0, "")}
+        for c in span:
+            grown: dict[State, tuple[float, str]] = {}
+            for state, (score, text) in nodes.items():
+                for new in (*_LOWER, *_ONE_SIGN) if c == LOST else (c,):
+                    s = score + _letter(state, new, freq) + (freq.of_char(new) * 0.1 if c == LOST else 0.0)
+                    to = _after(state, new, freq)
+                    if to not in grown or s > grown[to][0]:
+                        grown[to] = (s, text + new)
+            nodes = grown
+        end = after or " "
+        best = max(nodes, key=lambda t: nodes[t][0] + _letter(t, "." if end.isalpha() else end, freq))
+        return nodes[best][1]
 
     return _LETTER_LOSS.sub(again, line)
 
