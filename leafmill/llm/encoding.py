@@ -129,9 +129,13 @@ class Frequencies:
         return self.term.get(word, self.floor) - self.floor if len(word) > 1 else 0.0
 
     def likelihood(self, text: str) -> float:
-        """Log likelihood of the characters beyond ASCII of a text and of its words."""
-        chars = sum(self.of_char(c) for c in text if c > "\x7f" and c != LOST)
-        return chars - 12.0 * text.count(LOST) + sum(self.of_word(w) for w in _LETTERS.findall(text.lower()))
+        """Log likelihood of the words of a text and of its other characters beyond ASCII. An unknown word is as likely as the rarest, spelt out in its characters."""
+        words = _LETTERS.findall(text.lower())
+        spelt = [w for w in words if w not in self.term]
+        rest = [c for c in _LETTERS.sub(" ", text) if c > "\x7f"]
+        lost = rest.count(LOST)
+        chars = sum(self.of_char(c) for w in spelt for c in w if c > "\x7f") + sum(self.of_char(c) for c in rest if c != LOST)
+        return sum(self.term.get(w, self.floor) for w in words) + chars - 12.0 * lost
 
     def of_char(self, c: str, before: str = "") -> float:
         """Log frequency of ``c``, of signs that of the sign after the kind of character ``before``."""
@@ -159,7 +163,9 @@ def _after(state: State, c: str, freq: Frequencies) -> State:
     if "一" <= c <= "鿿":
         return "", c
     if not c.isalpha():
-        return "", c if c in SIGNS else kind(c)
+        # "e" and "E" are a full stop and a blank after one
+        ends = "e" if c in ".!?。" else "E" if state[1] in ("e", "E") and kind(c) == "S" else kind(c)
+        return "", c if c in SIGNS else ends
     longer = None if word is None else word + c.lower()
     return longer if longer in freq.starts else None, "l" if c.islower() else "L"
 
@@ -170,8 +176,12 @@ def _weight(state: State, c: str, freq: Frequencies) -> float:
     s = 0.0
     if c in SIGNS and last:
         s += freq.of_char(c, _like(last)) - freq.of_char(c)
+    if last in SIGNS:
+        s += freq.term.get(last + kind(c), freq.floor)
     if last == "l" and c.isupper():
         s -= 6.0  # frequencies are counted without case, but words hardly change it inside
+    elif last in ("S", "P") and c.isupper():
+        s -= 1.0  # and seldom begin with a capital inside a sentence
     han = "一" <= c <= "鿿"
     if han and "一" <= last <= "鿿":
         s += 0.5 * (freq.term.get(last + c, freq.floor) - freq.floor)
@@ -182,7 +192,7 @@ def _weight(state: State, c: str, freq: Frequencies) -> float:
 
 def _like(last: str) -> str:
     """A character of the kind that a state keeps."""
-    return {"l": "a", "L": "A", "S": " ", "P": "."}.get(last, last)
+    return {"l": "a", "L": "A", "S": " ", "P": ".", "e": ".", "E": " "}.get(last, last)
 
 
 def _start(left: str, freq: Frequencies) -> State:
@@ -523,18 +533,26 @@ def _undo_crossed(line: str, freq: Frequencies | None) -> tuple[str, bool]:
 
 
 def _fill_losses(line: str, freq: Frequencies) -> str:
-    """Misread UTF-8 with lost bytes, in one-byte encodings, restored by :func:`viterbi`."""
+    """Misread UTF-8 with lost bytes, in one-byte encodings, restored by :func:`viterbi`: all losses of a word at once, or each by itself if the word also has sound letters."""
     for e in ("cp1252", "cp437", "mac_roman", "cp1250", "cp1251"):
         pattern = sequence(e)
 
-        def again(found: re.Match) -> str:
+        def span(found: re.Match) -> str:
             if LOST not in found.group():
                 return found.group()
             units = lattice(found.group(), e)  # noqa: B023
-            read = units and read_lattice(units, freq, _tail_letters(line[: found.start()]), _head_letters(line[found.end() :]))  # noqa: B023
-            return read or found.group()
+            before, after = found.string[: found.start()], found.string[found.end() :]
+            return units and read_lattice(units, freq, _tail_letters(before), _head_letters(after)) or found.group()
 
-        new = pattern.sub(again, line)
+        def word(found: re.Match) -> str:
+            whole = found.group()
+            if not any(LOST in m.group() for m in pattern.finditer(whole)):  # noqa: B023
+                return whole
+            units = lattice(whole, e)  # noqa: B023
+            read = units and read_lattice(units, freq, found.string[max(0, found.start() - 3) : found.start()])
+            return read if read and LOST not in read else pattern.sub(span, whole)  # noqa: B023
+
+        new = re.sub(r"\S+", word, line)
         if new != line:
             return new
     return line
@@ -607,41 +625,59 @@ def _undo_stuck(line: str) -> tuple[str, bool]:
     return new, new != line
 
 
+#: What a wrong decoding costs, in nats: how much likelier its undoing must make a line.
+CHANNEL = 3.0
+
+
+def _readings(line: str, freq: Frequencies) -> list[tuple[str, int, bool]]:
+    """What a line may have been before it went through none, one or two wrong decodings: the text, how many were undone, whether bytes were lost.
+
+    UTF-8 read in one-byte encodings, any number of times over, counts as one; then, or by itself, UTF-8 read in a two-byte encoding, a line
+    crossed between two other encodings, or single letters that a two-byte decoder took with their neighbours.
+    """
+    out = [(line, 0, False)]
+    once = _undo_utf8(line) if _NOT_HAN_HINT.search(line) else line
+    if once != line:
+        out.append((_fill_losses(once, freq) if LOST in once else once, 1, LOST in once))
+    elif LOST in line and (filled := _fill_losses(line, freq)) != line:
+        out.append((filled, 1, True))
+    for text, steps, lost in list(out):
+        if steps == 0 and _sound(text, freq):
+            continue
+        double, touched, gaps = _undo_double(text, freq)
+        if touched:
+            out.append((double, steps + 1, lost or gaps))
+        crossed, touched = _undo_crossed(text, freq)
+        if touched:
+            out.append((crossed, steps + 1, lost))
+        stuck, touched = _undo_stuck(text)
+        if touched:
+            out.append((stuck, steps + 1, lost))
+    return out
+
+
 def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
     """The restored text, whether it was garbled, and whether the restoration is certain to be complete.
 
-    Line by line: (1) UTF-8 read in a one-byte encoding, undone up to three times over; (2) UTF-8 read in a
-    two-byte encoding; (3) a line crossed between two other encodings, if that makes its words known. Each is
-    read as a lattice of bytes in which lost bytes are open, and the reading that the corpus word
-    frequencies favour is taken; single letters that were lost are filled in the same way.
+    A noisy channel, line by line: of all readings of a line (:func:`_readings`) that one is taken which is likeliest under the corpus frequencies, each
+    wrong decoding costing :data:`CHANNEL`. Readings come from lattices of bytes in which lost bytes are open, filled by what the frequencies
+    favour; letters that were lost by themselves are filled in the same way. A line with lost bytes or control characters is garbled whatever its best reading.
     """
     if text.isascii() or not _HINT.search(text):
         return text, False, True
     out, garbled, complete = [], False, True
     for line in text.split("\n"):
-        if line.isascii():
-            out.append(line)
-            continue
-        hint = _NOT_HAN_HINT.search(line)
-        if not hint and _sound(line, freq):
+        if line.isascii() or not _NOT_HAN_HINT.search(line) and _sound(line, freq):
             out.append(line)
             continue
-        new = _undo_utf8(line) if hint else line
-        if LOST in new:
-            new = _fill_losses(new, freq)
-            garbled, complete = True, False
-        if not (new == line and _sound(line, freq)):
-            new, touched, lost = _undo_double(new, freq)
-            garbled |= touched
-            complete &= not lost
-            if not touched:
-                new, touched = _undo_crossed(new, freq)
-                garbled |= touched
-            if not touched:
-                new, touched = _undo_stuck(new)
-                garbled |= touched
+        readings = _readings(line, freq)
+        new, _, lost = max(readings, key=lambda r: freq.likelihood(r[0]) - CHANNEL * r[1]) if len(readings) > 1 else readings[0]
+        if LOST in line:
+            garbled = True
+        complete &= not lost
         if LOST in new:
             new = _fill_letters(new, freq)
+            complete = False
         if new != line:
             garbled = True
         elif _C1.search(line):

@@ -79,3 +79,23 @@ def test_frequent_is_bounded(spark):
     counts = term_counts(df, "content")
     assert {r.word: r.n for r in counts.collect()} == {"common": 30, "rare": 10}
     assert [r.word for r in frequent(counts, 2).collect()] == ["common"]
+
+
+def test_any_number_of_lost_letters_and_joint_choice():
+    """No bound on the lost letters of a word, and two losses of one word are decided together."""
+    words = {"präöüßëñçõë": 9, "ängström": 50, "ånde": 500, "und": 900, "der": 900}
+    freq = Frequencies(words)
+    lost = "pr" + "�" * 9
+    assert restore(f"der {lost} und", freq)[0] == "der präöüßëñçõë und"
+    bad = "der ängström und".encode().replace(b"\xa4", b"\xff").replace(b"\xb6", b"\xff").decode("latin-1").replace("\xff", "�")
+    assert restore(bad, freq) == ("der ängström und", True, False)
+
+
+def test_the_likeliest_channel_is_taken():
+    """A line that two undoings could explain is read as the corpus has it; one that no undoing makes likelier stays."""
+    freq = Frequencies(dict(Counter(w for t in SOUND * 50 for w in terms(t))) | {"планировалось": 40, "комиссия": 40, "как": 90})
+    bad = "как планировалось, комиссия".encode("cp1251").decode("latin-1")
+    assert restore(bad, freq)[0] == "как планировалось, комиссия"
+    assert freq.likelihood("la señal está dañada") > freq.likelihood("la seÃ±al estÃ¡ daÃ±ada") and freq.likelihood("� x") < freq.likelihood("é x")
+    for text in ("Ångström & Ørsted", "naïve café", "ÄÖÜ ß"):
+        assert restore(text, freq)[0] == text
