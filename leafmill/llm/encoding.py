@@ -115,6 +115,7 @@ class Frequencies:
         self.char = {c: math.log(n / size) for c, n in chars.items()}
         self.rare_char = math.log(0.01 / size)
         self.filled: dict[tuple[str, str, str], str] = {}
+        self.edges: dict[tuple[int | None, ...], list[tuple[int, str, float]]] = {}
         self._starts: set[str] | None = None
 
     @property
@@ -248,7 +249,12 @@ def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: s
                     state = _after(state, c, freq)
                 nodes[i + len(sound.encode())][state] = (score, text + sound)
                 continue
-        edges = list(_edges(units, i, freq))
+        key = tuple(units[i : i + 4])
+        if key not in freq.edges:
+            if len(freq.edges) > 20_000:
+                freq.edges.clear()
+            freq.edges[key] = list(_edges(units, i, freq))
+        edges = freq.edges[key]
         for state, (score, text) in nodes[i].items():
             for width, c, weight in edges:
                 s = score + weight + (_weight(state, c, freq) if c else 0.0)
@@ -629,14 +635,14 @@ def _undo_stuck(line: str) -> tuple[str, bool]:
 CHANNEL = 3.0
 
 
-def _readings(line: str, freq: Frequencies) -> list[tuple[str, int, bool]]:
+def _readings(line: str, freq: Frequencies, hint: bool) -> list[tuple[str, int, bool]]:
     """What a line may have been before it went through none, one or two wrong decodings: the text, how many were undone, whether bytes were lost.
 
     UTF-8 read in one-byte encodings, any number of times over, counts as one; then, or by itself, UTF-8 read in a two-byte encoding, a line
-    crossed between two other encodings, or single letters that a two-byte decoder took with their neighbours.
+    crossed between two other encodings, or single letters that a two-byte decoder took with their neighbours. Without a ``hint`` the first is not tried.
     """
     out = [(line, 0, False)]
-    once = _undo_utf8(line) if _NOT_HAN_HINT.search(line) else line
+    once = _undo_utf8(line) if hint else line
     if once != line:
         out.append((_fill_losses(once, freq) if LOST in once else once, 1, LOST in once))
     elif LOST in line and (filled := _fill_losses(line, freq)) != line:
@@ -667,10 +673,14 @@ def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
         return text, False, True
     out, garbled, complete = [], False, True
     for line in text.split("\n"):
-        if line.isascii() or not _NOT_HAN_HINT.search(line) and _sound(line, freq):
+        if line.isascii():
             out.append(line)
             continue
-        readings = _readings(line, freq)
+        hint = bool(_NOT_HAN_HINT.search(line))
+        if not hint and _sound(line, freq):
+            out.append(line)
+            continue
+        readings = _readings(line, freq, hint)
         new, _, lost = max(readings, key=lambda r: freq.likelihood(r[0]) - CHANNEL * r[1]) if len(readings) > 1 else readings[0]
         if LOST in line:
             garbled = True
