@@ -20,13 +20,31 @@ SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", "；", ";", " ")
 _SECTION = re.compile(r"\n(?=#{1,6}\s|\[第?\d+页\]|\[表格\]|\[工作表)")
 _SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
 
+#: Stands for a vocabulary whose tokens are the words between blanks.
+BLANK = "blank"
+
+
+class Words:
+    """Words between blanks as tokens, in the place of a :class:`~leafmill.functions.tokens.Tokenizer`; they are put together again with one blank."""
+
+    @property
+    def encoding(self) -> Words:
+        return self
+
+    def encode_ordinary(self, text: str) -> list[str]:
+        return text.split()
+
+    def decode(self, tokens: list[str]) -> str:
+        return " ".join(tokens)
+
+
 #: A chunk: its text and size in tokens.
 Chunk = tuple[str, int]
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """How to cut: greatest ``size`` and ``overlap`` in tokens, the strategy (unknown names mean ``semantic``), the tokenizer's files."""
+    """How to cut: greatest ``size`` and ``overlap`` in tokens, the strategy (unknown names mean ``semantic``), the tokenizer's files (or :data:`BLANK`)."""
 
     size: int = 512
     overlap: int = 64
@@ -137,7 +155,7 @@ class Cutter:
 def _kernel(options: Chunking):
     schema = pa.schema([("document_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("token_count", pa.int32())])
 
-    tokenizer = Tokenizer(options.vocabulary, options.folder)
+    tokenizer = Words() if options.vocabulary == BLANK else Tokenizer(options.vocabulary, options.folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = tokenizer.encoding

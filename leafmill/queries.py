@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import catalog as C
 from leafmill.operators import search as S
-from leafmill.operators.chunking import STRATEGIES, Chunking, chunk, word_chunks
+from leafmill.operators.chunking import BLANK, SEPARATORS, STRATEGIES, Chunking, chunk, word_chunks
 from leafmill.operators.incremental import due
 from leafmill.sources.tables import load
 
@@ -376,6 +376,84 @@ def _chunk_query(strategy: str) -> None:
 for _s in STRATEGIES:
     _chunk_query(_s)
 
+# The strategies with words between blanks as tokens, in chunks of 128 with an overlap of 16, as SQL.
+_SPACE = _WS.replace("\\t-\\r", "\\t-\\r\\x1c-\\x20")
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+
+
+def _parts(split: str, of: str = "(SELECT doc_id AS d, '' AS path, text AS x FROM documents WHERE text <> '')") -> str:
+    """The parts of each text that hold more than blanks: text, words and their number, numbered by ``j``."""
+    each = f"SELECT d, path, unnest(a) AS x, generate_subscripts(a, 1) AS o FROM (SELECT d, path, {split} AS a FROM {of})"
+    return f"(SELECT *, len(w) AS n, row_number() OVER (PARTITION BY d, path ORDER BY o) AS j FROM (SELECT d, path, o, {_stripped('x')} AS x, list_filter(regexp_split_to_array(x, '[{_SPACE}]+'), lambda v: v <> '') AS w FROM ({each})) WHERE x <> '')"
+
+
+def _fixed(words: str) -> str:
+    """Windows over a list of words, as a list of structs."""
+    return f"list_transform(range(0, CAST(1 + greatest(0, ceil((len({words}) - 128) / 112.0)) AS BIGINT)), lambda k: struct_pack(c := array_to_string({words}[k * 112 + 1 : k * 112 + 128], ' '), n := len({words}[k * 112 + 1 : k * 112 + 128])))"
+
+
+_NUMBERED = "CAST(row_number() OVER (PARTITION BY d ORDER BY {order}) - 1 AS INTEGER) AS chunk_index"
+_FULL = "len(held) > 0 AND coalesce(total, 0) + p.n > 128"
+_LAST = "JOIN (SELECT d, max(j) AS m FROM p GROUP BY d) USING (d) WHERE r.j = m AND len(held) > 0"
+
+_PARAGRAPH_SQL = f"""WITH RECURSIVE p AS {_parts("string_split(x, chr(10))")},
+    r AS (SELECT d, CAST(0 AS BIGINT) AS j, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR[]) AS done FROM p WHERE j = 1 UNION ALL
+      SELECT r.d, p.j, CASE WHEN len(held) > 0 AND len(held) + p.n > 128 THEN list_concat(held[greatest(1, len(held) - 15) :], p.w) ELSE list_concat(held, p.w) END, CASE WHEN len(held) > 0 AND len(held) + p.n > 128 THEN held END
+      FROM r JOIN p ON p.d = r.d AND p.j = r.j + 1),
+    e AS (SELECT d, j, done AS c FROM r WHERE done IS NOT NULL UNION ALL SELECT r.d, m + 1, held FROM r {_LAST})
+    SELECT d AS document_id, {_NUMBERED.format(order="j")}, md5(array_to_string(c, ' ')) AS content, len(c) AS token_count FROM e"""
+_SENTENCE_SQL = f"""WITH RECURSIVE p AS {_parts(f"string_split(regexp_replace(x, '([。！？.!?])[{_SPACE}]*', '\\1' || chr(57344), 'g'), chr(57344))")},
+    r AS (SELECT d, CAST(0 AS BIGINT) AS j, CAST([] AS VARCHAR[]) AS held, CAST([] AS BIGINT[]) AS sizes, CAST(0 AS HUGEINT) AS total, CAST(NULL AS VARCHAR) AS done, CAST(0 AS HUGEINT) AS of FROM p WHERE j = 1 UNION ALL
+      SELECT d, j, held, sizes, list_sum(sizes), done, of FROM (
+        SELECT r.d, p.j, CASE WHEN {_FULL} THEN list_append(held[len(held) - greatest(1, len(held) // 4) + 1 :], p.x) ELSE list_append(held, p.x) END AS held,
+          CASE WHEN {_FULL} THEN list_append(sizes[len(held) - greatest(1, len(held) // 4) + 1 :], p.n) ELSE list_append(sizes, p.n) END AS sizes, CASE WHEN {_FULL} THEN array_to_string(held, ' ') END AS done, total AS of
+        FROM r JOIN p ON p.d = r.d AND p.j = r.j + 1)),
+    e AS (SELECT d, j, done AS c, of AS n FROM r WHERE done IS NOT NULL UNION ALL SELECT r.d, m + 1, array_to_string(held, ' '), total FROM r {_LAST})
+    SELECT d AS document_id, {_NUMBERED.format(order="j")}, md5(c) AS content, CAST(n AS INTEGER) AS token_count FROM e"""
+# a heading may begin in the blank that ends the one before, so the mark is set twice
+_MARKED = f"regexp_replace({{}}, '\\n(#{{{{1,6}}}}[{_SPACE}]|\\[第?[0-9]+页\\]|\\[表格\\]|\\[工作表)', chr(57344) || '\\1', 'g')".replace(_SPACE, _SPACE.replace("{", "{{").replace("}", "}}"))
+_SEMANTIC_SQL = f"""WITH RECURSIVE p AS {_parts(f"string_split({_MARKED.format(_MARKED.format('x'))}, chr(57344))")},
+    r AS (SELECT d, CAST(0 AS BIGINT) AS j, CAST([] AS VARCHAR[]) AS held, CAST(0 AS HUGEINT) AS total, CAST([] AS STRUCT(c VARCHAR, n BIGINT)[]) AS done FROM p WHERE j = 1 UNION ALL
+      SELECT r.d, p.j, CASE WHEN p.n > 128 THEN CAST([] AS VARCHAR[]) WHEN total + p.n > 128 THEN [p.x] ELSE list_append(held, p.x) END, CASE WHEN p.n > 128 THEN 0 WHEN total + p.n > 128 THEN p.n ELSE total + p.n END,
+        list_concat(CASE WHEN len(held) > 0 AND total + p.n > 128 THEN [struct_pack(c := array_to_string(held, chr(10) || chr(10)), n := CAST(total AS BIGINT))] ELSE CAST([] AS STRUCT(c VARCHAR, n BIGINT)[]) END,
+          CASE WHEN p.n > 128 THEN {_fixed("p.w")} ELSE CAST([] AS STRUCT(c VARCHAR, n BIGINT)[]) END)
+      FROM r JOIN p ON p.d = r.d AND p.j = r.j + 1),
+    e AS (SELECT d, j, unnest(done) AS v, generate_subscripts(done, 1) AS o FROM r UNION ALL SELECT r.d, m + 1, struct_pack(c := array_to_string(held, chr(10) || chr(10)), n := CAST(total AS BIGINT)), 1 FROM r {_LAST})
+    SELECT d AS document_id, {_NUMBERED.format(order="j, o")}, md5(v.c) AS content, CAST(v.n AS INTEGER) AS token_count FROM e"""
+
+
+def _recursive_sql() -> str:
+    """One level of packing for each separator; groups that are too long go to the next, at last to the windows."""
+    levels, done = [], []
+    for i, sep in enumerate(SEPARATORS):
+        text = "chr(10) || chr(10)" if sep == "\n\n" else "chr(10)" if sep == "\n" else f"'{sep}'"
+        source = "(SELECT doc_id AS d, '' AS path, text AS x FROM documents WHERE text <> '')" if i == 0 else f"(SELECT * FROM g{i - 1} WHERE n > 128)"
+        levels.append(f"""p{i} AS MATERIALIZED {_parts(f"string_split(x, {text})", source)},
+    r{i} AS (SELECT d, path, j, CAST(n AS BIGINT) AS total, CAST(1 AS BIGINT) AS grp FROM p{i} WHERE j = 1 UNION ALL
+      SELECT p.d, p.path, p.j, CASE WHEN r.total + p.n > 128 THEN p.n ELSE r.total + p.n END, CASE WHEN r.total + p.n > 128 THEN r.grp + 1 ELSE r.grp END FROM r{i} r JOIN p{i} p ON p.d = r.d AND p.path = r.path AND p.j = r.j + 1),
+    g{i} AS MATERIALIZED (SELECT p.d, p.path || lpad(CAST(r.grp AS VARCHAR), 6, '0') AS path, string_agg(p.x, {text} ORDER BY p.j) AS x, CAST(sum(p.n) AS BIGINT) AS n FROM p{i} p JOIN r{i} r USING (d, path, j) GROUP BY p.d, p.path, r.grp)""")
+        done.append(f"SELECT d, path, x AS c, n FROM g{i} WHERE n <= 128")
+    last = f"g{len(SEPARATORS) - 1}"
+    words = f"list_filter(regexp_split_to_array(x, '[{_SPACE}]+'), lambda v: v <> '')"
+    done.append(f"SELECT d, path || lpad(CAST(o AS VARCHAR), 6, '0'), v.c, v.n FROM (SELECT d, path, unnest(f) AS v, generate_subscripts(f, 1) AS o FROM (SELECT d, path, {_fixed('w')} AS f FROM (SELECT d, path, {words} AS w FROM {last} WHERE n > 128)))")
+    return f"WITH RECURSIVE {', '.join(levels)} SELECT d AS document_id, {_NUMBERED.format(order='path')}, md5(c) AS content, CAST(n AS INTEGER) AS token_count FROM ({' UNION ALL '.join(done)})"
+
+
+def _word_chunk_query(strategy: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cut = chunk(load(spark, sf_dir, "documents"), Chunking(128, 16, strategy, BLANK), "doc_id")
+        return cut.select("document_id", "chunk_index", F.md5("content").alias("content"), "token_count")
+
+    run.__name__, run.__doc__ = f"ch_{strategy}_blank", f"Chunks of all documents in words between blanks, strategy {strategy}, as digests."
+    _query(sql)(run)
+
+
+for _s, _q in (("paragraph", _PARAGRAPH_SQL), ("sentence", _SENTENCE_SQL), ("semantic", _SEMANTIC_SQL), ("recursive", _recursive_sql())):
+    _word_chunk_query(_s, _q)
+
 
 # ------------------------------------------------------------------ changes, as set operations
 
