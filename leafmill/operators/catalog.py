@@ -64,6 +64,12 @@ def list_knowledge_bases(kbs: DataFrame) -> DataFrame:
     return kbs.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+def with_document_counts(kbs: DataFrame, links: DataFrame, documents: DataFrame) -> DataFrame:
+    """Collections with the number of documents linked to each in ``documents``; doubled links and links of unknown documents do not count."""
+    linked = links.select("document_id", F.col("kb_id").alias("id")).distinct().join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return kbs.join(linked.groupBy("id").agg(F.count("*").alias("documents")), "id", "left").fillna(0, ["documents"])
+
+
 def filter_documents(documents: DataFrame, keyword: str) -> DataFrame:
     """Documents whose name contains ``keyword``, case aside; an empty keyword keeps all."""
     return documents.filter(F.contains(F.lower("original_name"), F.lit(keyword.lower()))) if keyword else documents
@@ -271,9 +277,7 @@ class Catalog:
 
     def list_knowledge_bases(self) -> DataFrame:
         """All collections, newest first, with the number of documents linked to each in ``documents``."""
-        linked = self.table("document_knowledge_bases").select("document_id", F.col("kb_id").alias("id")).distinct().join(self.table("documents").select(F.col("id").alias("document_id")), "document_id", "left_semi")
-        counts = linked.groupBy("id").agg(F.count("*").alias("documents"))
-        return list_knowledge_bases(self.table("knowledge_bases").join(counts, "id", "left").fillna(0, ["documents"]))
+        return list_knowledge_bases(with_document_counts(self.table("knowledge_bases"), self.table("document_knowledge_bases"), self.table("documents")))
 
     def compact(self) -> None:
         """Rewrite the tables whose changes have piled up."""

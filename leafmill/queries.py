@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -55,8 +55,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return C.current_documents(load(spark, d, "catalog_documents"))
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return _plain(df.select("id", "kb_id", "original_name", "file_type", "file_size", "total_chunks", "status", "created_at", "kb_ids", "kb_names"))
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return _plain(df.select("id", "kb_id", "original_name", "file_type", "file_size", "total_chunks", "status", "created_at", "kb_ids", "kb_names", *more))
 
 
 # ------------------------------------------------------------------ incremental processing
@@ -171,6 +171,52 @@ def agg_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.document_text(load(spark, sf_dir, "chunks"))
 
 
+# ------------------------------------------------------------------ lists in order: their first page
+
+
+#: Rows of a page.
+_PAGE_ROWS = 200
+
+
+def _placed(listed: DataFrame, *order) -> DataFrame:
+    """The first page of a sorted list with the place of each row."""
+    return listed.limit(_PAGE_ROWS).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@_query(f"WITH {_CURRENT}, {_LINKS} SELECT {_DOC_COLUMNS}, row_number() OVER (ORDER BY d.created_at DESC NULLS LAST, d.id DESC) AS place FROM current_docs d LEFT JOIN named n ON n.document_id = d.id ORDER BY d.created_at DESC NULLS LAST, d.id DESC LIMIT {_PAGE_ROWS}")
+def srt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest documents, in order."""
+    listed = C.list_documents(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases"))
+    return _shown(_placed(listed, F.col("created_at").desc(), F.col("id").desc()), "place")
+
+
+@_query(f"WITH {_CURRENT}, {_LINKS} SELECT {_DOC_COLUMNS}, row_number() OVER (ORDER BY d.created_at DESC NULLS LAST, d.id DESC) AS place FROM current_docs d LEFT JOIN named n ON n.document_id = d.id WHERE d.id IN (SELECT document_id FROM links WHERE kb_id = 4) ORDER BY d.created_at DESC NULLS LAST, d.id DESC LIMIT {_PAGE_ROWS}")
+def srt_documents_by_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest documents of one collection, in order."""
+    listed = C.list_documents_by_knowledge_base(_documents(spark, sf_dir), load(spark, sf_dir, "document_knowledge_bases"), load(spark, sf_dir, "knowledge_bases"), 4)
+    return _shown(_placed(listed, F.col("created_at").desc(), F.col("id").desc()), "place")
+
+
+@_query("SELECT id, name, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS place FROM knowledge_bases")
+def srt_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All collections in order."""
+    return _placed(C.list_knowledge_bases(load(spark, sf_dir, "knowledge_bases")), F.col("created_at").desc(), F.col("id").desc()).select("id", "name", "place")
+
+
+@_query(f"SELECT id, chunk_index, row_number() OVER (ORDER BY chunk_index, id) AS place FROM (SELECT DISTINCT id, chunk_index FROM chunks WHERE document_id = 7) ORDER BY chunk_index, id LIMIT {_PAGE_ROWS}")
+def srt_chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunks of one document in order, each id once."""
+    chunks = load(spark, sf_dir, "chunks").filter("document_id = 7").select("id", "chunk_index").distinct()
+    return _placed(chunks.orderBy("chunk_index", "id"), "chunk_index", "id").select("id", "chunk_index", "place")
+
+
+@_query(f"""WITH {_CURRENT} SELECT k.id, k.name, CAST(count(DISTINCT l.document_id) AS BIGINT) AS documents FROM knowledge_bases k
+    LEFT JOIN (SELECT kb_id, document_id FROM document_knowledge_bases WHERE document_id IN (SELECT id FROM current_docs)) l ON l.kb_id = k.id GROUP BY k.id, k.name""")
+def agg_documents_of_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of documents linked to each collection."""
+    return C.with_document_counts(load(spark, sf_dir, "knowledge_bases"), load(spark, sf_dir, "document_knowledge_bases"), _documents(spark, sf_dir)).select("id", "name", "documents")
+
+
 # ------------------------------------------------------------------ search
 
 _TERMS = ("warranty", "sheet")
@@ -294,19 +340,23 @@ def fn_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "chunks").select("id", F.md5(T.html_to_text(F.col("content"))).alias("plain"))
 
 
+def _in(types) -> str:
+    return "(" + ", ".join(f"'{t}'" for t in sorted(types)) + ")"
+
+
 @_query(
-    f"""WITH d AS (SELECT id, any_value(lower(trim(file_type))) AS file_type FROM catalog_documents GROUP BY id),
+    f"""WITH d AS (SELECT id, max(lower(trim(file_type))) AS file_type FROM catalog_documents GROUP BY id),
     m AS (SELECT c.id, coalesce(d.file_type, '') AS k, length(regexp_replace(c.content, {_STRIP})) AS n, CASE WHEN length(c.content) > 0 THEN length(regexp_replace(c.content, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) / length(c.content) ELSE 0 END AS r
-      FROM chunks c LEFT JOIN d ON d.id = c.document_id AND d.file_type IN ('py', 'mp3'))
-    SELECT id, round(r, 6) AS ratio, CASE WHEN n = 0 THEN 'very_low' WHEN k = 'mp3' THEN CASE WHEN n > 100 AND r > 0.3 THEN 'high' WHEN n > 20 THEN 'medium' ELSE 'low' END
-      WHEN k = 'py' THEN CASE WHEN n > 100 THEN 'high' ELSE 'medium' END
+      FROM chunks c LEFT JOIN d ON d.id = c.document_id)
+    SELECT id, k AS file_type, round(r, 6) AS ratio, CASE WHEN n = 0 THEN 'very_low' WHEN k IN {_in((*T.AUDIO, *T.VIDEO))} THEN CASE WHEN n > 100 AND r > 0.3 THEN 'high' WHEN n > 20 THEN 'medium' ELSE 'low' END
+      WHEN k IN {_in(T.CODE)} THEN CASE WHEN n > 100 THEN 'high' ELSE 'medium' END
       WHEN n > 1000 AND r > 0.5 THEN 'high' WHEN n > 200 AND r > 0.3 THEN 'medium' WHEN n > 50 THEN 'low' ELSE 'very_low' END AS level FROM m"""
 )
 def fn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of letters and grade of every chunk; code has rules of its own."""
-    kinds = load(spark, sf_dir, "catalog_documents").groupBy(F.col("id").alias("document_id")).agg(F.max(F.lower(F.trim("file_type"))).alias("file_type")).filter("file_type IN ('py', 'mp3')")
+    """Share of letters and grade of every chunk by the type of its document; code, sounds and films have rules of their own."""
+    kinds = load(spark, sf_dir, "catalog_documents").groupBy(F.col("id").alias("document_id")).agg(F.max(F.lower(F.trim("file_type"))).alias("file_type"))
     chunks = load(spark, sf_dir, "chunks").join(kinds, "document_id", "left")
-    return chunks.select("id", F.round(T.meaningful_ratio(F.col("content")), 6).alias("ratio"), T.quality(F.col("content"), F.col("file_type"))["level"].alias("level"))
+    return chunks.select("id", F.coalesce("file_type", F.lit("")).alias("file_type"), F.round(T.meaningful_ratio(F.col("content")), 6).alias("ratio"), T.quality(F.col("content"), F.col("file_type"))["level"].alias("level"))
 
 
 @_query(f"SELECT id, CAST(nullif(regexp_extract(content, '\\[第[{_WS}]*([0-9]+)[{_WS}]*页\\]', 1), '') AS INTEGER) AS page FROM chunks")
@@ -465,6 +515,26 @@ def dml_delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.without(load(spark, sf_dir, "chunks").select("id", "document_id", "chunk_index"), failed, "document_id").select("id", "chunk_index")
 
 
+@_query(f"""WITH {_CURRENT}, gone AS (SELECT id FROM current_docs WHERE status = 'failed')
+    SELECT 'documents' AS "table", count(*) AS n FROM current_docs WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id IS NULL OR document_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'document_knowledge_bases', count(*) FROM document_knowledge_bases WHERE document_id IS NULL OR document_id NOT IN (SELECT id FROM gone)""")
+def dml_delete_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are left in each table when all failed documents are deleted with their links and chunks."""
+    documents = _documents(spark, sf_dir)
+    gone = documents.filter("status = 'failed'").select("id")
+    kept = {"documents": (documents, "id"), "chunks": (load(spark, sf_dir, "chunks"), "document_id"), "document_knowledge_bases": (load(spark, sf_dir, "document_knowledge_bases"), "document_id")}
+    counts = [C.without(rows.select(key), gone, key).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, (rows, key) in kept.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@_query(f"WITH {_CURRENT}, n AS (SELECT document_id, CAST(count(DISTINCT chunk_index) AS INTEGER) AS n FROM chunks GROUP BY document_id) SELECT d.id, coalesce(n.n, 0) AS total_chunks FROM current_docs d LEFT JOIN n ON n.document_id = d.id")
+def dml_update_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of chunks of every document, counted anew."""
+    counts = C.chunk_counts(load(spark, sf_dir, "chunks")).select(F.col("document_id").alias("id"), F.col("total_chunks").cast("int").alias("n"))
+    return _documents(spark, sf_dir).select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("total_chunks"))
+
+
 @_query("SELECT document_id, kb_id FROM document_knowledge_bases WHERE kb_id NOT IN (SELECT id FROM knowledge_bases WHERE id % 7 = 4) OR kb_id IS NULL")
 def dml_delete_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that are left when some collections are deleted."""
