@@ -401,6 +401,63 @@ def fn_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "chunks").select("id", T.truncate_text(F.col("content"), 300).alias("short"), F.md5(T.normalize_whitespace(F.col("content"))).alias("even"))
 
 
+@_query("SELECT id, coalesce(length(trim(content, ' ')) > 0 AND length(regexp_replace(content, '[^\\p{L}\\p{Nd}]', '', 'g')) >= 0.3 * length(content), false) AS meaningful FROM chunks")
+def fn_meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a chunk has a share of letters and digits."""
+    return load(spark, sf_dir, "chunks").select("id", T.is_meaningful(F.col("content")).alias("meaningful"))
+
+
+@_query(f"""SELECT id, md5(regexp_replace(regexp_replace(content, chr(65533) || '{{3,}}', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{24b6}}-\\x{{24e9}}\\x{{200c}}\\x{{200d}}{_WS}\\x1c-\\x1f.,;:!?''"()\\-+=/@#%&*，。；：！？、“”‘’（）【】《》]+', '', 'g')) AS plain FROM chunks""")
+def fn_remove_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content without signs that text is not written with, as a digest."""
+    return load(spark, sf_dir, "chunks").select("id", F.md5(T.remove_garbage(F.col("content"))).alias("plain"))
+
+
+@_query(
+    """WITH g AS (SELECT c_nationkey AS nation, 'k' || c_custkey || ' | ' || c_name AS line, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT nation, 'key | name' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i <= 50) || CASE WHEN max(n) > 50 THEN chr(10) || '... 共 ' || max(n) || ' 行数据（已截取前 50 行）' ELSE '' END AS "table" FROM g GROUP BY nation"""
+)
+def fn_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of each nation as a table in text, shortened to what a table shows."""
+    rows = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("r"))
+    cells = F.transform("r", lambda c: F.array(F.concat(F.lit("k"), c["c_custkey"].cast("string")), c["c_name"]))
+    return rows.select("nation", T.table_text(F.array(F.lit("key"), F.lit("name")), cells, 50).alias("table"))
+
+
+@_query("SELECT o_orderkey, CAST((o_orderkey % 26 + 1) * 26 + o_orderkey // 26 % 26 AS INTEGER) AS col, CAST(o_orderkey % 1000 AS INTEGER) AS row FROM orders")
+def fn_cell_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column and row of cell references made from numbers."""
+    k = F.col("o_orderkey")
+    ref = F.concat(F.char(k % 26 + 65), F.char(F.floor(k / 26) % 26 + 97), (k % 1000 + 1).cast("string"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.cell_address(ref).alias("a")).select("o_orderkey", "a.col", "a.row")
+
+
+@_query(f"""SELECT p_partkey, p_size IN ({", ".join(map(str, T.DATE_FORMATS))}) OR regexp_matches(regexp_replace('"' || p_name || '"0.0[' || p_brand || ']' || CASE WHEN p_partkey % 3 = 0 THEN 'yyyy' ELSE '' END, '"[^"]*"|\\[[^\\]]*\\]|\\\\.|_.', '', 'g'), '[yYmMdDhHsS]') AS dates FROM part""")
+def fn_date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether number formats show dates; quoted and bracketed parts do not count."""
+    code = F.concat(F.lit('"'), "p_name", F.lit('"0.0['), "p_brand", F.lit("]"), F.when(F.col("p_partkey") % 3 == 0, "yyyy").otherwise(""))
+    return load(spark, sf_dir, "part").select("p_partkey", T.is_date_format(F.col("p_size"), code).alias("dates"))
+
+
+@_query("""SELECT id, NOT (length(content) > 10 AND length(regexp_replace(content, '[^0-9a-fA-F]', '', 'g')) > 0.8 * length(content)) AND NOT regexp_matches(content, '^\\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-')
+    AND length(regexp_replace(content, '[^\\\\/]', '', 'g')) <= length(content) / 4 AS fragment FROM chunks""")
+def fn_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a chunk would pass for text among the runs of characters of a binary file."""
+    return load(spark, sf_dir, "chunks").select("id", T.is_fragment(F.col("content")).alias("fragment"))
+
+
+@_query(
+    """WITH c AS (SELECT DISTINCT id, document_id, chunk_index, content FROM chunks),
+    e AS (SELECT id, document_id, chunk_index, replace(replace(replace(replace(replace(replace(coalesce(content, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>') AS body FROM c)
+    SELECT h.id, md5(string_agg('[' || CASE WHEN e.id = h.id THEN '命中片段' ELSE '上下文片段' END || ' ' || (e.chunk_index + 1) || ']<br>' || e.body, '<br><br>' ORDER BY e.chunk_index, e.id)) AS page
+    FROM c h JOIN e ON e.document_id = h.document_id AND e.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY h.id"""
+)
+def fn_context_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its neighbours as one page, as a digest."""
+    once = load(spark, sf_dir, "chunks").dropDuplicates(["id"])
+    return S.context_windows(once, 1).select("id", F.md5(T.context_html(F.col("context"), F.col("id"), [])).alias("page"))
+
+
 # ------------------------------------------------------------------ chunking
 
 
