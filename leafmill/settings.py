@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 from leafmill.operators.chunking import Chunking
+from leafmill.sources.tools import Tools
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,10 @@ class Settings:
     def chunking(self) -> Chunking:
         return Chunking(self.chunk_size, self.chunk_overlap, self.chunk_strategy)
 
+    def tools(self, tools: Tools = Tools()) -> Tools:
+        """``tools`` with the limits that are set."""
+        return replace(tools, max_pdf_pages=self.max_pdf_pages)
+
     @property
     def max_bytes(self) -> int:
         return self.max_file_size_mb * 1024 * 1024

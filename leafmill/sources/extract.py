@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators.versioned import same_path
 from leafmill.sources import formats, legacy, media, office
+from leafmill.sources.tools import Tools
 
 #: A reader: bytes and name of a file to text.
 Reader = Callable[[bytes, str], str]
@@ -117,13 +118,27 @@ def extract_one(raw: bytes, name: str, file_type: str, readers: dict[str, Reader
     return (text, None) if text.strip() else (None, "no text")
 
 
-def extract(files: DataFrame, most_bytes: int = 200 * 1024 * 1024) -> DataFrame:
+def readers_with(tools: Tools) -> dict[str, Reader]:
+    """The readers, those of PDF files, pictures, sounds and films with what ``tools`` offers; readers that :func:`register` has put in their place stay."""
+    readers = dict(READERS)
+    if readers["pdf"] is legacy.pdf:
+        readers["pdf"] = lambda raw, name: legacy.pdf(raw, name, tools)
+    if tools.ocr:
+        readers |= {k: lambda raw, name: tools.ocr(raw) for k in IMAGES if readers[k] is _image}
+    if tools.speech:
+        said = lambda film: lambda raw, name: media.report(raw, name, TYPES[name.rsplit(".", 1)[-1].lower()], film, transcript=tools.speech(raw, name))
+        readers |= {k: said(False) for k in T.AUDIO if readers[k] is _sound} | {k: said(True) for k in T.VIDEO if readers[k] is _film}
+    return readers
+
+
+def extract(files: DataFrame, most_bytes: int = 200 * 1024 * 1024, tools: Tools = Tools()) -> DataFrame:
     """``files`` without their content, with ``text``, ``error``, and the grade of the text in ``quality_level`` and ``quality_reason``.
 
     Files above ``most_bytes``, of unknown type, empty, broken or without text have NULL text and an error. Every file is read where it lies;
-    there is no shuffle. Files go to Python a few at a time, since one may be large.
+    there is no shuffle. Spark ends a batch of files for Python at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set otherwise). ``tools`` has limits and functions
+    for pictures, speech and PDF files.
     """
-    readers = dict(READERS)
+    readers = readers_with(tools)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,13 +164,31 @@ def attach_subtitles(extracted: DataFrame) -> DataFrame:
     most = F.when(F.col("file_type").isin(*T.VIDEO), media.FILM_CHARS).otherwise(media.SOUND_CHARS)
     n = F.length("_spoken")
     note = F.when(n > most, F.concat(F.lit("\n... (共"), n.cast("string"), F.lit("字符，已截断)"))).otherwise("")
-    words = F.concat(F.regexp_replace("text", r"(?s)\n*--- 提示 ---.*", ""), F.lit("\n\n--- 字幕文本 ---\n"), F.substring(F.col("_spoken"), F.lit(1), most), note)
+    words = F.concat(F.regexp_replace("text", r"(?s)\n*--- (?:提示|语音转文字) ---.*", ""), F.lit("\n\n--- 字幕文本 ---\n"), F.substring(F.col("_spoken"), F.lit(1), most), note)
     joined = extracted.join(spoken, "path", "left")
     return joined.withColumn("text", F.when(F.col("_spoken").isNotNull(), words).otherwise(F.col("text"))).select(*extracted.columns)
 
 
-def page_rows(files: DataFrame, most: int = 500) -> DataFrame:
-    """Pages of PDF files: ``path``, ``page``, ``text``; broken files have none."""
+def broken_files(files: DataFrame) -> DataFrame:
+    """PDF files and zip archives that cannot be opened, of which :func:`page_rows` and :func:`member_rows` have no row: ``path``, ``error``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, kind, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    legacy.Pdf(raw) if kind == "pdf" else formats.archive_members(raw, TEXT_TYPES).__next__()
+                except StopIteration:
+                    continue
+                except Exception as e:
+                    rows.append((path, f"{type(e).__name__}: {e}"[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["path", "error"])
+
+    return files.filter("file_type IN ('pdf', 'zip')").select("path", "file_type", "content").mapInArrow(run, "path string, error string")
+
+
+def page_rows(files: DataFrame, most: int = 0) -> DataFrame:
+    """Pages of PDF files, all or the first ``most`` of each: ``path``, ``page``, ``text``; files that cannot be read are in :func:`broken_files`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +204,7 @@ def page_rows(files: DataFrame, most: int = 500) -> DataFrame:
 
 
 def member_rows(files: DataFrame) -> DataFrame:
-    """Text members of zip archives: ``path``, ``member``, ``text``."""
+    """Text members of zip archives: ``path``, ``member``, ``text``; archives that cannot be read are in :func:`broken_files`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

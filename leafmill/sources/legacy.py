@@ -8,6 +8,7 @@ import zlib
 from dataclasses import dataclass, field
 
 from leafmill.sources.formats import clean, decode
+from leafmill.sources.tools import Tools
 
 # Limits of what is kept of a binary file.
 FRAGMENTS, SHARED_STRINGS = 500, 5000
@@ -492,6 +493,28 @@ class Pdf:
                 out[name] = _character_map(self.data(s))
         return out
 
+    def pictures(self, page: dict) -> list[bytes]:
+        """The pictures among the resources of a page: JPEG and JPEG 2000 files as they are, grey and RGB pixels of 8 bits as PNG files; others are left out."""
+        resources = self.get(page.get("Resources"))
+        if resources is None and isinstance(self.get(page.get("Parent")), dict):
+            resources = self.get(self.get(page.get("Parent")).get("Resources"))
+        out = []
+        for ref in (self.get((resources or {}).get("XObject")) or {}).values():
+            s = self.get(ref)
+            if not isinstance(s, Stream) or self.get(s.info.get("Subtype")) != "Image":
+                continue
+            filters = self.get(s.info.get("Filter"))
+            last = self.get(filters[-1]) if isinstance(filters, list) and filters else filters
+            if last in ("DCTDecode", "DCT", "JPXDecode"):
+                out.append(s.raw)
+                continue
+            width, height, space = (self.get(s.info.get(k)) for k in ("Width", "Height", "ColorSpace"))
+            channels = {"DeviceGray": 1, "DeviceRGB": 3}.get(space if isinstance(space, str) else "")
+            pixels = self.data(s)
+            if channels and self.get(s.info.get("BitsPerComponent")) == 8 and isinstance(width, int) and isinstance(height, int) and len(pixels) >= width * height * channels > 0:
+                out.append(_png(width, height, channels, pixels))
+        return out
+
     def text(self, page: dict) -> str:
         """Text that a page shows, a line for each change of the line."""
         contents = self.get(page.get("Contents"))
@@ -520,6 +543,14 @@ class Pdf:
         return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
 
 
+def _png(width: int, height: int, channels: int, pixels: bytes) -> bytes:
+    """Pixels of 8 bits a channel, grey or RGB, as a PNG file."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    row = width * channels
+    lines = b"".join(b"\0" + pixels[i * row : (i + 1) * row] for i in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def _unpredict(raw: bytes, columns: int) -> bytes:
     out, prior = bytearray(), bytearray(columns)
     for i in range(0, len(raw) - columns, columns + 1):
@@ -571,9 +602,48 @@ def pdf_pages(raw: bytes, most: int = 500) -> list[tuple[int, str]]:
     return [(i, p.text(page)) for i, page in enumerate(pages[: most or None], 1)]
 
 
-def pdf(raw: bytes, name: str) -> str:
-    """Pages in order, each under its marker; pages without text are left out."""
-    return clean("\n\n".join(f"[第{n}页]\n{t}" for n, t in pdf_pages(raw) if t))
+def pdf(raw: bytes, name: str, tools: Tools = Tools()) -> str:
+    """Pages in order, each under its marker, then its tables; pages without either are left out.
+
+    If the built-in reader gets no text at all, or cannot read the file, the functions of ``tools.pdf_tiers`` are tried in order until one gives some. Pages that still have
+    none are read by ``tools.ocr`` from the pictures on them.
+    """
+    most = tools.max_pdf_pages
+    pages: dict[int, tuple[str, list[list[list[str]]]]] = {}
+    p, shown, error = None, [], None
+    try:
+        p = Pdf(raw)
+        shown = p.pages()
+        pages = {i: (p.text(page), []) for i, page in enumerate(shown[: most or None], 1)}
+    except Exception as e:
+        error = e
+    for tier in tools.pdf_tiers:
+        if any(t for t, _ in pages.values()):
+            break
+        try:
+            given = tier(raw, most)
+        except Exception as e:
+            error = error or e
+            continue
+        for i, text, tables in given:
+            before = pages.get(i, ("", []))
+            pages[i] = (before[0] or text.strip(), before[1] + [t for t in tables if t not in before[1]])
+    if tools.ocr and p:
+        for i, page in enumerate(shown[: most or None], 1):
+            if not pages.get(i, ("",))[0]:
+                read = [tools.ocr(picture).strip() for picture in p.pictures(page)]
+                pages[i] = ("\n".join(filter(None, read)), pages.get(i, ("", []))[1])
+    if not pages and error:
+        raise error
+    parts = []
+    for i, (text, tables) in sorted(pages.items()):
+        parts += [f"[第{i}页]\n{text}"] if text else []
+        for t in tables:
+            rows = [" | ".join((c or "").strip() for c in r) for r in t if any(r)]
+            parts += [f"[表格 第{i}页]\n" + "\n".join(rows)] if rows else []
+    if parts and most and len(shown) > most:
+        parts.append(f"... 共{len(shown)}页（已截取前{most}页）")
+    return clean("\n\n".join(parts))
 
 
 def pdf_info(raw: bytes) -> dict[str, str]:

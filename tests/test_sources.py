@@ -276,3 +276,48 @@ def test_typed_readers(spark, tmp_path):
     (tmp_path / "t.xml").write_text("<r><i><n>1</n></i><i><n>2</n></i></r>")
     assert [r.n for r in typed.read_xml(spark, str(tmp_path / "t.xml"), row_tag="i", schema="n int").collect()] == [1, 2]
     assert typed.read_lines(spark, str(tmp_path / "t.csv")).count() == 3
+
+
+def many_pages(texts, picture=None):
+    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(texts)))
+    out = [f"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [{kids}] /Resources <</XObject <</I 3 0 R>>>>>> endobj\n".encode()]
+    if picture:
+        out.append(b"3 0 obj " + picture + b" endobj\n")
+    for i, t in enumerate(texts):
+        stream = f"BT ({t}) Tj ET" if t else "/I Do"
+        out.append(f"{10 + 2 * i} 0 obj <</Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R>> endobj\n{11 + 2 * i} 0 obj <</Length {len(stream)}>>\nstream\n{stream}\nendstream endobj\n".encode())
+    return b"".join(out) + b"trailer <</Root 1 0 R>>"
+
+
+def test_pdf_pages_beyond_the_limit():
+    from leafmill.sources.tools import Tools
+
+    raw = many_pages([f"p{i}" for i in range(1, 502)])
+    capped = legacy.pdf(raw, "")
+    assert capped.endswith("[第500页]\np500\n\n... 共501页（已截取前500页）") and "p501" not in capped
+    assert legacy.pdf(raw, "", Tools(max_pdf_pages=0)).endswith("[第501页]\np501")
+
+
+def test_functions_for_pictures_speech_and_difficult_files(spark, tmp_path):
+    from leafmill.settings import Settings
+    from leafmill.sources.tools import Tools
+
+    pixels = bytes(range(12))
+    picture = b"<</Subtype /Image /Width 2 /Height 2 /ColorSpace /DeviceRGB /BitsPerComponent 8 /Length 12>>\nstream\n" + pixels + b"\nendstream"
+    jpeg = b"<</Subtype /Image /Filter /DCTDecode /Length 8>>\nstream\n\xff\xd8JPEG\xff\xd9\nendstream"
+    ocr = lambda raw: f"seen {raw[:4].hex()}"
+    tools = Tools(ocr=ocr, speech=lambda raw, name: f"said in {name}")
+    assert legacy.pdf(many_pages(["", "typed"], picture), "", tools) == "[第1页]\nseen 89504e47\n\n[第2页]\ntyped"
+    assert legacy.pdf(many_pages([""], jpeg), "", tools) == "[第1页]\nseen ffd84a50" and legacy.pdf(many_pages([""], jpeg), "") == ""
+    tier = lambda raw, most: [(1, "by a library", [[["a", None], ["", ""], ["b", "c"]]])]
+    fails = lambda raw, most: 1 / 0
+    assert legacy.pdf(many_pages([""]), "", Tools(pdf_tiers=(fails, tier))) == "[第1页]\nby a library\n\n[表格 第1页]\na | \nb | c".replace("a | \n", "a |\n")
+    assert legacy.pdf(b"broken", "", Tools(pdf_tiers=(tier,))).startswith("[第1页]\nby a library") and legacy.pdf(many_pages(["own"]), "", Tools(pdf_tiers=(tier,))) == "[第1页]\nown"
+    for name, body in {"a.png": b"\x89PNG", "b.wav": b"RIFF", "c.pdf": many_pages(["", "typed"], picture), "d.pdf": b"junk", "e.zip": b"junk", "f.mp4": b"\0" * 16, "f.srt": b"1\n00 --> 01\nHello\n"}.items():
+        (tmp_path / name).write_bytes(body)
+    files = E.read_files(spark, str(tmp_path))
+    got = {r.name: r.text for r in E.attach_subtitles(E.extract(files, tools=Settings(max_pdf_pages=1).tools(tools))).collect()}
+    assert got["a.png"] == "seen 89504e47" and got["b.wav"].endswith("--- 语音转文字 ---\nsaid in b.wav") and got["c.pdf"] == "[第1页]\nseen 89504e47\n\n... 共2页（已截取前1页）"
+    assert got["f.mp4"].endswith("--- 字幕文本 ---\nHello") and "said in" not in got["f.mp4"]
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in E.broken_files(files).collect()) == ["d.pdf", "e.zip"]
+    assert {r.name: r.error for r in E.extract(files).collect()}["a.png"] == "NotImplementedError: no OCR function is registered"
