@@ -71,19 +71,20 @@ def _worth(x: dict[str, np.ndarray], y: np.ndarray, conditions) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 0, longest: int = 5, least: float = 0.6, order: tuple[str, ...] = ()) -> list[Rule]:
+def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 0, longest: int = 5, least: float = 0.6, order: tuple[str, ...] = (), tries: int = 5) -> list[Rule]:
     """A rule list for ``labels`` over the features ``x``, labels in ``order``, others rarest first; ``default`` gets no rules.
 
     For each rule the examples left are parted 2:1. The rule is grown on the first part until pure,
     then final conditions are dropped as long as its worth (p - n) / (p + n) on the second part does not
-    fall. A label is done once a pruned rule is worth less than ``least`` or covers nothing new; the
-    examples a rule covers are removed before the next.
+    fall. A rule that is then worth less than ``least`` or covers nothing new is given up, and a label is done after ``tries`` such, each with
+    other parts; the examples a rule covers are removed before the next.
     """
     rng = np.random.default_rng(seed)
     left = np.ones(len(labels), bool)
     rules: list[Rule] = []
     for label in sorted((v for v in set(labels.tolist()) if v != default), key=lambda v: (order.index(v) if v in order else len(order), int((labels == v).sum()), v)):
-        for _ in range(20):
+        misses = 0
+        while misses < tries:
             at = np.flatnonzero(left)
             if not (labels[at] == label).any():
                 break
@@ -95,13 +96,15 @@ def induce(x: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int
             view = lambda i: ({k: v[i] for k, v in x.items()}, labels[i] == label)
             conditions = _grow(*view(first), longest)
             if not conditions:
-                break
+                misses += 1
+                continue
             held = view(second)
             while len(conditions) > 1 and _worth(*held, conditions[:-1]) >= _worth(*held, conditions):
                 conditions = conditions[:-1]
             covered = left & _holds(x, conditions)
             if _worth(*held, conditions) < least or not (labels[covered] == label).any():
-                break
+                misses += 1
+                continue
             rules.append(Rule(label, tuple(conditions)))
             left &= ~covered
     return rules
