@@ -15,7 +15,7 @@ from leafmill.operators import catalog as C
 from leafmill.operators import search as S
 from leafmill.operators.chunking import BLANK, SEPARATORS, STRATEGIES, Chunking, chunk, word_chunks
 from leafmill.operators.incremental import due
-from leafmill.sources.tables import load
+from leafmill.sources.tables import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -474,7 +474,7 @@ def ch_fixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunk_query(strategy: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return chunk(load(spark, sf_dir, "documents"), Chunking(512, 64, strategy), "doc_id")
+        return chunk(spread(load(spark, sf_dir, "documents")), Chunking(512, 64, strategy), "doc_id")
 
     run.__name__, run.__doc__ = f"ch_{strategy}", f"Chunks of all documents, strategy {strategy}."
     _query()(run)

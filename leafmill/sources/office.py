@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import html
 import io
 import posixpath
 import re
@@ -293,7 +294,7 @@ def _xlsx_rows(sheet: ET.Element, shared: list[str], dates: set[int]) -> list[li
     return [[rows[r].get(c, "") for c in range(max(rows[r], default=-1) + 1)] for r in sorted(rows)]
 
 
-def xlsx(raw: bytes, name: str) -> str:
+def _xlsx_sheets(raw: bytes) -> str:
     """Sheets in the order of the workbook, a line a row, at most :data:`SHEET_ROWS` each; merged cells repeat their value."""
     package = Package(raw, "[Content_Types].xml")
     shared = ["".join(t.text or "" for t in find_all(s, "t")) for s in find_all(package.xml("xl/sharedStrings.xml"), "si")]
@@ -312,6 +313,38 @@ def xlsx(raw: bytes, name: str) -> str:
     return clean("\n\n".join(out))
 
 
+def xlsx(raw: bytes, name: str) -> str:
+    """Sheets as :func:`_xlsx_sheets` gives them; of a workbook whose parts are no sound XML, what :func:`_xlsx_loose` finds."""
+    try:
+        return _xlsx_sheets(raw)
+    except (ET.ParseError, KeyError, ValueError) as e:
+        text = _xlsx_loose(raw)
+        if not text:
+            raise e
+        return text
+
+
+def _xlsx_loose(raw: bytes) -> str:
+    """Rows of the sheets of a damaged workbook, found by their marks alone: no dates, no merged cells."""
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    parts = {n: decode(z.read(n)) for n in z.namelist() if n == "xl/sharedStrings.xml" or re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)}
+    plain = lambda x: html.unescape(re.sub(r"<[^>]*>", "", "".join(re.findall(r"<(?:\w+:)?t(?:\s[^>]*)?>(.*?)</(?:\w+:)?t>", x, re.S))))
+    shared = [plain(x) for x in re.findall(r"<(?:\w+:)?si>(.*?)</(?:\w+:)?si>", parts.pop("xl/sharedStrings.xml", ""), re.S)]
+    out = []
+    for n in sorted(parts, key=lambda n: int(re.search(r"\d+", n).group())):
+        rows = []
+        for row in re.split(r"<(?:\w+:)?row\b", parts[n])[1:]:
+            cells = []
+            for head, body in re.findall(r"<(?:\w+:)?c\b([^>]*)>(.*?)</(?:\w+:)?c>", row, re.S):
+                v = re.search(r"<(?:\w+:)?v>([^<]*)<", body)
+                i = int(v[1]) if v and v[1].isdigit() else -1
+                cells.append(shared[i] if 't="s"' in head and 0 <= i < len(shared) else plain(body) if 't="inlineStr"' in head else html.unescape(v[1]) if v else "")
+            rows += [" | ".join(cells)] if any(cells) else []
+        more = [f"... 共{len(rows)}行数据（已截取前{SHEET_ROWS}行）"] if len(rows) > SHEET_ROWS else []
+        out += ["\n".join([f"[工作表: {posixpath.basename(n)[:-4]}]", *rows[:SHEET_ROWS], *more])] if rows else []
+    return clean("\n\n".join(out))
+
+
 def xlsb(raw: bytes, name: str) -> str:
     """Readable runs of the binary sheets and strings, each once, at most 200."""
     found: dict[str, None] = {}

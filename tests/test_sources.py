@@ -321,3 +321,10 @@ def test_functions_for_pictures_speech_and_difficult_files(spark, tmp_path):
     assert got["f.mp4"].endswith("--- 字幕文本 ---\nHello") and "said in" not in got["f.mp4"]
     assert sorted(r.path.rsplit("/", 1)[-1] for r in E.broken_files(files).collect()) == ["d.pdf", "e.zip"]
     assert {r.name: r.error for r in E.extract(files).collect()}["a.png"] == "NotImplementedError: no OCR function is registered"
+
+
+def test_damaged_workbook():
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="B1"><v>7</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>a &amp; b</t></is></c></row><oops></sheetData>'
+    raw = package({"[Content_Types].xml": "<x/>", "xl/workbook.xml": "<workbook><sheets", "xl/sharedStrings.xml": "<sst><si><t>no</t></si><si><t>yes</t></si>", "xl/worksheets/sheet1.xml": sheet})
+    assert office.xlsx(raw, "") == "[工作表: sheet1]\nyes | 7\na & b"
+    assert E.extract_one(package({"[Content_Types].xml": "<x/>", "xl/workbook.xml": "<broken"}), "a.xlsx", "xlsx")[0] is None
