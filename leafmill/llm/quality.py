@@ -59,7 +59,7 @@ def counts(t: Column, words: Column) -> dict[str, Column]:
         "han": n(_HAN),
         "lines": n(r"(?md)^.*\S"),
         "ended": n(r"(?md)[.!?:。！？：…][\"”’»)）]*\s*$"),
-        "stops": n(r"(?md)(?<!^[ (]{0,4}\d{1,3})[.!?][\"”’»)]*(?=\s|$)|[。！？]"),
+        "stops": n(r"(?md)[.!?](?<!^[ (]{0,4}\d{1,3}[.!?])[\"”’»)]*(?=\s|$)|[。！？]"),
         "commas": n(r",(?= )|，"),
         "mark_chars": chars_in(_MARK),
         "row_chars": chars_in(_ROW),

@@ -16,7 +16,7 @@ from leafmill.llm.quality import classify, statistics
 from leafmill.llm.repetition import repetition
 from leafmill.llm.scan import defects, repaired
 from leafmill.llm.split import rechunk, split_oversized
-from leafmill.sources.tables import load
+from leafmill.sources.tables import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,13 +35,13 @@ def _query(sql: str | None = None):
 @_query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with noise of scanned pages, by kind."""
-    return defects(load(spark, sf_dir, "chunks"))
+    return defects(spread(load(spark, sf_dir, "chunks")))
 
 
 @_query()
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks as continuous paragraphs."""
-    return repaired(load(spark, sf_dir, "chunks"))
+    return repaired(spread(load(spark, sf_dir, "chunks")))
 
 
 @_query("SELECT DISTINCT id FROM chunks WHERE length(content) > 1500")
@@ -98,74 +98,74 @@ def p4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold markup, by kind."""
-    return cleaned(load(spark, sf_dir, "chunks")).select("id", F.explode("markup").alias("markup"))
+    return cleaned(spread(load(spark, sf_dir, "chunks"))).select("id", F.explode("markup").alias("markup"))
 
 
 @_query()
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that hold markup as clean text."""
-    return cleaned(load(spark, sf_dir, "chunks"))
+    return cleaned(spread(load(spark, sf_dir, "chunks")))
 
 
 @_query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with garbled characters, restorable or not."""
-    return restore_chunks(load(spark, sf_dir, "chunks")).select("id")
+    return restore_chunks(spread(load(spark, sf_dir, "chunks"))).select("id")
 
 
 @_query()
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled chunks with their text restored as far as possible."""
-    return restore_chunks(load(spark, sf_dir, "chunks"))
+    return restore_chunks(spread(load(spark, sf_dir, "chunks")))
 
 
 @_query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly lists, tables or junk, by the learned rules."""
     present = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
-    kinds = classify(statistics(load(spark, sf_dir, "chunks"))).filter("text_kind IN ('list', 'table', 'junk')")
+    kinds = classify(statistics(spread(load(spark, sf_dir, "chunks")))).filter("text_kind IN ('list', 'table', 'junk')")
     return kinds.join(present, "document_id", "left_semi").select("document_id", "text_kind")
 
 
 @_query()
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and kind of every document with chunks."""
-    return classify(statistics(load(spark, sf_dir, "chunks")))
+    return classify(statistics(spread(load(spark, sf_dir, "chunks"))))
 
 
 @_query()
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of 2,048 tokens filled with the texts of all documents."""
-    return pack_documents(load(spark, sf_dir, "documents"))
+    return pack_documents(spread(load(spark, sf_dir, "documents")))
 
 
 @_query()
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
-    return fill_report(pack_documents(load(spark, sf_dir, "documents")))
+    return fill_report(pack_documents(spread(load(spark, sf_dir, "documents"))))
 
 
 @_query()
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest mixture of the sources at their target shares."""
-    return mix(source_sizes(load(spark, sf_dir, "documents")), load(spark, sf_dir, "mix_targets"))
+    return mix(source_sizes(spread(load(spark, sf_dir, "documents"))), load(spark, sf_dir, "mix_targets"))
 
 
 @_query()
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the mixture reaches."""
     targets = load(spark, sf_dir, "mix_targets")
-    return reached(mix(source_sizes(load(spark, sf_dir, "documents")), targets), targets)
+    return reached(mix(source_sizes(spread(load(spark, sf_dir, "documents"))), targets), targets)
 
 
 @_query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the documents whose label is missing, wrong or too narrow."""
-    return mislabelled(load(spark, sf_dir, "documents")).select("doc_id", "lang_code")
+    return mislabelled(spread(load(spark, sf_dir, "documents"))).select("doc_id", "lang_code")
 
 
 @_query()
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of one language in every document, with confidence."""
-    documents = load(spark, sf_dir, "documents")
+    documents = spread(load(spark, sf_dir, "documents"))
     return label_segments(documents, fit(documents)).drop("claimed")

@@ -133,3 +133,16 @@ def test_rules_on_documents_made_anew_and_on_documents_read(spark):
         truth = {int(k): v for k, v in json.loads(train_quality.TRUTH.read_text()).items()}
         rows = classify(statistics(spark.read.parquet(str(tables)).filter(F.col("document_id").isin(list(truth))))).collect()
         assert len(rows) == len(truth) and sum(truth[r.document_id] == r.text_kind for r in rows) >= 0.98 * len(rows)
+
+
+def test_a_filter_on_the_kind_does_not_repeat_the_counts(spark, tmp_path):
+    """Each pattern is evaluated once a row, though the filter on the kind uses most of the counts several times."""
+    from leafmill.llm.quality import _CODE
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    spark.createDataFrame([(1, "The text."), (2, None)], "id long, text string").write.parquet(str(tmp_path / "t"))
+    for asked in (None, ("code", "junk")):
+        df = with_kind(spark.read.parquet(str(tmp_path / "t")), "text", asked).filter("text_kind NOT IN ('code', 'junk')").select("id")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(_CODE[:60]) == 1
+        assert sorted(r.id for r in with_kind(spark.read.parquet(str(tmp_path / "t")), "text", asked).filter("text_kind = 'prose'").collect()) in ([1], [1, 2])
