@@ -101,11 +101,18 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     return once.mapInArrow(_cut(limit, overlap), "id long, piece int, start int, content string")
 
 
-def _pieces(limit: int, overlap: int):
+_KEYS = ("_k1", "_k2")
+
+
+def _pieces(limit: int, overlap: int, counted: bool):
+    """Kernel over (key, key, content): the pieces of each text, or only their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = [[text[a:b] for a, b in pieces(text, limit, overlap)] for text in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pa.list_(pa.string()))], names=["document_id", "chunk_index", "id", "pieces"])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            cuts = [pieces(t, limit, overlap) for t in texts]
+            out = pa.array(list(map(len, cuts)), pa.int32()) if counted else pa.array([[t[a:b] for a, b in c] for t, c in zip(texts, cuts)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "n" if counted else "pieces"])
 
     return run
 
@@ -118,16 +125,23 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block
     before it, from block totals of ``block`` old indexes, so that a document with a third of all rows is
     spread over tasks. Rows without ``document_id`` or ``chunk_index`` have no place that they could share, so each that differs
     in anything is kept: those without ``chunk_index`` come first in their document, those without ``document_id`` are numbered among
-    themselves. The pieces of a row stay beside it until they are numbered, so that ``id`` may be NULL or stand at several places.
+    themselves. ``id`` may be NULL or stand at several places.
+
+    Only ids and numbers of pieces are grouped and summed up. Each row has a key of 128 bits made of all its values, by which the texts, cut where they are read, are
+    joined at the end; so they are shuffled once.
     """
-    used = chunks.select("document_id", "chunk_index", "id", "content")
-    lost = F.col("document_id").isNull() | F.col("chunk_index").isNull()
-    placed = used.filter(~lost).groupBy("document_id", "chunk_index").agg(F.min(F.struct("id", "content")).alias("c")).select("document_id", "chunk_index", "c.id", "c.content")
-    kept = placed.unionByName(used.filter(lost).distinct()).withColumn("content", F.coalesce("content", F.lit("")))
+    values = ("document_id", "chunk_index", "id", "content")
+    keyed = chunks.select(F.xxhash64(*values).alias("_k1"), F.xxhash64(F.lit(1), *reversed(values)).alias("_k2"), *values[:3], F.coalesce("content", F.lit("")).alias("content"))
     size = F.length("content")
-    small = kept.filter(size <= limit).select("document_id", "chunk_index", "id", F.array("content").alias("pieces"))
-    large = kept.filter(size > limit).mapInArrow(_pieces(limit, overlap), "document_id long, chunk_index int, id long, pieces array<string>")
-    rows = small.unionByName(large)
-    numbered = block_prefix_sum(rows, ["document_id"], F.floor(F.col("chunk_index") / block), ["chunk_index", "id", "pieces"], F.size("pieces"), "base", "total_chunks")
-    each = numbered.select("document_id", "base", "total_chunks", "id", F.posexplode("pieces").alias("piece", "content"))
+    few = keyed.filter(size <= limit)
+    over = keyed.filter(size > limit).select(*_KEYS, *values)
+    ddl = "_k1 long, _k2 long, document_id long, chunk_index int, id long"
+    narrow = few.select(*_KEYS, *values[:3], F.lit(1).alias("n")).unionByName(over.mapInArrow(_pieces(limit, overlap, True), f"{ddl}, n int"))
+    lost = F.col("document_id").isNull() | F.col("chunk_index").isNull()
+    placed = narrow.filter(~lost).groupBy("document_id", "chunk_index").agg(F.min(F.struct("id", *_KEYS, "n")).alias("c")).select(*[f"c.{k}" for k in _KEYS], "document_id", "chunk_index", "c.id", "c.n")
+    kept = placed.unionByName(narrow.filter(lost).distinct())
+    numbered = block_prefix_sum(kept, ["document_id"], F.floor(F.col("chunk_index") / block), ["chunk_index", "id", *_KEYS], F.col("n"), "base", "total_chunks")
+    texts = few.select(*_KEYS, F.array("content").alias("pieces")).unionByName(over.select(*_KEYS, "content").mapInArrow(_pieces(limit, overlap, False), "_k1 long, _k2 long, pieces array<string>"))
+    once = texts.groupBy(*_KEYS).agg(F.first("pieces").alias("pieces"))
+    each = once.join(numbered, list(_KEYS)).select("document_id", "base", "total_chunks", "id", F.posexplode("pieces").alias("piece", "content"))
     return each.select("document_id", (F.col("base") + F.col("piece")).cast("int").alias("chunk_index"), F.col("total_chunks").cast("int").alias("total_chunks"), "id", "piece", "content")
