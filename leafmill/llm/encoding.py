@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.vocabulary import BOUND, SIGNS, frequent, kind, term_counts, terms
+from leafmill.session import cut
 
 #: One-byte encodings that UTF-8 bytes may have been read in.
 SINGLE = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1250", "cp1251", "koi8_r", "cp850", "cp866", "iso8859_2", "iso8859_15", "cp1254")
@@ -26,6 +27,8 @@ DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr")
 _CYR = ("cp1251", "koi8_r", "cp866")
 #: Stands for a lost byte.
 LOST = "�"
+#: Follows a character that was filled in for lost bytes, until the line is done.
+GUESS = "\ue010"
 
 # What text in the seven languages is written with, beyond ASCII.
 _LATIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŒÆ"
@@ -115,6 +118,8 @@ class Frequencies:
         self.char = {c: math.log(n / size) for c, n in chars.items()}
         self.rare_char = math.log(0.01 / size)
         self.filled: dict[tuple[str, str, str], str] = {}
+        #: Words with filled letters that are not frequent: the known letters, and the word put in.
+        self.open: list[tuple[str, str]] = []
         self.edges: dict[tuple[int | None, ...], list[tuple[int, str, float]]] = {}
         self._starts: set[str] | None = None
 
@@ -203,16 +208,16 @@ def _start(left: str, freq: Frequencies) -> State:
     return state
 
 
-def read_lattice(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
+def read_marked(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
     """The likeliest UTF-8 reading of bytes with gaps, or None if there is none.
 
     Viterbi search over the whole span: bytes without a gap have one reading, and wherever a word ends all readings
     come together again, so gaps of one word are decided jointly and others alone, and no state is ever given up. Where no character fits, the
-    likeliest reading so far is kept, a mark put for the byte, and the search goes on behind it. ``left`` and ``right`` are the letters around the span.
+    likeliest reading so far is kept, a mark put for the byte, and the search goes on behind it. Characters that were filled in have :data:`GUESS` behind them. ``left`` and ``right`` are the letters around the span.
     """
     out, i = "", 0
     while i < len(units):
-        read, end = viterbi(units[i:], freq, (left + out)[-40:], right)
+        read, end = viterbi(units[i:], freq, (left + out.replace(GUESS, ""))[-40:], right)
         out += read
         i += end
         if i < len(units):
@@ -220,6 +225,12 @@ def read_lattice(units: list[int | None], freq: Frequencies, left: str = "", rig
     return out
 
 
+def read_lattice(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> str | None:
+    """:func:`read_marked` without its marks."""
+    read = read_marked(units, freq, left, right)
+    return read and read.replace(GUESS, "")
+
+
 def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: str = "") -> tuple[str, int]:
     """The likeliest UTF-8 reading of bytes with gaps, and how many of them it reads (all, unless nothing fits).
 
@@ -260,7 +271,7 @@ def viterbi(units: list[int | None], freq: Frequencies, left: str = "", right: s
                 s = score + weight + (_weight(state, c, freq) if c else 0.0)
                 to, at = nodes[i + width], _after(state, c, freq) if c else state
                 if at not in to or s > to[at][0]:
-                    to[at] = (s, text + c)
+                    to[at] = (s, text + c + GUESS if c and None in key[:width] else text + c)
     if not nodes[n]:
         return max(nodes[far].values())[1], far
 
@@ -486,7 +497,7 @@ def _undo_double(line: str, freq: Frequencies | None) -> tuple[str, bool, bool]:
             if freq is None:
                 return whole
             a, b = found.start(), found.end()
-            read = read_lattice(units, freq, _tail_letters(line[:a]), _head_letters(line[b:])) or whole
+            read = read_marked(units, freq, _tail_letters(line[:a]), _head_letters(line[b:])) or whole
             return read
         return span
 
@@ -548,14 +559,14 @@ def _fill_losses(line: str, freq: Frequencies) -> str:
                 return found.group()
             units = lattice(found.group(), e)  # noqa: B023
             before, after = found.string[: found.start()], found.string[found.end() :]
-            return units and read_lattice(units, freq, _tail_letters(before), _head_letters(after)) or found.group()
+            return units and read_marked(units, freq, _tail_letters(before), _head_letters(after)) or found.group()
 
         def word(found: re.Match) -> str:
             whole = found.group()
             if not any(LOST in m.group() for m in pattern.finditer(whole)):  # noqa: B023
                 return whole
             units = lattice(whole, e)  # noqa: B023
-            read = units and read_lattice(units, freq, found.string[max(0, found.start() - 3) : found.start()])
+            read = units and read_marked(units, freq, found.string[max(0, found.start() - 3) : found.start()])
             return read if read and LOST not in read else pattern.sub(span, whole)  # noqa: B023
 
         new = re.sub(r"\S+", word, line)
@@ -603,11 +614,12 @@ def _fill_letters(line: str, freq: Frequencies) -> str:
                     s = score + _letter(state, new, freq) + (freq.of_char(new) * 0.1 if c == LOST else 0.0)
                     to = _after(state, new, freq)
                     if to not in grown or s > grown[to][0]:
-                        grown[to] = (s, text + new)
+                        grown[to] = (s, text + new + GUESS if c == LOST else text + new)
             nodes = grown
         end = after or " "
         best = max(nodes, key=lambda t: nodes[t][0] + _letter(t, "." if end.isalpha() else end, freq))
-        return nodes[best][1]
+        capitals = [c for c in span if c.isalpha()]
+        return nodes[best][1].upper() if len(capitals) > 1 and all(map(str.isupper, capitals)) else nodes[best][1]
 
     return _LETTER_LOSS.sub(again, line)
 
@@ -631,6 +643,8 @@ def _undo_stuck(line: str) -> tuple[str, bool]:
     return new, new != line
 
 
+_GUESSED = re.compile(f"(?:[^\\W\\d_]{GUESS}?)+")
+_ASCII = re.compile("[A-Za-z]")
 #: What a wrong decoding costs, in nats: how much likelier its undoing must make a line.
 CHANNEL = 3.0
 
@@ -666,7 +680,7 @@ def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
     """The restored text, whether it was garbled, and whether the restoration is certain to be complete.
 
     A noisy channel, line by line: of all readings of a line (:func:`_readings`) that one is taken which is likeliest under the corpus frequencies, each
-    wrong decoding costing :data:`CHANNEL`. Readings come from lattices of bytes in which lost bytes are open, filled by what the frequencies
+    wrong decoding costing :data:`CHANNEL`. Words with filled letters that are not among those frequencies are left in ``freq.open``. Readings come from lattices of bytes in which lost bytes are open, filled by what the frequencies
     favour; letters that were lost by themselves are filled in the same way. A line with lost bytes or control characters is garbled whatever its best reading.
     """
     if text.isascii() or not _HINT.search(text):
@@ -681,13 +695,19 @@ def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
             out.append(line)
             continue
         readings = _readings(line, freq, hint)
-        new, _, lost = max(readings, key=lambda r: freq.likelihood(r[0]) - CHANNEL * r[1]) if len(readings) > 1 else readings[0]
+        new, _, lost = max(readings, key=lambda r: freq.likelihood(r[0].replace(GUESS, "")) - CHANNEL * r[1]) if len(readings) > 1 else readings[0]
         if LOST in line:
             garbled = True
         complete &= not lost
         if LOST in new:
             new = _fill_letters(new, freq)
             complete = False
+        if GUESS in new:
+            for m in _GUESSED.finditer(new):
+                word = m.group().replace(GUESS, "")
+                if GUESS in m.group() and word.lower() not in freq.term and len(_ASCII.findall(word)) >= 3:
+                    freq.open.append((re.sub(f".{GUESS}", LOST, m.group()).lower(), word))
+            new = new.replace(GUESS, "")
         if new != line:
             garbled = True
         elif _C1.search(line):
@@ -704,7 +724,8 @@ def _sound(line: str, freq: Frequencies) -> bool:
     return n == 0 or known >= 0.5 * n
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("garbled", pa.bool_()), ("complete", pa.bool_()), ("content", pa.string())])
+_OPEN = pa.struct([("pattern", pa.string()), ("word", pa.string())])
+_SCHEMA = pa.schema([("id", pa.int64()), ("complete", pa.bool_()), ("content", pa.string()), ("open", pa.list_(_OPEN))])
 
 
 def _kernel(counts: dict[str, int]):
@@ -713,26 +734,49 @@ def _kernel(counts: dict[str, int]):
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                freq.open = []
                 new, garbled, complete = restore(text, freq)
                 if garbled:
-                    rows.append((i, True, complete, new))
+                    rows.append((i, complete, new, [{"pattern": p, "word": w} for p, w in freq.open]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
-def corpus_frequencies(chunks: DataFrame, bound: int = BOUND) -> dict[str, int]:
-    """Counts of all terms that make up 1 / ``bound`` of the corpus or more: at most ``bound`` of them come to the driver."""
-    return {r.word: r.n for r in frequent(term_counts(chunks, "content"), bound).collect()}
+def _rare_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """The most frequent word of the whole corpus that each pattern of ``asked`` fits, if there is one that stands twice: ``pattern``, ``form``.
+
+    Lost letters are never ASCII ones, so a word and its pattern agree in their ASCII letters, by which they are joined.
+    """
+    key = lambda c: F.regexp_replace(c, "[^a-z]", "")
+    words = counts.filter((F.col("n") > 1) & F.col("word").rlike(r"^\p{L}*[^\x00-\x7f]\p{L}*$")).select("word", "n", key("word").alias("key")).filter(F.length("key") >= 3)
+    fits = asked.withColumn("key", key("pattern")).join(words, "key").filter(F.length("word") == F.length("pattern")).filter(F.expr(f"word rlike concat('^', replace(pattern, '{LOST}', '[^ -~]'), '$')"))
+    return fits.groupBy("pattern").agg(F.max_by("word", F.struct("n", "word")).alias("form"))
 
 
-def restore_chunks(chunks: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
+def restore_chunks(chunks: DataFrame, counts: DataFrame | None = None, bound: int = BOUND, rare: bool = True) -> DataFrame:
     """The garbled chunks: ``id``, ``complete`` (nothing was lost), ``content`` (restored as far as possible).
 
-    NULL and ASCII texts are sound. A row delivered twice comes out once. Word frequencies are those of all chunks; the table that
-    is sent to the executors is bounded (:func:`corpus_frequencies`).
+    NULL and ASCII texts are sound. A row delivered twice comes out once. Word frequencies are those of all chunks (or ``counts``: ``word``, ``n``). Those of the terms that
+    make up 1 / ``bound`` of the corpus or more, hence at most ``bound``, are sent to the executors and decide on the spot. With ``rare``, words with filled letters that are not among
+    them are looked up among all words of the corpus by a join.
     """
-    counts = corpus_frequencies(chunks) if counts is None else counts
+    counts = cut(term_counts(chunks, "content")) if counts is None else counts
+    common = {r.word: r.n for r in frequent(counts, bound).collect()}
     suspects = chunks.filter(F.col("content").rlike("[^\\x00-\\x7f]")).select("id", "content")
-    found = suspects.mapInArrow(_kernel(counts), "id long, garbled boolean, complete boolean, content string")
-    return found.groupBy("id").agg(F.min("complete").alias("complete"), F.min("content").alias("content"))
+    found = suspects.mapInArrow(_kernel(common), "id long, complete boolean, content string, open array<struct<pattern: string, word: string>>")
+    once = found.groupBy("id").agg(F.min("complete").alias("complete"), F.min(F.struct("content", "open")).alias("c")).select("id", "complete", "c.content", "c.open")
+    if not rare:
+        return once.drop("open")
+    once = cut(once)
+    open_ = once.select("id", F.explode("open").alias("o")).select("id", "o.pattern", "o.word")
+    if open_.isEmpty():
+        return once.drop("open")
+    forms = open_.join(_rare_words(open_.select("pattern").distinct(), counts), "pattern").filter(F.lower("word") != F.col("form"))
+    first = F.substring("word", 1, 1)
+    letters = F.regexp_replace("word", "[^A-Za-z]", "")
+    cased = F.when((letters == F.upper(letters)) & (F.length(letters) > 1), F.upper("form")).when(first == F.upper(first), F.concat(F.upper(F.substring("form", 1, 1)), F.expr("substring(form, 2)"))).otherwise(F.col("form"))
+    fixes = forms.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("word", cased.alias("form")))).alias("fixes"))
+    put = F.aggregate("fixes", F.col("content"), lambda t, f: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), f["word"], F.lit(r"(?!\p{L})")), f["form"]))
+    joined = once.join(fixes, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("id", "complete", F.when(F.col("fixes").isNull(), F.col("content")).otherwise(put).alias("content"))

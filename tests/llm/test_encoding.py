@@ -99,3 +99,14 @@ def test_the_likeliest_channel_is_taken():
     assert freq.likelihood("la señal está dañada") > freq.likelihood("la seÃ±al estÃ¡ daÃ±ada") and freq.likelihood("� x") < freq.likelihood("é x")
     for text in ("Ångström & Ørsted", "naïve café", "ÄÖÜ ß"):
         assert restore(text, freq)[0] == text
+
+
+def test_rare_words_are_looked_up_in_the_whole_corpus(spark):
+    """With a bound so small that no word with an accent is sent to the tasks, lost letters are filled all the same."""
+    text = "the report of the Böxdörfer Straße was read"
+    rows = [(i, text + " and the old one of the office too") for i in range(5)] + [(i, "the and the of the and of the") for i in range(10, 40)]
+    rows += [(90, "the B�xd�rfer and the B�XD�RFER"), (91, "the xx�yy of the office"), (92, "the BÃ¶xd" + "Ã�" + "rfer")]
+    df = spark.createDataFrame(rows, "id long, content string")
+    got = {r.id: r.content for r in restore_chunks(df, bound=20).collect()}
+    assert got[90] == "the Böxdörfer and the BÖXDÖRFER" and set(got) == {90, 91, 92} and got[92] == "the Böxdörfer"
+    assert {r.id for r in restore_chunks(df, bound=20, rare=False).collect()} == {90, 91, 92}
