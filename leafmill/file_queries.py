@@ -29,6 +29,16 @@ def _agg(line: str, between: str = _NL, order: str = "i", where: str = "true") -
     return f"string_agg({line}, {between} ORDER BY {order}) FILTER (WHERE {where})"
 
 
+#: A number of seconds as the readers show it.
+_LASTS = "'时长: ' || CASE WHEN max(n) >= 60 THEN (max(n) // 60) || '分' || lpad(CAST(max(n) % 60 AS VARCHAR), 2, '0') || '秒' ELSE max(n) || '秒' END"
+
+
+def _media(kind: str, label: str, size: str, told: str, film: bool = False) -> str:
+    """The report of a sound or film file."""
+    what = "视频" if film else "音频"
+    return f"'{what}文件: ' || t || '.{kind}' || chr(10) || '格式: {label}{what}' || chr(10) || '大小: ' || {size} || repeat(chr(10), 2) || '--- 元数据 ---' || chr(10) || {told} || repeat(chr(10), 2) || '--- 提示 ---' || chr(10) || '未找到字幕文件。'"
+
+
 #: The text of a nation's file by type, as SQL over the rows of the nation.
 TEXTS = {
     "csv": f"'[表头] key | name | segment' || {_NL} || {_agg("k || ' | ' || name || ', Ltd | ' || s", where='i <= 1000')} || CASE WHEN max(n) > 1000 THEN {_NL} || '... 共' || max(n) || '行数据（已截取前1000行）' ELSE '' END",
@@ -59,8 +69,15 @@ TEXTS = {
     "pdf": _agg("CASE WHEN i % 20 = 1 THEN CASE WHEN i > 1 THEN chr(10) ELSE '' END || '[第' || ((i + 19) // 20) || '页]' || chr(10) ELSE '' END || k || ' (' || name || ')'"),
     "mht": f"t || {_NL} || {_agg("name || ' é'")} || repeat({_NL}, 2) || 'plain part'",
     "zip": f"'[文件: long.md]' || {_NL} || repeat('x', 10000) || repeat({_NL}, 2) || '... (10001 字符，已截断)' || repeat({_NL}, 2) || {_agg("'[文件: ' || s || '/' || k || '.txt]' || chr(10) || name", 'repeat(chr(10), 2)')}",
-    "wav": "'音频文件: ' || t || '.wav' || chr(10) || '格式: WAV音频' || chr(10) || '大小: 52 B' || repeat(chr(10), 2) || '--- 元数据 ---' || chr(10) || '编码: PCM' || chr(10) || '声道: 2' || chr(10) || '采样率: 8000 Hz' || chr(10) || '位深: 16 bit' || chr(10) || '时长: '"
-    " || CASE WHEN max(n) >= 60 THEN (max(n) // 60) || '分' || lpad(CAST(max(n) % 60 AS VARCHAR), 2, '0') || '秒' ELSE max(n) || '秒' END || repeat(chr(10), 2) || '--- 提示 ---' || chr(10) || '未找到字幕文件。'",
+    "wav": _media("wav", "WAV", "'52 B'", "'编码: PCM' || chr(10) || '声道: 2' || chr(10) || '采样率: 8000 Hz' || chr(10) || '位深: 16 bit' || chr(10) || " + _LASTS),
+    "flac": _media("flac", "FLAC", "'42 B'", "'采样率: 44100 Hz' || chr(10) || '声道: 2' || chr(10) || '位深: 16 bit' || chr(10) || " + _LASTS),
+    "mp3": _media("mp3", "MP3", "printf('%.1f KB', (16021 + length(t)) / 1024.0)", "'标题: ' || t || chr(10) || '比特率: 128 kbps' || chr(10) || '采样率: 44100 Hz' || chr(10) || '声道: 立体声' || chr(10) || '时长: 1秒'"),
+    "mp4": _media("mp4", "MP4", "'228 B'", "'品牌: isom' || chr(10) || " + _LASTS + " || chr(10) || '分辨率: 640x360'", film=True),
+    "mkv": _media("mkv", "MKV", "'37 B'", "'分辨率: 640x100' || chr(10) || " + _LASTS, film=True),
+    "flv": _media("flv", "FLV", "'72 B'", _LASTS, film=True),
+    "doc": f"'Customers of ' || t || {_NL} || {_agg("name || ' ' || s")}",
+    "ppt": _agg("name || ' 中' || chr(10) || s || ' ' || k"),
+    "xls": _agg("name", where="i <= 5000"),
 }
 
 

@@ -117,6 +117,81 @@ def _text(line: str, head: str = "", tail: str = "", encoding: str = "utf-8", be
     return lambda title, rows: (put(head, t=title) + between.join(put(line, t=title, i=i, k=k, n=n, s=s) for i, (k, n, s) in enumerate(rows, 1)) + tail).encode(encoding)
 
 
+def _compound(**streams: bytes) -> bytes:
+    """A compound file with all streams in the regular chain of sectors."""
+    size, end = 512, 0xFFFFFFFE
+    data = {n.replace("_", " "): d.ljust(max(4096, -(-len(d) // size) * size), b"\0") for n, d in streams.items()}
+    sectors = sum(len(d) // size for d in data.values()) + 1
+    tables = -(-sectors // 127)
+    fat, entries, at = [0xFFFFFFFD] * tables, [("Root Entry", 5, end, 0)], tables
+    for name, d in data.items():
+        n = len(d) // size
+        entries.append((name, 2, at, len(d)))
+        fat += [*range(at + 1, at + n), end]
+        at += n
+    fat.append(end)
+    directory = b"".join(n.encode("utf-16-le").ljust(64, b"\0") + (struct.pack("<HBB", 2 * len(n) + 2, kind, 1) + b"\xff" * 12).ljust(52, b"\0") + struct.pack("<II", first, length) + b"\0" * 4 for n, kind, first, length in entries)
+    head = bytearray(512)
+    head[:8] = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    struct.pack_into("<HH", head, 30, 9, 6)
+    struct.pack_into("<I", head, 44, tables)
+    struct.pack_into("<I4xIIIII", head, 48, at, 4096, end, 0, end, 0)
+    struct.pack_into("<109I", head, 76, *range(tables), *[0xFFFFFFFF] * (109 - tables))
+    return bytes(head) + struct.pack(f"<{len(fat)}I", *fat).ljust(size * tables, b"\xff") + b"".join(data.values()) + directory.ljust(size, b"\0")
+
+
+def _doc(title: str, rows: list[Row]) -> bytes:
+    text = "\r".join([f"Customers of {title}", *(f"{n} {s}" for _, n, s in rows)])
+    word = struct.pack("<H", 0xA5EC).ljust(24, b"\0") + struct.pack("<II", 512, 512 + len(text))
+    return _compound(WordDocument=word.ljust(512, b"\0") + text.encode())
+
+
+def _ppt(title: str, rows: list[Row]) -> bytes:
+    record = lambda kind, body: struct.pack("<HHI", 0, kind, len(body)) + body
+    inner = b"".join(record(0x0FA0, f"{n} 中".encode("utf-16-le")) + record(0x0FA8, f"{s} {k}".encode()) for k, n, s in rows)
+    return _compound(PowerPoint_Document=struct.pack("<HHI", 15, 1000, len(inner)) + inner)
+
+
+def _xls(title: str, rows: list[Row]) -> bytes:
+    records, body = [], struct.pack("<II", len(rows), len(rows))
+    for _, n, _ in rows:
+        item = struct.pack("<HB", len(n), 0) + n.encode()
+        if len(body) + len(item) > 8000:
+            records.append(body)
+            body = b""
+        body += item
+    records.append(body)
+    return _compound(Workbook=b"".join(struct.pack("<HH", 0x3C if i else 0xFC, len(r)) + r for i, r in enumerate(records)))
+
+
+def _mp3(title: str, rows: list[Row]) -> bytes:
+    tag = b"TIT2" + struct.pack(">I", len(title) + 1) + b"\0\0\0" + title.encode()
+    return b"ID3\x03\0\0" + bytes([0, 0, 0, len(tag)]) + tag + struct.pack(">I", 0xFFFB9000) + b"\0" * 15996
+
+
+def _mp4(title: str, rows: list[Row]) -> bytes:
+    box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+    tkhd = b"\0" * 76 + struct.pack(">II", 640 << 16, 360 << 16)
+    return box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", b"\0" * 12 + struct.pack(">II", 1000, 1000 * len(rows)) + b"\0" * 80) + box(b"trak", box(b"tkhd", tkhd)))
+
+
+def _mkv(title: str, rows: list[Row]) -> bytes:
+    v = lambda n: bytes([0x80 | n])
+    info = b"\x44\x89" + v(8) + struct.pack(">d", 1000.0 * len(rows))
+    track = b"\xae" + v(9) + b"\xe0" + v(7) + b"\xb0\x82\x02\x80\xba\x81\x64"
+    inner = b"\x15\x49\xa9\x66" + v(len(info)) + info + b"\x16\x54\xae\x6b" + v(len(track)) + track
+    return b"\x18\x53\x80\x67" + v(len(inner)) + inner
+
+
+def _flv(title: str, rows: list[Row]) -> bytes:
+    meta = b"\x02\0\x0aonMetaData\x08\0\0\0\1\0\x08duration\0" + struct.pack(">d", len(rows) + 0.5) + b"\0\0\x09"
+    return b"FLV\x01\x05\0\0\0\x09\0\0\0\0\x12" + len(meta).to_bytes(3, "big") + b"\0" * 7 + meta + b"\0" * 8
+
+
+def _flac(title: str, rows: list[Row]) -> bytes:
+    return b"fLaC\x80\0\0\x22" + b"\0" * 10 + ((44100 << 44) | (1 << 41) | (15 << 36) | 44100 * len(rows)).to_bytes(8, "big") + b"\0" * 16
+
+
 WRITERS: dict[str, Callable[[str, list[Row]], bytes]] = {
     "csv": _text('{k},"{n}, Ltd", {s} ', "key,name,segment\n"),
     "tsv": _text("{k}\t{n}\t{s}", "key\tname\tsegment\n"),
@@ -136,6 +211,7 @@ WRITERS: dict[str, Callable[[str, list[Row]], bytes]] = {
     "ass": _text("Dialogue: 0,0:00:01.00,0:00:04.00,Default,,0,0,0,,{\\pos(1,2)}{n}, {s}", "[Script Info]\nTitle: {t}\n[Events]\n"),
     "rtf": _text("{k}\\cell {n}\\cell\\row", "{\\rtf1\\ansi\\ansicpg1252 caf\\'e9 {t}\\par ", "}", between="\n"),
     "docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "odt": _odt, "ods": _ods, "odp": _odp, "epub": _epub, "pdf": _pdf, "mht": _mht, "zip": _archive, "wav": _wav,
+    "doc": _doc, "ppt": _ppt, "xls": _xls, "mp3": _mp3, "mp4": _mp4, "mkv": _mkv, "flv": _flv, "flac": _flac,
 }
 
 
