@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.catalog import Catalog
+from leafmill.operators.chunking import BLANK, Chunking
+from leafmill.session import checkpoint_dir
 from leafmill.sources import extract as E
 from leafmill.sources import samples
 from leafmill.sources.tables import load
+from leafmill.sources.tools import Tools
+from leafmill.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,6 +97,8 @@ def _reader_query(kind: str, text: str) -> None:
     SQL[run.__name__] = f"WITH {_ROWS} SELECT t AS nation, {text} AS text, CAST(NULL AS VARCHAR) AS error FROM g GROUP BY t"
 
 
+TEXTS["dotx"] = f"{TEXTS['docx']} || repeat({_NL}, 2) || '[嵌入资源]' || {_NL} || '[嵌入图片] word/media/i.png (' || (max(n) + 4) || ' bytes)' || {_NL} || '[嵌入音频] word/media/s.mp3 (3 bytes)'"
+
 for _kind, _sql in TEXTS.items():
     _reader_query(_kind, _sql)
 
@@ -140,3 +148,33 @@ def src_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flt_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the type that each catalogued state claims is registered."""
     return load(spark, sf_dir, "catalog_documents").select("id", "file_type", E.supported(F.col("file_type")).alias("supported"))
+
+
+@_query(f"WITH {_ROWS} SELECT t AS nation, 'About ' || t AS title, arg_min(name, i) AS author FROM g GROUP BY t")
+def src_properties_of_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and author that office files tell of themselves."""
+    told = E.metadata(samples.files(_rows(spark, sf_dir), "docx"))
+    value = lambda k: F.try_element_at("metadata", F.lit(k))
+    return told.select(F.regexp_extract("path", r"([^/]+)\.docx$", 1).alias("nation"), value("title").alias("title"), value("author").alias("author"))
+
+
+def _decoded(raw: bytes, name: str = "") -> str:
+    return raw.decode()
+
+
+@_query(f"WITH {_ROWS} SELECT t AS nation, 'jpg' AS file_type, {_agg('name')} AS text FROM g GROUP BY t UNION ALL SELECT t, 'm4a', {_agg('s')} FROM g GROUP BY t")
+def src_with_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures and sounds whose words come from functions that the caller gives."""
+    rows = _rows(spark, sf_dir)
+    read = E.extract(samples.files(rows, "jpg").unionByName(samples.files(rows, "m4a")), tools=Tools(ocr=_decoded, speech=_decoded))
+    return read.select(F.substring_index("name", ".", 1).alias("nation"), "file_type", F.regexp_replace("text", r"(?s)^.*--- 语音转文字 ---\n", "").alias("text"))
+
+
+@_query(f"""WITH {_ROWS}, w AS (SELECT t, 3 * max(n) AS words FROM g GROUP BY t)
+    SELECT t || '.txt' AS name, 'txt' AS file_type, 'completed' AS status, CAST(1 + greatest(0, ceil((words - 128) / 112.0)) AS INTEGER) AS total_chunks, CAST(words + 16 * greatest(0, ceil((words - 128) / 112.0)) AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS kb_id FROM w""")
+def dml_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files taken into a new catalogue: the documents with their state, and the words of their chunks."""
+    catalog = Catalog(spark, f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}")
+    ingest(catalog, samples.files(_rows(spark, sf_dir), "txt"), options=Chunking(128, 16, "fixed", BLANK))
+    tokens = catalog.table("chunks").groupBy(F.col("document_id").alias("id")).agg(F.sum("token_count").alias("tokens"))
+    return catalog.table("documents").join(tokens, "id").select(F.col("original_name").alias("name"), "file_type", "status", "total_chunks", "tokens", "kb_id")

@@ -37,7 +37,17 @@ def _docx(title: str, rows: list[Row]) -> bytes:
     table = "".join(f"<w:tr><w:tc>{p(str(k))}</w:tc><w:tc>{p(n)}</w:tc><w:tc>{p(s)}</w:tc></w:tr>" for k, n, s in rows)
     body = f"<w:document {_W}><w:body>{p(title, 'Heading2')}{p('Customers')}<w:tbl>{table}</w:tbl></w:body></w:document>"
     notes = f'<w:footnotes {_W}><w:footnote w:id="0">{p("none")}</w:footnote><w:footnote w:id="3">{p(f"{len(rows)} rows")}</w:footnote></w:footnotes>'
-    return _zip(**{"[Content_Types].xml": "<x/>", "word/document.xml": body, "word/header1.xml": f"<w:hdr {_W}>{p('Head ' + title)}</w:hdr>", "word/footnotes.xml": notes})
+    core = f'<c:p xmlns:c="urn:c" xmlns:d="urn:d"><d:title>About {title}</d:title><d:creator>{rows[0][1]}</d:creator><d:subject></d:subject></c:p>'
+    return _zip(**{"[Content_Types].xml": "<x/>", "docProps/core.xml": core, "word/document.xml": body, "word/header1.xml": f"<w:hdr {_W}>{p('Head ' + title)}</w:hdr>", "word/footnotes.xml": notes})
+
+
+def _dotx(title: str, rows: list[Row]) -> bytes:
+    """A template with a picture and a sound."""
+    out = io.BytesIO(_docx(title, rows))
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("word/media/i.png", b"\x89PNG" + b"\0" * len(rows))
+        z.writestr("word/media/s.mp3", b"ID3")
+    return out.getvalue()
 
 
 def _pptx(title: str, rows: list[Row]) -> bytes:
@@ -211,7 +221,7 @@ WRITERS: dict[str, Callable[[str, list[Row]], bytes]] = {
     "ass": _text("Dialogue: 0,0:00:01.00,0:00:04.00,Default,,0,0,0,,{\\pos(1,2)}{n}, {s}", "[Script Info]\nTitle: {t}\n[Events]\n"),
     "rtf": _text("{k}\\cell {n}\\cell\\row", "{\\rtf1\\ansi\\ansicpg1252 caf\\'e9 {t}\\par ", "}", between="\n"),
     "docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "odt": _odt, "ods": _ods, "odp": _odp, "epub": _epub, "pdf": _pdf, "mht": _mht, "zip": _archive, "wav": _wav,
-    "doc": _doc, "ppt": _ppt, "xls": _xls, "mp3": _mp3, "mp4": _mp4, "mkv": _mkv, "flv": _flv, "flac": _flac,
+    "dotx": _dotx, "jpg": _text("{n}"), "m4a": _text("{s}"), "doc": _doc, "ppt": _ppt, "xls": _xls, "mp3": _mp3, "mp4": _mp4, "mkv": _mkv, "flv": _flv, "flac": _flac,
 }
 
 
