@@ -20,6 +20,8 @@ RARER = 20
 BITS = 1 << 20
 #: Letters that a word must have to be meant if it is not frequent: shorter ones are too often met by chance.
 RARE_LETTERS = 5
+#: Places of a document whose titles are joined in one task.
+SPAN = 4096
 
 # Strokes that characters are made of, as far as recognisers confuse them. A character stands for
 # its strokes, so that "m" and "rn", "d" and "cl", "u" and "ii" come out alike.
@@ -501,12 +503,15 @@ def running_titles(read: DataFrame, least_share: float = 0.3) -> DataFrame:
     are grouped by document and masked form; groups are aggregated, never collected.
     """
     noisy = F.col("hyphen") | F.col("glyph") | F.col("page_number")
-    each = read.select("id", "document_id", "chunk_index", noisy.alias("noisy"), F.explode("titles").alias("t")).select("id", "document_id", "chunk_index", "noisy", "t.*")
-    groups = each.groupBy("document_id", "masked").agg((F.min("chunk_index") < F.max("chunk_index")).alias("again"), F.max("top").alias("opens"), F.max("sure").alias("known"))
-    documents = read.groupBy("document_id").agg(F.avg(noisy.cast("int")).alias("share"))
-    g = groups.withColumnsRenamed({"document_id": "_d", "masked": "_m"})
-    d = documents.withColumnsRenamed({"document_id": "_d2"})
-    joined = each.join(g, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("masked") == F.col("_m"))).join(d, F.col("document_id").eqNullSafe(F.col("_d2")))
+    # a document is joined in spans of places, so that one with a third of all chunks is spread over many tasks
+    span = F.floor(F.coalesce("chunk_index", F.lit(0)) / SPAN)
+    each = read.select("id", "document_id", "chunk_index", noisy.alias("noisy"), span.alias("span"), F.explode("titles").alias("t")).select("id", "document_id", "chunk_index", "noisy", "span", "t.*")
+    spans = F.sequence(F.min("span"), F.max("span"))
+    groups = each.groupBy("document_id", "masked").agg((F.min("chunk_index") < F.max("chunk_index")).alias("again"), F.max("top").alias("opens"), F.max("sure").alias("known"), spans.alias("_s"))
+    documents = read.withColumn("span", span).groupBy("document_id").agg(F.avg(noisy.cast("int")).alias("share"), spans.alias("_s"))
+    g = groups.withColumn("_s", F.explode("_s")).withColumnsRenamed({"document_id": "_d", "masked": "_m"})
+    d = documents.withColumn("_s2", F.explode("_s")).drop("_s").withColumnsRenamed({"document_id": "_d2"})
+    joined = each.join(g, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("masked") == F.col("_m")) & (F.col("span") == F.col("_s"))).join(d, F.col("document_id").eqNullSafe(F.col("_d2")) & (F.col("span") == F.col("_s2")))
     running = F.col("sure") | (F.col("again") & (F.col("opens") | F.col("known"))) | (F.col("top") & (F.col("noisy") | (F.col("share") >= least_share)))
     return joined.filter(running).select("id", "line")
 
