@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators.versioned import ADDRESS, VersionedTable, addressed
 from leafmill.session import checkpoint_dir, cut
+from leafmill.sources.tables import spread
 
 #: What a token of the index is: a run of letters, digits or private-use characters.
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
@@ -57,9 +58,9 @@ class StoredIndex:
         self.spark, self.table = spark, VersionedTable(spark, root)
 
     def add(self, chunks: DataFrame) -> None:
-        """Index new chunks. A frequent token is spread over tasks by chunk."""
+        """Index new chunks. Parts are rebalanced: small ones share a task, one that a frequent token makes large is split."""
         rows = postings(chunks).withColumn("bucket", F.pmod(F.crc32("token"), F.lit(self.BUCKETS)))
-        self.table.commit(append=rows.repartition("bucket", F.pmod("chunk_id", F.lit(16))).sortWithinPartitions("bucket", "token"), by="bucket")
+        self.table.commit(append=rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token"), by="bucket")
 
     def remove(self, document_ids: DataFrame) -> None:
         """Take out the chunks of documents (one column)."""
@@ -96,7 +97,7 @@ def stored_index(chunks: DataFrame, name: str) -> StoredIndex:
     index = StoredIndex(spark, f"{checkpoint_dir(spark)}/postings-{state.hexdigest()[:24]}")
     if index.table.latest() == 0:
         try:
-            index.add(chunks)
+            index.add(spread(chunks.select("id", "document_id", "content")))
         except FileExistsError:
             pass  # another session was faster
     return index
