@@ -27,8 +27,8 @@ DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr")
 _CYR = ("cp1251", "koi8_r", "cp866")
 #: Stands for a lost byte.
 LOST = "�"
-#: Follows a character that was filled in for lost bytes, until the line is done.
-GUESS = "\ue010"
+#: Follows a character that was filled in for lost bytes, until the line is done. It is none that text may hold; a line that does is left alone.
+GUESS = "\ufdd0"
 
 # What text in the seven languages is written with, beyond ASCII.
 _LATIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿœæßÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝŒÆ"
@@ -687,7 +687,7 @@ def restore(text: str, freq: Frequencies) -> tuple[str, bool, bool]:
         return text, False, True
     out, garbled, complete = [], False, True
     for line in text.split("\n"):
-        if line.isascii():
+        if line.isascii() or GUESS in line:
             out.append(line)
             continue
         hint = bool(_NOT_HAN_HINT.search(line))

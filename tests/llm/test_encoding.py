@@ -110,3 +110,9 @@ def test_rare_words_are_looked_up_in_the_whole_corpus(spark):
     got = {r.id: r.content for r in restore_chunks(df, bound=20).collect()}
     assert got[90] == "the Böxdörfer and the BÖXDÖRFER" and set(got) == {90, 91, 92} and got[92] == "the Böxdörfer"
     assert {r.id for r in restore_chunks(df, bound=20, rare=False).collect()} == {90, 91, 92}
+
+
+def test_signs_of_private_use_are_left_alone():
+    for text in ("icon  and naïve ", "a ﷐ é"):
+        assert restore(text, FREQ)[:2] == (text, False)
+    assert restore("icon  f�r", FREQ)[0] == "icon  für"
