@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.vocabulary import BOUND, frequent, term_counts, words
-from leafmill.session import cut
+from leafmill.session import cut, stored
 
 #: A form this many times rarer than another of its skeleton is a misreading of it; so a word must stand this often to be meant by any.
 RARER = 20
@@ -484,7 +484,9 @@ def read_chunks(chunks: DataFrame, repair: bool = False, bound: int = BOUND) ->
     least = min(common.values(), default=0)
     # skeletons of frequent words, so there are at most as many
     mixed = forms.filter(F.exists("forms", lambda f: f["n"] >= least) & F.exists("forms", lambda f: f["n"] < least)).select("skeleton").collect()
-    read = cut(used.mapInArrow(_kernel(common, frozenset(r.skeleton for r in mixed), repair), _DDL))
+    found = used.mapInArrow(_kernel(common, frozenset(r.skeleton for r in mixed), repair), _DDL)
+    # with its lines a row is as wide as its text
+    read = stored(found) if repair else cut(found)
     asked = read.select(F.explode("open").alias("o")).select("o.word", "o.left", "o.right")
     meant = cut(resolve(asked, counts, forms, chunks, least))
     changed = read.select("id", F.explode("open").alias("o")).select("id", "o.word", "o.left", "o.right").join(meant.filter("changed").select("word", "left", "right"), ["word", "left", "right"], "left_semi").select("id", F.lit("g").alias("kind"))
@@ -536,17 +538,23 @@ def repaired(chunks: DataFrame, bound: int = BOUND) -> DataFrame:
     Running titles and page numbers are taken out, misread words put right, cut words joined, and lines
     reflowed by windows over the lines of a chunk: a line continues the paragraph unless a blank line or marker parts them, it opens a list
     item or row, or the line before ends a sentence clearly short of the chunk's widest line. NULL and empty content comes back empty.
+    Rows without ``id`` come out once for each text.
     """
-    read, meant = read_chunks(chunks, repair=True, bound=bound)
-    read = cut(read)
-    lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.no").alias("no"), F.col("l.text").alias("text"), F.col("l.kind").alias("kind")).dropDuplicates(["id", "no"])
+    # rows without an id are told apart by their text
+    own = F.coalesce("id", F.xxhash64("content"))
+    read, meant = read_chunks(chunks.withColumn("id", own), repair=True, bound=bound)
     written = F.when(F.col("case") == "U", F.upper("form")).when(F.col("case") == "T", F.concat(F.upper(F.substring("form", 1, 1)), F.expr("substring(form, 2)"))).otherwise(F.col("form"))
-    fixes = read.select("id", F.explode("open").alias("o")).select("id", "o.*").join(meant.filter("changed").select("word", "left", "right", "form"), ["word", "left", "right"]).groupBy("id", F.col("line").alias("no")).agg(F.array_sort(F.collect_set(F.struct((-F.col("at")).alias("back"), "size", written.alias("form")))).alias("fixes"))
+    fixed = read.select("id", F.explode("open").alias("o")).select("id", "o.*").join(meant.filter("changed").select("word", "left", "right", "form"), ["word", "left", "right"])
+    fixes = fixed.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.col("at")).alias("back"), "line", "size", written.alias("form")))).alias("fixes"))
+    gone = running_titles(cut(read.drop("lines", "open"))).groupBy("id").agg(F.collect_set("line").alias("gone"))
+    # texts are shuffled by id once; all that follows keeps to that
+    once = read.select("id", "lines").dropDuplicates(["id"]).join(fixes, "id", "left").join(gone, "id", "left")
+    none = F.array().cast("array<int>")
+    kept = F.filter("lines", lambda x: ~x["kind"].isin(PAGE, BOTH) & ~F.array_contains(F.coalesce("gone", none), x["no"]))
+    each = once.select("id", "fixes", F.explode(kept).alias("l"))
     # from the end of the line, so that offsets before it stay right
-    put = F.aggregate("fixes", F.col("text"), lambda t, f: F.overlay(t, f["form"], 1 - f["back"], f["size"]))
-    lines = lines.join(fixes, ["id", "no"], "left").select("id", "no", F.rtrim(F.when(F.col("fixes").isNull(), F.col("text")).otherwise(put)).alias("text"), "kind")
-    gone = running_titles(read).select("id", F.col("line").alias("no")).distinct()
-    kept = lines.filter("kind NOT IN ('page', 'both')").join(gone, ["id", "no"], "left_anti")
+    put = F.aggregate(F.filter("fixes", lambda f: f["line"] == F.col("l.no")), F.col("l.text"), lambda t, f: F.overlay(t, f["form"], 1 - f["back"], f["size"]))
+    kept = each.select("id", F.col("l.no").alias("no"), F.rtrim(F.when(F.col("fixes").isNull(), F.col("l.text")).otherwise(put)).alias("text"), F.col("l.kind").alias("kind"))
     by = Window.partitionBy("id").orderBy("no")
     whole = Window.partitionBy("id")
     kept = kept.withColumns({"before": F.lag("text").over(by), "kind_before": F.lag("kind").over(by), "widest": F.max(F.length("text")).over(whole)})
@@ -564,5 +572,5 @@ def repaired(chunks: DataFrame, bound: int = BOUND) -> DataFrame:
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), "")
     paragraphs = kept.filter("kind <> 'blank'").groupBy("id", "paragraph").agg(ordered(F.struct("no", F.col("part").alias("v"))).alias("text"))
     done = paragraphs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    every = chunks.select("id").distinct()
-    return every.join(done, "id", "left").select("id", F.coalesce("content", F.lit("")).alias("content"))
+    every = chunks.select(F.col("id").alias("_own"), own.alias("id")).distinct()
+    return every.join(done, "id", "left").select(F.col("_own").alias("id"), F.coalesce("content", F.lit("")).alias("content"))
