@@ -568,9 +568,9 @@ def repaired(chunks: DataFrame, bound: int = BOUND) -> DataFrame:
     kept = kept.withColumns({"parted": parted.cast("int"), "glue": glue, "cut_word": cut_word})
     kept = kept.withColumn("cut_next", F.coalesce(F.lead("cut_word").over(after) & (F.lead("parted").over(after) == 0), F.lit(False)))
     body = F.when(F.col("cut_next"), F.regexp_replace("text", r"[-‐¬\x{ad}]$", "")).otherwise(F.col("text"))
-    kept = kept.withColumn("paragraph", F.sum("parted").over(by)).withColumn("part", F.concat(F.when(F.col("parted") == 0, F.col("glue")).otherwise(""), F.when(F.col("parted") == 0, F.ltrim(body)).otherwise(body)))
-    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), "")
-    paragraphs = kept.filter("kind <> 'blank'").groupBy("id", "paragraph").agg(ordered(F.struct("no", F.col("part").alias("v"))).alias("text"))
-    done = paragraphs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    # a line that opens a paragraph brings the line end before it
+    kept = kept.withColumn("part", F.when(F.col("parted") == 0, F.concat("glue", F.ltrim(body))).otherwise(F.concat(F.lit("\n"), body)))
+    parts = F.array_sort(F.collect_list(F.struct("no", "part")))
+    done = kept.filter("kind <> 'blank'").groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("_c")).select("id", F.expr("substring(_c, 2)").alias("content"))
     every = chunks.select(F.col("id").alias("_own"), own.alias("id")).distinct()
     return every.join(done, "id", "left").select(F.col("_own").alias("id"), F.coalesce("content", F.lit("")).alias("content"))
